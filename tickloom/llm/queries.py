@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.cluster import tables
-from tickloom.llm import digest, nearest
+from tickloom.llm import digest, nearest, packing, tokens
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,15 @@ def p2_within_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("metric", "grp", F.date_format("day", "yyyy-MM-dd").alias("day"), "over_days", "p", "n", (F.col("rank_error") <= F.col("bound")).alias("within_bound"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_values": p1_values, "p2_percentiles": p2_percentiles, "p2_within_bound": p2_within_bound}
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_ids(tables(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"))
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(tables(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_values": p1_values, "p2_percentiles": p2_percentiles, "p2_within_bound": p2_within_bound, "p6_ids": p6_ids, "p7_containers": p7_containers}
 
 _P1 = """
 WITH s AS (
