@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.cluster import tables
-from tickloom.llm import digest, nearest, packing, tokens
+from tickloom.llm import digest, nearest, packing, spam, tokens
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,11 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(tables(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_values": p1_values, "p2_percentiles": p2_percentiles, "p2_within_bound": p2_within_bound, "p6_ids": p6_ids, "p7_containers": p7_containers}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.spam_pages(tables(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_values": p1_values, "p2_percentiles": p2_percentiles, "p2_within_bound": p2_within_bound, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found}
 
 _P1 = """
 WITH s AS (
