@@ -124,21 +124,43 @@ def look(spreaded: DataFrame, reach: int, fn: Look, schema: str) -> DataFrame:
     return spreaded.mapInArrow(run, f"key string, t bigint, row_id bigint, value double, is_first boolean, {schema}")
 
 
-def exact_median(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """``key, median, n``: the exact median of each key, with no task ever holding a whole key.
+def exact_percentiles(rows: DataFrame, keys: list[str], value: str, ps: list[float]) -> DataFrame:
+    """``keys, n, q`` (array): exact percentiles of each key, linear between ranks, with no task ever holding a whole key.
 
-    Mergeable sketches give each key a bracket of 0.2 % of its rows around the median; a counting pass says how many
-    values lie below, and only the distinct values inside are ranked.
+    Mergeable sketches give each key brackets of 0.2 % of its rows around each percentile; a counting pass says how many
+    values lie between the brackets, and only the distinct values inside are ranked. Null and NaN values don't count, keys
+    without a value are not listed, null keys are a key.
     """
-    rows = rows.where(F.col(value).isNotNull()).select(key, F.col(value).alias("_v"))
-    sketch = rows.groupBy(key).agg(F.percentile_approx("_v", [0.499, 0.501], 10_000).alias("_b"), F.count("*").alias("n"))
-    sketch = checkpoint(sketch.select(F.col(key).alias("_k"), F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"), "n"))
-    met = rows.join(broadcast_checked(sketch), rows[key] == F.col("_k"))
-    inside = F.when((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")), F.col("_v"))
-    low = F.col("_v") < F.col("_lo")
-    counts = met.where(low | inside.isNotNull()).groupBy(key, inside.alias("_v")).agg(F.count("*").alias("_c"), F.max("n").alias("n"))
-    upto = F.sum("_c").over(Window.partitionBy(key).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("_upto", upto).where(F.col("_v").isNotNull())
-    hit = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("_v")))
-    lower, upper = F.floor((F.col("n") - 1) / 2), F.ceil((F.col("n") - 1) / 2)
-    return ranked.groupBy(key).agg(((hit(lower) + hit(upper)) / 2).alias("median"), F.max("n").alias("n"))
+    rows = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*keys, F.col(value).cast("double").alias("_v"))
+    sides = sorted({min(1.0, max(0.0, p + d)) for p in ps for d in (-1e-3, 1e-3)})
+    sketch = rows.groupBy(*keys).agg(F.percentile_approx("_v", sides, 10_000).alias("_b"), F.count("*").alias("n"))
+    sketch = checkpoint(sketch.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_b", "n"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    met = rows.join(broadcast_checked(sketch), same)
+    # the brackets' sides cut the line into pieces; a piece between two brackets is only counted, at its upper end
+    at = lambda p: sides.index(min(1.0, max(0.0, p)))
+    inside, nxt = F.lit(False), F.lit(None).cast("double")
+    for p in ps:
+        inside = inside | ((F.col("_v") >= F.col("_b")[at(p - 1e-3)]) & (F.col("_v") <= F.col("_b")[at(p + 1e-3)]))
+    for p in sorted(ps, reverse=True):
+        lo = F.col("_b")[at(p - 1e-3)]
+        nxt = F.when(F.col("_v") < lo, lo).otherwise(nxt)
+    spot = met.select(*keys, "n", inside.alias("_in"), F.when(inside, F.col("_v")).otherwise(nxt).alias("_v")).where(F.col("_v").isNotNull())
+    counts = spot.groupBy(*keys, "_v", "_in").agg(F.count("*").alias("_c"), F.max("n").alias("n"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v", "_in").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumn("_upto", upto)
+    hit = lambda rank: F.min(F.when(F.col("_in") & (F.col("_upto") > rank), F.col("_v")))
+    out = []
+    for p in ps:
+        h = (F.col("n") - 1) * F.lit(float(p))
+        low, high = hit(F.floor(h)), hit(F.ceil(h))
+        part = F.max(h - F.floor(h))
+        out.append(F.when(low == high, low).otherwise(low + (high - low) * part))
+    return ranked.groupBy(*keys).agg(F.max("n").alias("n"), F.array(*out).alias("q"))
+
+
+def exact_median(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """``key, median, n``."""
+    return exact_percentiles(rows, [key], value, [0.5]).select(key, F.col("q")[0].alias("median"), "n")
