@@ -11,30 +11,34 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.cluster import checkpoint
+
 BLOCK = 4096
 FLOOR = 1e-12
 
 
-def ewm(df: DataFrame, group: list[str], order: list[str], values: list[str], halflife: float, block: int = BLOCK) -> DataFrame:
-    """Adds ``{v}_mean`` and ``{v}_var`` (unbiased, null at a group's first value) of each value, the halflife counted in rows.
+def ewm(df: DataFrame, group: list[str], order: list[str], values: dict[str, float], block: int = BLOCK) -> DataFrame:
+    """Adds ``{v}_mean`` and ``{v}_var`` (unbiased, null at a group's first value) of each value by its halflife in rows.
+
+    One checkpoint holds the sums within blocks, for both the fold over the blocks' tails and the rows it is joined to.
 
     Weights are normalised by their sum so far. A null value keeps its row but adds nothing, and the statistics at it
     are those of the rows before it, with weights that went on decaying.
     """
-    decay = 0.5 ** (1.0 / halflife)
+    decay = {v: 0.5 ** (1.0 / h) for v, h in values.items()}
     order_by = [F.col(c) for c in order]
     df = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*group).orderBy(*order_by)) - 1)
     df = df.withColumns({"_blk": F.floor(F.col("_rn") / block).cast("bigint"), "_k": (F.col("_rn") % block).cast("int")})
     w = Window.partitionBy(*group, "_blk").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
-    grow, shrink = F.pow(F.lit(1 / decay), F.col("_k")), F.pow(F.lit(decay), F.col("_k"))
     sums = {}
     for v in values:
+        grow, shrink = F.pow(F.lit(1 / decay[v]), F.col("_k")), F.pow(F.lit(decay[v]), F.col("_k"))
         x, has = F.coalesce(F.col(v), F.lit(0.0)), F.col(v).isNotNull().cast("double")
         sums |= {f"_{v}_s": F.sum(x * grow).over(w) * shrink, f"_{v}_q": F.sum(x * x * grow).over(w) * shrink, f"_{v}_w": F.sum(has * grow).over(w) * shrink, f"_{v}_u": F.sum(has * grow * grow).over(w) * shrink * shrink}
-    df = df.withColumns(sums)
+    df = checkpoint(df.withColumns(sums))
     names = list(sums)
     tails = df.where(F.col("_k") == block - 1).select(*group, "_blk", *names)
-    power = decay**block
+    power = {f"_{v}_{k}": (decay[v] ** block) ** (2 if k == "u" else 1) for v in values for k in "sqwu"}
     schema = ", ".join([*[f"{c} {dict(df.dtypes)[c]}" for c in group], "_blk bigint", *[f"_in{n} double" for n in names]])
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -43,15 +47,15 @@ def ewm(df: DataFrame, group: list[str], order: list[str], values: list[str], ha
         rows = []
         for r in pdf.itertuples(index=False):
             row = dict(zip(pdf.columns, r))
-            held = {n: held[n] * (power * power if n.endswith("_u") else power) + row[n] for n in names}
+            held = {n: held[n] * power[n] + row[n] for n in names}
             rows.append([*[row[c] for c in group], row["_blk"] + 1, *[held[n] for n in names]])
         return pd.DataFrame(rows, columns=[*group, "_blk", *[f"_in{n}" for n in names]])
 
     carried = tails.groupBy(*group).applyInPandas(fold, schema)
     df = df.join(carried, [*group, "_blk"], "left")
-    later = F.pow(F.lit(decay), F.col("_k") + 1)
     out = {}
     for v in values:
+        later = F.pow(F.lit(decay[v]), F.col("_k") + 1)
         whole = lambda n, p=later: F.col(n) + F.coalesce(F.col(f"_in{n}"), F.lit(0.0)) * p
         s, q, wt, u = whole(f"_{v}_s"), whole(f"_{v}_q"), whole(f"_{v}_w"), whole(f"_{v}_u", later * later)
         mean = F.when(wt > 0, s / wt)
@@ -67,13 +71,17 @@ def zscore(value: str) -> Column:
 
 def kyle_lambda(df: DataFrame, group: list[str], order: list[str], change: str, flow: str, fast: float, slow: float) -> DataFrame:
     """Adds ``kyle_lambda``: mean of change times flow over the variance of flow (0 where that is missing or at most 1e-10), and its slow ``z_kyle_lambda``."""
-    df = ewm(df.withColumn("_xy", F.col(change) * F.col(flow)), group, order, ["_xy", flow], fast)
-    var = F.col(f"{flow}_var")
-    lam = F.coalesce(F.when(F.abs(var) > 1e-10, F.col("_xy_mean") / var), F.lit(0.0))
-    df = ewm(df.withColumn("kyle_lambda", lam), group, order, ["kyle_lambda"], slow)
+    df = ewm(df.withColumn("_xy", F.col(change) * F.col(flow)), group, order, {"_xy": fast, flow: fast})
+    df = ewm(df.withColumn("kyle_lambda", impact("_xy", flow)), group, order, {"kyle_lambda": slow})
     return df.withColumn("z_kyle_lambda", zscore("kyle_lambda")).drop("_xy", "_xy_mean", "_xy_var")
 
 
+def impact(product: str, flow: str) -> Column:
+    """Mean of the product over the variance of the flow; 0 where that is missing or at most 1e-10."""
+    var = F.col(f"{flow}_var")
+    return F.coalesce(F.when(F.abs(var) > 1e-10, F.col(f"{product}_mean") / var), F.lit(0.0))
+
+
 def rolling(df: DataFrame, group: list[str], order: list[str], value: str) -> DataFrame:
     """Adds running row statistics of ``value``: momentum in four forms, volatility in three, percentile ranks and a running mean and deviation."""
     at = Window.partitionBy(*group).orderBy(*order)

@@ -214,10 +214,10 @@ for _x, _s in (("b", "bid"), ("a", "ask")):
 _SH["depth_imbalance"] = "CASE WHEN b2+b3+b4+b5+a2+a3+a4+a5 > 0 THEN (b2+b3+b4+b5-a2-a3-a4-a5) / (b2+b3+b4+b5+a2+a3+a4+a5) ELSE 0 END"
 
 
-@_q("bk_shape", _TRADES + f"SELECT {_ID}, " + ", ".join(f"round({v}, 6) AS {c}" for c, v in _SH.items()) + ", bc1 AS bid_order_count, ac1 AS ask_order_count FROM t1")
+@_q("bk_shape", _TRADES + f"SELECT {_ID}, " + ", ".join(f"round({v}, 9) AS {c}" for c, v in _SH.items()) + ", bc1 AS bid_order_count, ac1 AS ask_order_count FROM t1")
 def bk_shape(spark, sf_dir):
     t = features.shape(book.snapshots(book.replay(_ordered(spark, sf_dir))))
-    return _id(t, *[F.round(c, 6).alias(c) for c in _SH], "bid_order_count", "ask_order_count")
+    return _id(t, *[F.round(c, 9).alias(c) for c in _SH], "bid_order_count", "ask_order_count")
 
 
 @_q("bk_l1_change", _TRADES + f"SELECT {_ID}, cast(db AS BIGINT) AS l1_bid_change, cast(da AS BIGINT) AS l1_ask_change FROM t3")
