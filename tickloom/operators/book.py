@@ -13,12 +13,16 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tickloom.functions import codes as C
 from tickloom.sources.messages import SESSION
 
 BLOCK = 100_000
 LEVELS, COUNT_LEVELS = 5, 3
+#: Fixed value: a best price that turns back within this time flickers.
+FLICKER_NS = 50_000_000
 
 
 def effects(ordered: DataFrame) -> DataFrame:
@@ -110,7 +114,7 @@ class Book:
         return [levels[p][field] if (p := best - step * k) in levels else 0 for k in range(depth)]
 
 
-def _replay(batches: Iterator[pa.RecordBatch], names: list[str], types: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _replay(batches: Iterator[pa.RecordBatch], types: pa.Schema) -> Iterator[pa.RecordBatch]:
     here, book = None, Book()
     for batch in batches:
         cols = {c: batch.column(c).to_pylist() for c in ("trade_date", "instrument_id", "block", "kind", "order_id", "px", "size", "side_code", "act")}
@@ -164,13 +168,10 @@ def replay(ordered: DataFrame, block: int = BLOCK) -> DataFrame:
         start = alive.select(*SESSION, "block", F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("tinyint").alias("kind"), "order_id", "px", F.col("remaining").alias("size"), "side_code")
         rows = rows.unionByName(start, allowMissingColumns=True)
     rows = rows.repartition(*SESSION, "block").sortWithinPartitions(*SESSION, "block", "n")
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    types = to_arrow_schema(_parse_datatype_string(OUT))
+    types = to_arrow_schema(StructType.fromDDL(OUT))
 
     def run(batches):
-        return _replay(batches, [], types)
+        return _replay(batches, types)
 
     return rows.mapInArrow(run, OUT)
 
@@ -238,11 +239,20 @@ def counters(replayed: DataFrame) -> DataFrame:
     out |= {"cum_widen": add((was > 0) & (now > 0) & (now > was)), "cum_narrow": add((was > 0) & (now > 0) & (now < was))}
     dt = F.col("ts_ns") - F.lag("ts_ns").over(at)
     timed = replayed.withColumn("dt", dt).withColumn("held", F.when((dt > 0) & (was > 0), was * dt).otherwise(0))
-    out |= {"cum_spread_time": F.sum("held").over(w), "cum_wall_time": F.sum(F.when(F.col("dt") > 0, F.col("dt")).otherwise(0)).over(w)}
-    return timed.withColumns(out).drop("dt", "held")
+    out |= {"cum_spread_time": F.sum("held").over(w), "cum_wall_time": F.sum(F.when(F.col("dt") > 0, F.col("dt")).otherwise(0)).over(w), "cum_flicker": F.sum("_flick").over(w)}
+    turned = F.lit(0)
+    for name in ("bid", "ask"):
+        was, now = F.col(f"{name}0"), F.col(name)
+        turn = F.when((was > 0) & (now > 0) & (was != now), F.struct(F.signum(now - was).cast("int").alias("dir"), F.col("ts_ns").alias("ts")))
+        before = F.last(turn, ignorenulls=True).over(at.rowsBetween(Window.unboundedPreceding, -1))
+        timed = timed.withColumns({f"_{name}_turn": turn, f"_{name}_last": before})
+        back = (F.col(f"_{name}_last.dir") == -F.col(f"_{name}_turn.dir")) & (F.col("ts_ns") - F.col(f"_{name}_last.ts") <= FLICKER_NS)
+        turned = turned + F.coalesce(back.cast("int"), F.lit(0))
+    timed = timed.withColumn("_flick", turned)
+    return timed.withColumns(out).drop("dt", "held", "_flick", "_bid_turn", "_bid_last", "_ask_turn", "_ask_last")
 
 
-def flickers(replayed: DataFrame, within_ns: int = 50_000_000) -> DataFrame:
+def flickers(replayed: DataFrame, within_ns: int = FLICKER_NS) -> DataFrame:
     """``trade_date, instrument_id, n, flicker`` of each change of a best price: 1 if it turns the side's last change back within the time, inclusive."""
     sides = []
     for name in ("bid", "ask"):

@@ -17,13 +17,14 @@ BLOCK = 4096
 FLOOR = 1e-12
 
 
-def ewm(df: DataFrame, group: list[str], order: list[str], values: dict[str, float], block: int = BLOCK) -> DataFrame:
+def ewm(df: DataFrame, group: list[str], order: list[str], values: dict[str, float], block: int = BLOCK, complete: bool = False) -> DataFrame:
     """Adds ``{v}_mean`` and ``{v}_var`` (unbiased, null at a group's first value) of each value by its halflife in rows.
 
     One checkpoint holds the sums within blocks, for both the fold over the blocks' tails and the rows it is joined to.
 
     Weights are normalised by their sum so far. A null value keeps its row but adds nothing, and the statistics at it
-    are those of the rows before it, with weights that went on decaying.
+    are those of the rows before it, with weights that went on decaying. With ``complete`` no value is null, and the
+    sums of the weights follow from the row numbers alone.
     """
     decay = {v: 0.5 ** (1.0 / h) for v, h in values.items()}
     order_by = [F.col(c) for c in order]
@@ -34,7 +35,9 @@ def ewm(df: DataFrame, group: list[str], order: list[str], values: dict[str, flo
     for v in values:
         grow, shrink = F.pow(F.lit(1 / decay[v]), F.col("_k")), F.pow(F.lit(decay[v]), F.col("_k"))
         x, has = F.coalesce(F.col(v), F.lit(0.0)), F.col(v).isNotNull().cast("double")
-        sums |= {f"_{v}_s": F.sum(x * grow).over(w) * shrink, f"_{v}_q": F.sum(x * x * grow).over(w) * shrink, f"_{v}_w": F.sum(has * grow).over(w) * shrink, f"_{v}_u": F.sum(has * grow * grow).over(w) * shrink * shrink}
+        sums |= {f"_{v}_s": F.sum(x * grow).over(w) * shrink, f"_{v}_q": F.sum(x * x * grow).over(w) * shrink}
+        if not complete:
+            sums |= {f"_{v}_w": F.sum(has * grow).over(w) * shrink, f"_{v}_u": F.sum(has * grow * grow).over(w) * shrink * shrink}
     df = checkpoint(df.withColumns(sums))
     names = list(sums)
     tails = df.where(F.col("_k") == block - 1).select(*group, "_blk", *names)
@@ -57,7 +60,11 @@ def ewm(df: DataFrame, group: list[str], order: list[str], values: dict[str, flo
     for v in values:
         later = F.pow(F.lit(decay[v]), F.col("_k") + 1)
         whole = lambda n, p=later: F.col(n) + F.coalesce(F.col(f"_in{n}"), F.lit(0.0)) * p
-        s, q, wt, u = whole(f"_{v}_s"), whole(f"_{v}_q"), whole(f"_{v}_w"), whole(f"_{v}_u", later * later)
+        s, q = whole(f"_{v}_s"), whole(f"_{v}_q")
+        if complete:
+            wt, u = ((1 - F.pow(F.lit(d), F.col("_rn") + 1)) / (1 - d) for d in (decay[v], decay[v] ** 2))
+        else:
+            wt, u = whole(f"_{v}_w"), whole(f"_{v}_u", later * later)
         mean = F.when(wt > 0, s / wt)
         out |= {f"{v}_mean": mean, f"{v}_var": F.when(wt * wt - u > 1e-9 * wt * wt, (q / wt - mean * mean) * wt * wt / (wt * wt - u))}
     return df.withColumns(out).drop("_rn", "_blk", "_k", *names, *[f"_in{n}" for n in names])

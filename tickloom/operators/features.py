@@ -25,10 +25,7 @@ def ratio(a: Column, b: Column) -> Column:
 def trades(ordered: DataFrame, block: int = book.BLOCK) -> DataFrame:
     """One row a trade with the book around it and every running counter, in order of (time, message)."""
     replayed = book.replay(ordered, block)
-    flick = book.flickers(replayed).groupBy(*SESSION, "n").agg(F.sum("flicker").alias("flick"))
-    rows = book.counters(replayed.join(flick, [*SESSION, "n"], "left"))
-    run = Window.partitionBy(*SESSION).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("cum_flicker", F.sum(F.coalesce("flick", F.lit(0))).over(run)).drop("flick")
+    rows = book.counters(replayed)
     t = temporal.positioned(book.snapshots(rows), SESSION, "ts_ns", "n")
     at = Window.partitionBy(*SESSION).orderBy("r")
     upto = at.rowsBetween(Window.unboundedPreceding, 0)

@@ -60,12 +60,12 @@ def catalogue(t: DataFrame, restart_daily: bool = False) -> DataFrame:
     plain = _plain()
     t = t.withColumns({k: F.coalesce(e.cast("double"), F.lit(0.0)) for k, (e, _) in plain.items()} | {"dmid": temporal.change("last_mid", SESSION, "r"), "_flow": F.col("ofi_L1_500ms").cast("double")})
     t = t.withColumn("_xy", F.col("dmid") * F.col("_flow"))
-    t = ewm(t, group, order, {k: h for k, (_, h) in plain.items()} | {"_xy": FAST, "_flow": FAST})
+    t = ewm(t, group, order, {k: h for k, (_, h) in plain.items()} | {"_xy": FAST, "_flow": FAST}, complete=True)
     t = t.withColumn("kyle_lambda", impact("_xy", "_flow")).withColumns({k: zscore(k) for k in plain})
     t = t.drop("_xy", "_flow", "dmid", *[f"{k}_{x}" for k in [*plain, "_xy", "_flow"] for x in ("mean", "var")])
     t = t.withColumn("_slope", (F.col("z_slope_bid") + F.col("z_slope_ask")) / 2)
     t = t.withColumns({k: F.col(a) * F.col(b) for k, (a, b) in PRODUCTS.items()})
-    t = ewm(t, group, order, dict.fromkeys(PRODUCTS, FAST) | {"kyle_lambda": SLOW})
+    t = ewm(t, group, order, dict.fromkeys(PRODUCTS, FAST) | {"kyle_lambda": SLOW}, complete=True)
     t = t.withColumn("z_kyle_lambda", zscore("kyle_lambda")).withColumns({k: zscore(k) for k in PRODUCTS})
     return t.drop("_slope", *[f"{k}_{x}" for k in [*PRODUCTS, "kyle_lambda"] for x in ("mean", "var")])
 

@@ -190,7 +190,7 @@ def lob_imbalance_microprice(spark, sf_dir):
     return _id(t, F.col("last_mid").alias("mid"), "spread_ticks", "two_sided", "crossed", F.round("imbalance", 6).alias("imbalance"), F.round("microprice", 6).alias("microprice"), F.col("bid_depth_l2_5").alias("bid_depth"), F.col("ask_depth_l2_5").alias("ask_depth"))
 
 
-_PLAIN = [c for c in _CUM if c != "cum_flicker"]
+_PLAIN = list(_CUM)
 
 
 @_q("lob_counters", _COUNTED + f"SELECT {_ID}, " + ", ".join(_PLAIN) + " FROM k")
