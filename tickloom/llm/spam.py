@@ -54,6 +54,8 @@ LEAST = np.array([0.05, 0.05, 0.08, 0.08, 0.05, 0.08, 0.08])
 #: Distance past which a unit is an outlier, its least alignment with the direction, and the share of a page's characters.
 DISTANCE, ALIGNED, SHARE = 3.0, 0.3, 0.5
 PIECE_WORDS = 24
+#: Units from which on a language has a standard of its own.
+LEAST_UNITS = 500
 #: The share of repeated content words that a list of the record has, too.
 USUAL_REPEAT = 0.12
 
@@ -234,8 +236,13 @@ def page_units(docs: DataFrame, ident: Column, text: Column) -> DataFrame:
 
 
 def profiles(paged: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Median, deviation and inverse correlation of the features of each language's units: at most seven languages, so at most seven rows."""
+    """Median, deviation and inverse correlation of the features of each language's units, and of all units: at most eight rows.
+
+    Pages without a known language, and languages of fewer than ``LEAST_UNITS`` units, are held against all units: pages
+    in no language are mostly lists and keywords, and would be their own standard.
+    """
     d = len(FEATURES)
+    paged = paged.withColumn("lang", F.explode(F.array_distinct(F.array(F.when(F.col("lang") == "none", F.lit("all")).otherwise(F.col("lang")), F.lit("all")))))
     flat = paged.select("lang", F.posexplode("chars").alias("u", "_c"), "features")
     unit = flat.select("lang", *[F.element_at("features", F.col("u") * (d + 1) + k + 1).alias(f"f{k}") for k in range(d)])
     middle = unit.groupBy("lang").agg(*[F.percentile_approx(f"f{k}", 0.5, 2000).alias(f"m{k}") for k in range(d)])
@@ -258,7 +265,8 @@ def profiles(paged: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.nda
         sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
         corr = 0.5 * cov / np.outer(sd, sd) * (sd[:, None] > 1e-3) * (sd[None, :] > 1e-3)
         np.fill_diagonal(corr, 1.0)
-        out[r["lang"]] = (mids[r["lang"]], scales[r["lang"]], np.linalg.inv(corr))
+        if r["n"] >= LEAST_UNITS or r["lang"] == "all":
+            out[r["lang"]] = (mids[r["lang"]], scales[r["lang"]], np.linalg.inv(corr))
     return out
 
 
@@ -292,7 +300,7 @@ def page_shares(docs: DataFrame, ident: Column, text: Column) -> DataFrame:
         for b in batches:
             langs = b.column("lang").to_pylist()
             shares = [
-                spam_share(np.asarray(b.column("chars")[i].values), np.asarray(b.column("features")[i].values).reshape(-1, len(FEATURES) + 1), known[langs[i]])
+                spam_share(np.asarray(b.column("chars")[i].values), np.asarray(b.column("features")[i].values).reshape(-1, len(FEATURES) + 1), known.get(langs[i], known["all"]))
                 for i in range(b.num_rows)
             ]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(shares, pa.float64())], names=["doc_id", "lang", "spam_share"])
