@@ -68,3 +68,11 @@ def test_index_bound(kind):
     index = N.LearnedIndex(keys)
     q = np.unique(np.concatenate([keys, keys - 1, keys + 1, rng.integers(-5, keys.max() + 9, 500)]))
     assert (index.below(q) == np.searchsorted(keys, q, side="right")).all()
+
+
+def test_crowded_times_get_narrow_shards(spark, monkeypatch):
+    rng = random.Random(8)
+    left = [(1000 + k, "a", rng.randint(0, 5000)) for k in range(300)]
+    right = [(k, "a", rng.randint(0, 5000), float(k)) for k in range(300)]
+    monkeypatch.setattr(N, "INDEX_ROWS", 20)
+    assert match(spark, left, right, tol=20, shard_ns=1 << 20) == brute(left, right, tol=20)

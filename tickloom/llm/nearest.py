@@ -22,6 +22,8 @@ NS = 1_000_000_000
 SHARD_NS = 4 * 3600 * NS
 EPS = 4
 HOT_SHARDS, HOT_ROWS = 1000, 100_000
+#: Right-hand times that a shard should hold at most.
+INDEX_ROWS = 4_000_000
 
 
 class LearnedIndex:
@@ -85,8 +87,12 @@ def nearest_in_time(left: DataFrame, right: DataFrame, *, entity: tuple[Column,
     put = put.select(entity[1].cast("string").alias("e"), time[1].cast("bigint").alias("t"), payload.alias("r")).where(F.col("e").isNotNull() & F.col("t").isNotNull())
     put = put.groupBy("e", "t").agg(F.min("r").alias("r"))
     ask = left.select(entity[0].cast("string").alias("e"), time[0].cast("bigint").alias("t"), ident[0].cast("bigint").alias("i"))
-    placed = ask.where(F.col("e").isNotNull() & F.col("t").isNotNull()).withColumn("b", _shard(F.col("t"), shard_ns))
+    placed = ask.where(F.col("e").isNotNull() & F.col("t").isNotNull())
 
+    most = put.groupBy("e", _shard(F.col("t"), shard_ns)).count().agg(F.max("count")).first()[0] or 0
+    while most > INDEX_ROWS and shard_ns > 8 * tolerance_ns:  # crowded times get narrower shards, so that an index stays small
+        shard_ns, most = shard_ns // 2, most // 2
+    placed = placed.withColumn("b", _shard(F.col("t"), shard_ns))
     least = max(HOT_ROWS, placed.count() // HOT_SHARDS)
     hot_rows = placed.groupBy("e", "b").count().where(F.col("count") > least).select("e", "b", F.ceil(F.col("count") / F.lit(least)).cast("int")).collect()  # under HOT_SHARDS rows
     if hot_rows:
