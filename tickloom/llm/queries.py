@@ -51,7 +51,7 @@ QUERIES = {"p1_found": p1_found, "p1_values": p1_values, "p2_percentiles": p2_pe
 _P1 = """
 WITH s AS (
   SELECT instrument_id, ts_ns, min(snap_id) AS snap_id, arg_min(atm_iv, snap_id) AS atm_iv, arg_min(net_gex, snap_id) AS net_gex FROM options_features
-  WHERE atm_iv IS NOT NULL AND NOT isnan(atm_iv) AND net_gex IS NOT NULL AND NOT isnan(net_gex) AND ts_ns IS NOT NULL GROUP BY 1, 2),
+  WHERE atm_iv IS NOT NULL AND NOT (cast(atm_iv AS VARCHAR) = 'nan') AND net_gex IS NOT NULL AND NOT (cast(net_gex AS VARCHAR) = 'nan') AND ts_ns IS NOT NULL GROUP BY 1, 2),
 c AS (
   SELECT r.row_id, s.*, abs(r.ts_ns - s.ts_ns) AS distance_ns, s.ts_ns AS at FROM regressors r JOIN s ON r.instrument_id = s.instrument_id AND s.ts_ns BETWEEN r.ts_ns - 40000000000 AND r.ts_ns + 40000000000
   QUALIFY row_number() OVER (PARTITION BY r.row_id ORDER BY abs(r.ts_ns - s.ts_ns), s.ts_ns, snap_id) = 1)
@@ -63,8 +63,8 @@ WITH v AS (
   UNION ALL SELECT 'spread_ticks', instrument_id, trade_date, spread_ticks FROM trade_features
   UNION ALL SELECT 'net_gex', instrument_id, trade_date, net_gex FROM options_features),
 c AS (
-  SELECT metric, grp, strftime(trade_date, '%Y-%m-%d') AS day, FALSE AS over_days, count(*) AS n FROM v WHERE x IS NOT NULL AND NOT isnan(x) GROUP BY ALL
-  UNION ALL SELECT metric, grp, NULL, TRUE, count(*) FROM v WHERE x IS NOT NULL AND NOT isnan(x) GROUP BY ALL)
+  SELECT metric, grp, strftime(trade_date, '%Y-%m-%d') AS day, FALSE AS over_days, count(*) AS n FROM v WHERE x IS NOT NULL AND NOT (cast(x AS VARCHAR) = 'nan') GROUP BY ALL
+  UNION ALL SELECT metric, grp, NULL, TRUE, count(*) FROM v WHERE x IS NOT NULL AND NOT (cast(x AS VARCHAR) = 'nan') GROUP BY ALL)
 SELECT metric, grp, day, over_days, cast(p AS DOUBLE) AS p, n, TRUE AS within_bound FROM c, (SELECT unnest([0.05, 0.5, 0.95, 0.99]) AS p)
 """
 
