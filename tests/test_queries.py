@@ -28,7 +28,7 @@ def one(v):
     if isinstance(v, bool):
         return v
     if isinstance(v, float):
-        return one(float(f"{v:.9g}")) if v == v else None
+        return float(f"{v:.9g}")
     return v if isinstance(v, int) else str(v)
 
 

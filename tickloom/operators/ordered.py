@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from tickloom.cluster import broadcast_checked, checkpoint
 
+#: Keys of at most so many values are ranked whole: their brackets could be narrower than the two ranks they must hold.
+SMALL = 5000
 EDGES = "pid int, tail boolean, k int, key string, t bigint, value double"
 
 #: From readings (times, values, key) to arrays, one value a reading.
@@ -141,7 +143,7 @@ def exact_percentiles(rows: DataFrame, keys: list[str], value: str, ps: list[flo
     met = rows.join(broadcast_checked(sketch), same)
     # the brackets' sides cut the line into pieces; a piece between two brackets is only counted, at its upper end
     at = lambda p: sides.index(min(1.0, max(0.0, p)))
-    inside, nxt = F.lit(False), F.lit(None).cast("double")
+    inside, nxt = F.col("n") <= SMALL, F.lit(None).cast("double")
     for p in ps:
         inside = inside | ((F.col("_v") >= F.col("_b")[at(p - 1e-3)]) & (F.col("_v") <= F.col("_b")[at(p + 1e-3)]))
     for p in sorted(ps, reverse=True):

@@ -26,7 +26,7 @@ m AS (
          coalesce(ts_ns, nullif(ts_recv, 0)) AS ts, coalesce(ts_recv, 0) AS recv, ts_in_delta, sequence, flags, coalesce(size, 0) AS size,
          CASE upper(action) WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'M' THEN 2 WHEN 'T' THEN 3 WHEN 'F' THEN 4 WHEN 'R' THEN 5 ELSE 6 END AS act,
          CASE upper(side) WHEN 'B' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS s,
-         CASE WHEN price IS NULL OR isnan(price) OR isinf(price) THEN 0 ELSE cast(round_even(price / 0.25, 0) AS BIGINT) END AS px FROM d),
+         CASE WHEN price IS NULL OR (cast(price AS VARCHAR) = 'nan') OR isinf(price) THEN 0 ELSE cast(round_even(price / 0.25, 0) AS BIGINT) END AS px FROM d),
 e AS (
   SELECT *, CASE WHEN act IN (0, 2) AND px > 0 AND s < 2 AND size > 0 THEN 1 WHEN act = 2 AND px > 0 THEN 2 WHEN act = 1 THEN 2 WHEN act = 4 THEN 3 WHEN act = 5 THEN 4 END AS kind FROM m),
 c AS (
@@ -123,7 +123,7 @@ def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.trades(_ordered(spark, sf_dir))
 
 
-@_q("src_profile", "SELECT instrument_id, count(*) AS n, min(price) FILTER (WHERE NOT isnan(price)) AS price_min, max(price) FILTER (WHERE NOT isnan(price)) AS price_max, min(symbol) AS symbol, count(DISTINCT upper(action)) AS n_actions FROM mbo_messages GROUP BY 1")
+@_q("src_profile", "SELECT instrument_id, count(*) AS n, min(price) FILTER (WHERE NOT (cast(price AS VARCHAR) = 'nan')) AS price_min, max(price) FILTER (WHERE NOT (cast(price AS VARCHAR) = 'nan')) AS price_max, min(symbol) AS symbol, count(DISTINCT upper(action)) AS n_actions FROM mbo_messages GROUP BY 1")
 def src_profile(spark, sf_dir):
     return M.profile(tables(spark, sf_dir, "mbo_messages"))
 
@@ -143,7 +143,7 @@ def prj_action_codes(spark, sf_dir):
     return tables(spark, sf_dir, "mbo_messages").select("seq", C.action_code(F.col("action")).alias("act"), C.side_code(F.col("side")).alias("side"))
 
 
-@_q("prj_ticks", "SELECT seq, CASE WHEN price IS NULL OR isnan(price) OR isinf(price) THEN 0 ELSE cast(round_even(price / 0.25, 0) AS BIGINT) END AS ticks, CASE WHEN price IS NULL OR isnan(price) OR isinf(price) THEN 0 ELSE round_even(price / 0.25, 0) * 0.25 END AS price FROM mbo_messages")
+@_q("prj_ticks", "SELECT seq, CASE WHEN price IS NULL OR (cast(price AS VARCHAR) = 'nan') OR isinf(price) THEN 0 ELSE cast(round_even(price / 0.25, 0) AS BIGINT) END AS ticks, CASE WHEN price IS NULL OR (cast(price AS VARCHAR) = 'nan') OR isinf(price) THEN 0 ELSE round_even(price / 0.25, 0) * 0.25 END AS price FROM mbo_messages")
 def prj_ticks(spark, sf_dir):
     ticks = C.price_ticks(F.col("price"))
     return tables(spark, sf_dir, "mbo_messages").select("seq", ticks.alias("ticks"), C.ticks_price(ticks).alias("price"))

@@ -49,7 +49,7 @@ WITH m AS (
          unnest([trade_price, bid_px_00, ask_px_00]) AS v FROM market_data
   UNION ALL
   SELECT 'trade_features', 'mean_latency_ns_500ms', cast(instrument_id AS VARCHAR), ts_ns, row_id, mean_latency_ns_500ms FROM trade_features),
-k AS (SELECT * FROM m WHERE v IS NOT NULL AND NOT isnan(v) AND v <> 0),
+k AS (SELECT * FROM m WHERE v IS NOT NULL AND NOT (cast(v AS VARCHAR) = 'nan') AND v <> 0),
 g AS (SELECT source_table, field, src, t, arg_min(v, row_id) AS v FROM k WHERE src IS NOT NULL AND t IS NOT NULL GROUP BY ALL),
 n AS (
   SELECT *, lag(v, 1) OVER w AS b1, lag(v, 2) OVER w AS b2, lag(v, 3) OVER w AS b3, lead(v, 1) OVER w AS a1, lead(v, 2) OVER w AS a2, lead(v, 3) OVER w AS a3,
@@ -78,7 +78,7 @@ WITH d AS (
   QUALIFY row_number() OVER (PARTITION BY trade_date, instrument_id, sequence ORDER BY seq) = 1),
 n AS (
   SELECT trade_date, instrument_id, order_id, sequence, upper(action) AS act, upper(side) AS sd, coalesce(size, 0) AS size,
-         CASE WHEN price IS NULL OR isnan(price) OR isinf(price) THEN 0 ELSE cast(round_even(price / 0.25, 0) AS BIGINT) END AS px FROM d),
+         CASE WHEN price IS NULL OR (cast(price AS VARCHAR) = 'nan') OR isinf(price) THEN 0 ELSE cast(round_even(price / 0.25, 0) AS BIGINT) END AS px FROM d),
 e AS (
   SELECT n.*, max(CASE WHEN act = 'R' THEN sequence END) OVER (PARTITION BY trade_date, instrument_id) AS cleared FROM n),
 k AS (

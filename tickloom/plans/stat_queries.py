@@ -31,7 +31,7 @@ def _q(name: str, sql: str | None = None):
 
 
 def _nn(c: str, name: str | None = None) -> str:
-    return f"CASE WHEN NOT isnan({c}) THEN {c} END AS {name or c}"
+    return f"CASE WHEN NOT (cast({c} AS VARCHAR) = 'nan') THEN {c} END AS {name or c}"
 
 
 _COLS = {"mid": "mid", "spread": "spread_ticks", "imb": "imbalance", "b1": "bid_size_l1", "a1": "ask_size_l1", "lat": "mean_latency_ns_500ms", "lsd": "latency_std_ns_500ms", "ntr": "n_trades_500ms", "fwd": "fwd_return_1000ms", "delta": "ts_in_delta_ns"}
@@ -127,9 +127,9 @@ def ag_latency(spark, sf_dir):
     return _round(g.join(q, "one").select("n", "mean", *[F.col("q")[k].alias(p) for k, p in enumerate(("p50", "p95", "p99"))], "max", "corr_markout"), 2, corr_markout=6)
 
 
-@_q("ag_deciles", _TF + ", s AS (SELECT abs(imb) AS score, signed AS s FROM tf WHERE imb IS NOT NULL AND signed IS NOT NULL), q AS (SELECT list_sort(list_distinct(quantile_cont(score, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1]))) AS e FROM s), b AS (SELECT cast(greatest(len(list_filter(e, lambda x: score > x)) - 1, 0) AS INT) AS bin, score, s FROM s, q) SELECT bin, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(s), 6) AS mean_signed, round(avg(CASE WHEN s < 0 THEN 1.0 ELSE 0 END), 6) AS pct_adverse, round(median(s), 6) AS median_signed FROM b GROUP BY 1")
+@_q("ag_deciles", _TF + ", s AS (SELECT abs(imb) AS score, signed AS s FROM tf WHERE imb IS NOT NULL AND signed IS NOT NULL), q AS (SELECT list_sort(list_distinct(quantile_cont(score, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1]))) AS e FROM s), b AS (SELECT cast(greatest(len(list_filter(e, lambda x: score > x)) - 1, 0) AS INT) AS bin, score, s FROM s, q) SELECT bin, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(s), 6) AS mean_signed, round(avg(CASE WHEN s < 0 THEN 1.0 ELSE 0 END), 6) AS pct_adverse, round(median(s), 6) + 0.0 AS median_signed FROM b GROUP BY 1")
 def ag_deciles(spark, sf_dir):
-    return _round(A.deciles(_tf(spark, sf_dir), "imb", "signed"))
+    return _round(A.deciles(_tf(spark, sf_dir), "imb", "signed")).withColumn("median_signed", F.col("median_signed") + 0.0)
 
 
 _X = ["z_ofi_l1_500ms", "z_imb_l1", "z_kyle_lambda", "z_realized_vol", "z_latency"]
@@ -181,9 +181,9 @@ def ag_markov_probs(spark, sf_dir):
     return _round(A.transition_probs(A.transition_counts(_states(spark, sf_dir))).drop("n"))
 
 
-@_q("ag_markov_expect", _ST + "SELECT regime, state, round(sum(prob * (outcome - 5)), 6) AS expected, round(sqrt(greatest(sum(prob * pow(outcome - 5, 2)) - pow(sum(prob * (outcome - 5)), 2), 0)), 6) AS uncertainty FROM p GROUP BY 1, 2")
+@_q("ag_markov_expect", _ST + "SELECT regime, state, round(sum(prob * (outcome - 5)), 6) + 0.0 AS expected, round(sqrt(greatest(sum(prob * pow(outcome - 5, 2)) - pow(sum(prob * (outcome - 5)), 2), 0)), 6) AS uncertainty FROM p GROUP BY 1, 2")
 def ag_markov_expect(spark, sf_dir):
-    return _round(A.transition_moments(A.transition_probs(A.transition_counts(_states(spark, sf_dir)))))
+    return _round(A.transition_moments(A.transition_probs(A.transition_counts(_states(spark, sf_dir))))).withColumn("expected", F.col("expected") + 0.0)
 
 
 @_q("ag_gex_bins", f"WITH o AS (SELECT snap_id, {_nn('net_gex')} FROM options_features), q AS (SELECT quantile_cont(net_gex, 0.33) AS a, quantile_cont(net_gex, 0.67) AS b FROM o WHERE net_gex IS NOT NULL) SELECT snap_id, CASE WHEN net_gex IS NULL THEN 1 WHEN net_gex >= b THEN 2 WHEN net_gex >= a THEN 1 ELSE 0 END AS gex FROM o, q")
@@ -506,7 +506,7 @@ def sm_kpis(spark, sf_dir):
     return SM.kpis(SM.simulate(tables(spark, sf_dir, "market_data")))
 
 
-_MD = "WITH m AS (SELECT row_id, symbol, timestamp_ns AS ts, trade_side, bid_px_00, ask_px_00, row_number() OVER (PARTITION BY symbol ORDER BY timestamp_ns, row_id) AS k, (CASE WHEN NOT isnan(bid_px_00) THEN bid_px_00 END + CASE WHEN NOT isnan(ask_px_00) THEN ask_px_00 END) / 2 AS mid FROM market_data)\n"
+_MD = "WITH m AS (SELECT row_id, symbol, timestamp_ns AS ts, trade_side, bid_px_00, ask_px_00, row_number() OVER (PARTITION BY symbol ORDER BY timestamp_ns, row_id) AS k, (CASE WHEN NOT (cast(bid_px_00 AS VARCHAR) = 'nan') THEN bid_px_00 END + CASE WHEN NOT (cast(ask_px_00 AS VARCHAR) = 'nan') THEN ask_px_00 END) / 2 AS mid FROM market_data)\n"
 
 
 def _md(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -518,9 +518,9 @@ def sm_streaks(spark, sf_dir):
     return SM.streaks(_md(spark, sf_dir), ["symbol"], ["ts", "row_id"], F.coalesce("trade_side", F.lit(""))).select("row_id", "streak")
 
 
-@_q("sm_hindsight", _MD + "SELECT row_id, " + ", ".join(f"max(mid) OVER w{n} - mid AS rise_{n}, min(mid) OVER w{n} - mid AS fall_{n}" for n in (10, 20, 40)) + " FROM m WINDOW " + ", ".join(f"w{n} AS (PARTITION BY symbol ORDER BY k ROWS BETWEEN 1 FOLLOWING AND {n} FOLLOWING)" for n in (10, 20, 40)))
+@_q("sm_hindsight", _MD + ", v AS (SELECT row_id, symbol, k, mid FROM m WHERE mid IS NOT NULL) SELECT row_id, " + ", ".join(f"max(mid) OVER w{n} - mid AS rise_{n}, min(mid) OVER w{n} - mid AS fall_{n}" for n in (10, 20, 40)) + " FROM v WINDOW " + ", ".join(f"w{n} AS (PARTITION BY symbol ORDER BY k ROWS BETWEEN 1 FOLLOWING AND {n} FOLLOWING)" for n in (10, 20, 40)))
 def sm_hindsight(spark, sf_dir):
-    return SM.hindsight(_md(spark, sf_dir), ["symbol"], ["ts", "row_id"], "mid").drop("symbol", "ts", "trade_side", "mid")
+    return SM.hindsight(_md(spark, sf_dir).where(F.col("mid").isNotNull()), ["symbol"], ["ts", "row_id"], "mid").drop("symbol", "ts", "trade_side", "mid")
 
 
 @_q("sm_entry_sampling", _MD + "SELECT symbol, count(*) AS n, round(avg(mid), 4) AS mean_mid FROM m WHERE k % 20 = 0 GROUP BY 1")
