@@ -35,12 +35,14 @@ def test_window_deltas(spark):
         assert got.loc[g.p].s.tolist() == want and got.loc[g.p].n.tolist() == (np.arange(len(g)) + 1 - lb).tolist()
 
 
-def test_forward_backward_excursion(spark):
+@pytest.mark.parametrize("shard", [7, 40, T.SHARD_NS])
+def test_forward_backward_excursion(spark, shard):
     df, pdf = rows(spark, 2)
     df = T.positioned(df, ["g"], "t", "p")
     f = T.forward(df, ["g"], "t", "r", ["x"], 5, "f").select("p", F.col("f.x").alias("f")).toPandas().set_index("p")
     e = T.excursion(df, ["g"], "t", "r", "x", 5).select("p", "fwd_max", "fwd_min").toPandas().set_index("p")
-    b = T.backward(df.select("g", "t", "p"), df.where("p % 3 = 0").select("g", "t", "p", "x"), ["g"], "t", "p", ["x"]).toPandas().set_index("p")
+    b = T.backward(df.select("g", "t", "p"), df.where("p % 3 = 0").select("g", "t", "p", "x"), ["g"], "t", "p", ["x"], shard_ns=shard).toPandas().set_index("p")
+    a = T.first_after(df.select("g", "t", "p"), df.select("g", "t", "p", "x"), ["g"], "t", "p", ["x"], 5, shard_ns=shard).toPandas().set_index("p")
     nan = lambda v: None if v != v else v
     for _, g in pdf.groupby("g"):
         g = g.sort_values(["t", "p"])
@@ -48,6 +50,7 @@ def test_forward_backward_excursion(spark):
         for k in range(len(g)):
             at = np.searchsorted(ts, ts[k] + 5)
             assert nan(f.f[ps[k]]) == (xs[at] if at < len(ts) else None)
+            assert nan(a.x[ps[k]]) == (xs[at] if at < len(ts) else None)
             later = xs[k + 1 : at]
             assert nan(e.fwd_max[ps[k]]) == (later.max() if len(later) else None) and nan(e.fwd_min[ps[k]]) == (later.min() if len(later) else None)
             back = [(ts[j], ps[j], xs[j]) for j in range(len(g)) if ps[j] % 3 == 0 and ts[j] <= ts[k]]
@@ -72,6 +75,25 @@ def test_numbered_is_the_global_order(spark):
     assert got.rn.tolist() == list(range(200)) and got.p.tolist() == pdf.sort_values(["t", "p"]).p.tolist()
 
 
+def test_numbered_in_groups(spark):
+    from tickloom.operators.ordered import numbered
+
+    df, pdf = rows(spark, 5, 200)
+    got = numbered(df.repartition(9), ["t", "p"], "k", ["g"]).toPandas()
+    for g, part in got.groupby("g"):
+        part = part.sort_values("k")
+        assert part.k.tolist() == list(range(len(part))) and part.p.tolist() == pdf[pdf.g == g].sort_values(["t", "p"]).p.tolist()
+    assert numbered(df.limit(0), ["t"], "k", ["g"]).count() == 0
+
+
+def test_look_up_with_missing_times_and_groups(spark):
+    a = spark.createDataFrame([("a", 5, 1), (None, 5, 2), ("a", None, 3)], "g string, t bigint, p bigint")
+    b = spark.createDataFrame([("a", 4, 1, 7.0), (None, 4, 2, 8.0), ("a", None, 3, 9.0), ("a", 5, 4, None)], "g string, t bigint, p bigint, x double")
+    got = {r["p"]: r["x"] for r in T.backward(a, b, ["g"], "t", "p", ["x"]).collect()}
+    assert got == {1: None, 2: 8.0, 3: None}
+    assert T.backward(a, b.limit(0), ["g"], "t", "p", ["x"]).count() == 3 and T.backward(a.limit(0), b, ["g"], "t", "p", ["x"]).count() == 0
+
+
 def test_ridge_recovers_weights_and_purges(spark):
     rng = np.random.default_rng(1)
     n = 4000

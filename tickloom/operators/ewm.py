@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.cluster import checkpoint
+from tickloom.operators.ordered import numbered
 
 BLOCK = 4096
 FLOOR = 1e-12
@@ -27,8 +28,7 @@ def ewm(df: DataFrame, group: list[str], order: list[str], values: dict[str, flo
     sums of the weights follow from the row numbers alone.
     """
     decay = {v: 0.5 ** (1.0 / h) for v, h in values.items()}
-    order_by = [F.col(c) for c in order]
-    df = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*group).orderBy(*order_by)) - 1)
+    df = numbered(df, order, "_rn", group)
     df = df.withColumns({"_blk": F.floor(F.col("_rn") / block).cast("bigint"), "_k": (F.col("_rn") % block).cast("int")})
     w = Window.partitionBy(*group, "_blk").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
     sums = {}

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.ordered import numbered
+
 NS = 1_000_000_000
 ALPHAS = (1e0, 1e1, 1e2, 1e3, 1e4, 1e5, 1e6)
 #: Target, purge and embargo of the four horizons, in milliseconds.
@@ -25,20 +27,6 @@ HORIZONS = {"fast": (50, 2000, 1000), "medium": (500, 5000, 2500), "slow": (1000
 # ---- folds --------------------------------------------------------------------------------------------------------
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "rn") -> DataFrame:
-    """Rows numbered from 0 in a global order without a global task: counts of range partitions give each its offset."""
-    from tickloom.cluster import checkpoint
-
-    kept = checkpoint(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_pid", F.spark_partition_id()))
-    counts = {r["_pid"]: r["count"] for r in kept.groupBy("_pid").count().collect()}  # one row a partition
-    first, sofar = {}, 0
-    for pid in sorted(counts):
-        first[pid], sofar = sofar, sofar + counts[pid]
-    begin = F.create_map(*[F.lit(x).cast("bigint") for pair in first.items() for x in pair])[F.col("_pid").cast("bigint")] if first else F.lit(0)
-    local = F.monotonically_increasing_id() - (F.spark_partition_id().cast("bigint") * F.lit(1 << 33))
-    return kept.withColumn(name, begin + local).drop("_pid")
-
-
 def folds(df: DataFrame, n: int, k: int = 5, position: str = "rn") -> DataFrame:
     """Adds ``fold``: equal runs of rows by position, the last takes the rest."""
     return df.withColumn("fold", F.least(F.floor(F.col(position) / max(n // k, 1)), F.lit(k - 1)).cast("int"))
@@ -48,15 +36,22 @@ def fold_bounds(df: DataFrame, time: str) -> DataFrame:
     return df.groupBy("fold").agg(F.min(time).alias("start"), F.max(time).alias("end"), F.count("*").alias("n"))
 
 
+def _by_test(df: DataFrame, bounds: DataFrame, time: str, purge_ns: int, embargo_ns: int, allowed: bool) -> DataFrame:
+    t, out = F.col(time), []
+    for r in bounds.collect():  # one row a fold
+        ok = ((F.col("fold") < r["fold"]) & (t < r["start"] - purge_ns)) | ((F.col("fold") > r["fold"]) & (t > r["end"] + embargo_ns))
+        out.append(F.when((F.col("fold") != r["fold"]) & (ok if allowed else ~ok), F.lit(r["fold"])))
+    return df.withColumn("test", F.explode(F.array_compact(F.array(*out)))) if out else df.withColumn("test", F.lit(None).cast("int")).limit(0)
+
+
 def training_rows(df: DataFrame, bounds: DataFrame, time: str, purge_ns: int, embargo_ns: int) -> DataFrame:
-    """Rows by the folds (``test``) they may train: not their own, before its start less the purge, or after its end plus the embargo.
+    """Rows by the folds (``test``) they may train: not their own, before its start less the purge, or after its end plus the embargo."""
+    return _by_test(df, bounds, time, purge_ns, embargo_ns, True)
 
-    ``bounds`` has one row a fold, so each row is met with a handful of literals.
-    """
-    b = bounds.collect()
-    t = F.col(time)
-    ok = [F.when((F.col("fold") != r["fold"]) & (((F.col("fold") < r["fold"]) & (t < r["start"] - purge_ns)) | ((F.col("fold") > r["fold"]) & (t > r["end"] + embargo_ns))), F.lit(r["fold"])) for r in b]
-    return df.withColumn("test", F.explode(F.array_compact(F.array(*ok)))) if ok else df.withColumn("test", F.lit(None).cast("int")).limit(0)
+
+def barred_rows(df: DataFrame, bounds: DataFrame, time: str, purge_ns: int, embargo_ns: int) -> DataFrame:
+    """Rows of other folds by the folds that purge and embargo bar them from training."""
+    return _by_test(df, bounds, time, purge_ns, embargo_ns, False)
 
 
 # ---- linear models ------------------------------------------------------------------------------------------------
@@ -136,14 +131,15 @@ def loss(m: np.ndarray, w: np.ndarray, mean: np.ndarray, var: np.ndarray) -> tup
 def ridge_cv(df: DataFrame, x: list[str], y: str, time: str, purge_ms: int, embargo_ms: int, k: int = 5, alphas: tuple[float, ...] = ALPHAS) -> Linear:
     """Ridge with the penalty of the best out-of-fold R2 (the first of equal ones) over purged and embargoed folds.
 
-    Two aggregate passes, one over each fold's test rows and one over its training rows, serve all penalties. A fold with
-    fewer than 100 training or 10 test rows is passed over.
+    One pass sums each fold, one the few rows that purge and embargo bar from training: a fold's training moments are all
+    sums but its own, less those. They serve all penalties. A fold with fewer than 100 training or 10 test rows is passed over.
     """
     rows = numbered(df.where(F.col(y).isNotNull() & ~F.isnan(y)), [time])
     n = rows.count()
     rows = folds(rows, n, k)
-    train = gram(training_rows(rows, fold_bounds(rows, time), time, purge_ms * 1_000_000, embargo_ms * 1_000_000), x, y, "test")
     test = gram(rows, x, y, "fold")
+    barred = gram(barred_rows(rows, fold_bounds(rows, time), time, purge_ms * 1_000_000, embargo_ms * 1_000_000), x, y, "test")
+    train = {f: sum((m for g, m in test.items() if g != f), np.zeros_like(test[f])) - barred.get(f, 0) for f in test}
     usable = [f for f in test if f in train and train[f][0, 0] >= 100 and test[f][0, 0] >= 10]
     best, chosen = -np.inf, alphas[0]
     pooled = sum((test[f] for f in usable), np.zeros(())) if usable else None

@@ -31,6 +31,29 @@ def spread(rows: DataFrame) -> DataFrame:
     return checkpoint(rows.select("key", "t", "row_id", "value").repartitionByRange("key", "t", "row_id").sortWithinPartitions("key", "t", "row_id"))
 
 
+def numbered(df: DataFrame, order: list[str], name: str = "rn", group: list[str] | None = None) -> DataFrame:
+    """Rows numbered from 0 in a global order, or in each ``group``, without a task that holds a whole group.
+
+    Range partitions of a checkpoint are counted, one number each; a partition's rows follow on from those before it, and
+    a group's numbers count from its first row.
+    """
+    group = group or []
+    by = [*group, *order]
+    kept = checkpoint(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_pid", F.spark_partition_id()))
+    first, sofar = {}, 0
+    for r in sorted(kept.groupBy("_pid").count().collect()):
+        first[r["_pid"]], sofar = sofar, sofar + r["count"]
+    begin = F.element_at(F.map_from_arrays(F.array(*[F.lit(k) for k in first]), F.array(*[F.lit(v).cast("bigint") for v in first.values()])), F.col("_pid")) if first else F.lit(0)
+    rows = kept.withColumn(name, begin + F.monotonically_increasing_id() - F.spark_partition_id().cast("bigint") * F.lit(1 << 33)).drop("_pid")
+    if not group:
+        return rows
+    same = F.lit(True)
+    for k, c in enumerate(group):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{k}"))
+    starts = rows.groupBy(*group).agg(F.min(name).alias("_at")).withColumnsRenamed({c: f"_g{k}" for k, c in enumerate(group)})
+    return rows.join(broadcast_checked(starts), same).withColumn(name, F.col(name) - F.col("_at")).drop("_at", *[f"_g{k}" for k in range(len(group))])
+
+
 def _partition(batches: Iterator[pa.RecordBatch]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
     """Distinct keys in order, their first positions, and the columns of a partition; None if it is empty."""
     got = [b for b in batches if b.num_rows]

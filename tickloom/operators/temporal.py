@@ -10,7 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions import codes as C
+
 MS = 1_000_000
+#: Stretch of time that one task looks up in.
+SHARD_NS = 6 * 3600 * 1_000_000_000
 
 
 def _before(group: list[str], time: str, width: int):
@@ -44,18 +48,38 @@ def forward(df: DataFrame, group: list[str], time: str, position: str, values: l
     return df.withColumn(name, F.min(F.struct(position, *values)).over(w))
 
 
-def backward(left: DataFrame, right: DataFrame, group: list[str], time: str, position: str, values: list[str]) -> DataFrame:
-    """Each left row with ``values`` of the last right row at or before its time; null if there is none.
+def backward(left: DataFrame, right: DataFrame, group: list[str], time: str, position: str, values: list[str], shard_ns: int = SHARD_NS) -> DataFrame:
+    """Each left row with ``values`` of the last right row at or before its time, however long ago; null if there is none.
 
-    Both sides are merged into one ordered pass, right rows first at equal times; of right rows of one time the last by
-    ``position`` counts. The right row is taken whole, so its nulls stay nulls.
+    Of right rows of one time the last by ``position`` counts; the right row is taken whole, so its nulls stay nulls.
     """
-    r = right.select(*group, F.col(time).alias("_t"), F.lit(0).alias("_side"), F.col(position).alias("_p"), F.struct(*values).alias("_r"))
+    return _as_of(left, right, group, F.col(time), F.col(time), F.col(position), values, shard_ns)
+
+
+def first_after(left: DataFrame, right: DataFrame, group: list[str], time: str, position: str, values: list[str], horizon: int = 0, shard_ns: int = SHARD_NS) -> DataFrame:
+    """Each left row with ``values`` of the first right row at or after its time plus ``horizon``, of several of one time the first by ``position``."""
+    return _as_of(left, right, group, -(F.col(time) + F.lit(horizon)), -F.col(time), -F.col(position), values, shard_ns)
+
+
+def _as_of(left: DataFrame, right: DataFrame, group: list[str], at: Column, when: Column, tie: Column, values: list[str], shard_ns: int) -> DataFrame:
+    """Look-up by stretches of time: inside a stretch one ordered pass over both sides; what a stretch takes over from
+    those before it comes from one row a stretch. So a group is as many tasks as it has stretches."""
+    shard = lambda c: C.floor_div(c, shard_ns)
+    r = right.select(*group, when.alias("_t"), F.lit(0).alias("_side"), tie.cast("bigint").alias("_p"), F.struct(*values).alias("_r")).where(F.col("_t").isNotNull())
     cols = [c for c in left.columns if c not in values]
-    a = left.select(*cols).withColumns({"_t": F.col(time), "_side": F.lit(1), "_p": F.lit(0).cast("bigint")})
-    w = Window.partitionBy(*group).orderBy("_t", "_side", "_p").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(r, allowMissingColumns=True).withColumn("_r", F.last("_r", ignorenulls=True).over(w))
-    return both.where(F.col("_side") == 1).select(*cols, *[F.col(f"_r.{v}").alias(v) for v in values])
+    a = left.select(*left.columns).withColumns({"_t": at, "_side": F.lit(1), "_p": F.lit(0).cast("bigint")}).drop(*[v for v in values if v in left.columns])
+    both = a.unionByName(r, allowMissingColumns=True).withColumn("_s", shard(F.col("_t")))
+    own = Window.partitionBy(*group, "_s").orderBy("_t", "_side", "_p").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("_r", F.last("_r", ignorenulls=True).over(own)).where(F.col("_side") == 1)
+    ends = r.withColumn("_s", shard(F.col("_t"))).groupBy(*group, "_s").agg(F.max_by("_r", F.struct("_t", "_p")).alias("_r"))
+    marks = ends.unionByName(a.select(*group, shard(F.col("_t")).alias("_s")).distinct(), allowMissingColumns=True).groupBy(*group, "_s").agg(F.first("_r", ignorenulls=True).alias("_r"))
+    before = Window.partitionBy(*group).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    carried = marks.select(*[F.col(c).alias(f"_g_{c}") for c in group], F.col("_s").alias("_g_s"), F.last("_r", ignorenulls=True).over(before).alias("_carry"))
+    same = F.col("_s").eqNullSafe(F.col("_g_s"))
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    out = seen.join(carried, same, "left").withColumn("_r", F.coalesce("_r", "_carry"))
+    return out.select(*cols, *[F.when(F.col("_t").isNotNull(), F.col(f"_r.{v}")).alias(v) for v in values])
 
 
 def excursion(df: DataFrame, group: list[str], time: str, position: str, value: str, horizon: int) -> DataFrame:

@@ -239,19 +239,19 @@ def ew_kyle_lambda(spark, sf_dir):
     return W.kyle_lambda(r, ["i"], ["ts", "row_id"], "dmid", "z_ofi_l1_500ms", 500.0, 5000.0).select("row_id", "kyle_lambda", "z_kyle_lambda")
 
 
-_RL = _RG + """, o AS (SELECT *, mid AS v, row_number() OVER (PARTITION BY i ORDER BY ts, row_id) AS k FROM r WHERE ts IS NOT NULL AND mid IS NOT NULL),
-d AS (SELECT *, list(v) OVER (PARTITION BY i ORDER BY k ROWS 49 PRECEDING) AS l50, v - lag(v) OVER w AS df, CASE WHEN lag(v) OVER w <> 0 THEN (v - lag(v) OVER w) / lag(v) OVER w END AS rt FROM o WINDOW w AS (PARTITION BY i ORDER BY k))
+_RL = _RG + """, o AS (SELECT *, mid AS v, row_number() OVER (PARTITION BY i, trade_date ORDER BY ts, row_id) AS k FROM r WHERE ts IS NOT NULL AND mid IS NOT NULL),
+d AS (SELECT *, list(v) OVER (PARTITION BY i, trade_date ORDER BY k ROWS 49 PRECEDING) AS l50, v - lag(v) OVER w AS df, CASE WHEN lag(v) OVER w <> 0 THEN (v - lag(v) OVER w) / lag(v) OVER w END AS rt FROM o WINDOW w AS (PARTITION BY i, trade_date ORDER BY k))
 SELECT row_id, round(avg(v) OVER w5 - avg(v) OVER w20, 6) AS mom_5_20, round(avg(v) OVER w5 - avg(v) OVER p15, 6) AS mom_5_prev15, df AS mom_1, round(avg(v) OVER w3 - avg(v) OVER w10, 6) AS mom_3_10,
  round(stddev_pop(v) OVER w10, 5) AS vol_sd10, round(avg(v) OVER wa, 5) AS run_mean, round(stddev_pop(v) OVER wa, 4) AS run_sd, round(sqrt(avg(rt * rt) OVER w50), 8) AS vol_rms50, round(stddev_samp(abs(df)) OVER w20, 5) AS vol_sd_abs20,
  round(len(list_filter(l50, lambda x: x < v)) / len(l50), 6) AS rank_50
-FROM d WINDOW w3 AS (PARTITION BY i ORDER BY k ROWS 2 PRECEDING), w5 AS (PARTITION BY i ORDER BY k ROWS 4 PRECEDING), w10 AS (PARTITION BY i ORDER BY k ROWS 9 PRECEDING), w20 AS (PARTITION BY i ORDER BY k ROWS 19 PRECEDING),
- w50 AS (PARTITION BY i ORDER BY k ROWS 49 PRECEDING), p15 AS (PARTITION BY i ORDER BY k ROWS BETWEEN 19 PRECEDING AND 5 PRECEDING), wa AS (PARTITION BY i ORDER BY k ROWS UNBOUNDED PRECEDING)"""
+FROM d WINDOW w3 AS (PARTITION BY i, trade_date ORDER BY k ROWS 2 PRECEDING), w5 AS (PARTITION BY i, trade_date ORDER BY k ROWS 4 PRECEDING), w10 AS (PARTITION BY i, trade_date ORDER BY k ROWS 9 PRECEDING), w20 AS (PARTITION BY i, trade_date ORDER BY k ROWS 19 PRECEDING),
+ w50 AS (PARTITION BY i, trade_date ORDER BY k ROWS 49 PRECEDING), p15 AS (PARTITION BY i, trade_date ORDER BY k ROWS BETWEEN 19 PRECEDING AND 5 PRECEDING), wa AS (PARTITION BY i, trade_date ORDER BY k ROWS UNBOUNDED PRECEDING)"""
 
 
 @_q("ew_rolling", _RL)
 def ew_rolling(spark, sf_dir):
     r = _rg(spark, sf_dir).where(F.col("ts").isNotNull() & F.col("mid").isNotNull())
-    out = W.rolling(r, ["i"], ["ts", "row_id"], "mid")
+    out = W.rolling(r, ["i", "trade_date"], ["ts", "row_id"], "mid")
     return _round(out.select("row_id", "mom_5_20", "mom_5_prev15", "mom_1", "mom_3_10", "vol_sd10", "run_mean", "run_sd", "vol_rms50", "vol_sd_abs20", "rank_50"), 6, vol_sd10=5, run_mean=5, run_sd=4, vol_rms50=8, vol_sd_abs20=5)
 
 
@@ -365,11 +365,11 @@ _CEN = [(-1.0, 1.0), (0.0, 2.0), (1.5, 4.0)]
 _FAR = [f"pow(z_realized_vol - {v}, 2) + pow(spread_ticks - {s}, 2)" for v, s in _CEN]
 
 
-@_q("ml_regime_hysteresis", _RG + f", x AS (SELECT row_id, i, row_number() OVER (PARTITION BY i ORDER BY ts, row_id) AS k, CASE WHEN {_FAR[0]} <= least({_FAR[1]}, {_FAR[2]}) THEN 0 WHEN {_FAR[1]} <= {_FAR[2]} THEN 1 ELSE 2 END AS raw FROM r WHERE ts IS NOT NULL AND z_realized_vol IS NOT NULL AND spread_ticks IS NOT NULL), a AS (SELECT *, CASE WHEN min(raw) OVER w = max(raw) OVER w AND count(*) OVER w = 5 THEN raw END AS agreed FROM x WINDOW w AS (PARTITION BY i ORDER BY k ROWS 4 PRECEDING)) SELECT row_id, raw, coalesce(last_value(agreed IGNORE NULLS) OVER (PARTITION BY i ORDER BY k ROWS UNBOUNDED PRECEDING), 0) AS regime FROM a")
+@_q("ml_regime_hysteresis", _RG + f", x AS (SELECT row_id, i, trade_date, row_number() OVER (PARTITION BY i, trade_date ORDER BY ts, row_id) AS k, CASE WHEN {_FAR[0]} <= least({_FAR[1]}, {_FAR[2]}) THEN 0 WHEN {_FAR[1]} <= {_FAR[2]} THEN 1 ELSE 2 END AS raw FROM r WHERE ts IS NOT NULL AND z_realized_vol IS NOT NULL AND spread_ticks IS NOT NULL), a AS (SELECT *, CASE WHEN min(raw) OVER w = max(raw) OVER w AND count(*) OVER w = 5 THEN raw END AS agreed FROM x WINDOW w AS (PARTITION BY i, trade_date ORDER BY k ROWS 4 PRECEDING)) SELECT row_id, raw, coalesce(last_value(agreed IGNORE NULLS) OVER (PARTITION BY i, trade_date ORDER BY k ROWS UNBOUNDED PRECEDING), 0) AS regime FROM a")
 def ml_regime_hysteresis(spark, sf_dir):
     r = _rg(spark, sf_dir).where(F.col("ts").isNotNull() & F.col("z_realized_vol").isNotNull() & F.col("spread_ticks").isNotNull())
     r = r.withColumn("raw", ML.nearest_regime(F.col("z_realized_vol"), F.col("spread_ticks"), _CEN))
-    return ML.hysteresis(r, ["i"], ["ts", "row_id"], "raw").select("row_id", "raw", "regime")
+    return ML.hysteresis(r, ["i", "trade_date"], ["ts", "row_id"], "raw").select("row_id", "raw", "regime")
 
 
 @_q("ml_rls")
@@ -488,9 +488,9 @@ def aj_iv_change(spark, sf_dir):
 @_q("aj_fwd_same_date", f"WITH r AS (SELECT row_id, trade_date, instrument_id AS i, ts_ns AS ts, {_nn('mid')}, row_number() OVER (PARTITION BY instrument_id ORDER BY ts_ns, row_id) AS k FROM regressors WHERE ts_ns IS NOT NULL), x AS (SELECT *, min(k) OVER (PARTITION BY i ORDER BY ts RANGE BETWEEN 60000000000 FOLLOWING AND UNBOUNDED FOLLOWING) AS fk FROM r) SELECT x.row_id, CASE WHEN f.trade_date = x.trade_date THEN round(f.mid - x.mid, 6) END AS fwd FROM x LEFT JOIN r f ON f.i = x.i AND f.k = x.fk")
 def aj_fwd_same_date(spark, sf_dir):
     r = tables(spark, sf_dir, "regressors").where(F.col("ts_ns").isNotNull()).select("row_id", "trade_date", F.col("instrument_id").alias("i"), F.col("ts_ns").alias("ts"), A.clean("mid").alias("mid"))
-    r = temporal.positioned(r, ["i"], "ts", "row_id", "k")
-    r = temporal.forward(r, ["i"], "ts", "k", ["trade_date", "mid"], 60 * ML.NS, "f")
-    return r.select("row_id", F.when(F.col("f.trade_date") == F.col("trade_date"), F.round(F.col("f.mid") - F.col("mid"), 6)).alias("fwd"))
+    later = r.withColumnsRenamed({"trade_date": "fdate", "mid": "fmid"})
+    r = temporal.first_after(r, later, ["i"], "ts", "row_id", ["fdate", "fmid"], 60 * ML.NS)
+    return r.select("row_id", F.when(F.col("fdate") == F.col("trade_date"), F.round(F.col("fmid") - F.col("mid"), 6)).alias("fwd"))
 
 
 # ---- execution ----------------------------------------------------------------------------------------------------
@@ -506,36 +506,36 @@ def sm_kpis(spark, sf_dir):
     return SM.kpis(SM.simulate(tables(spark, sf_dir, "market_data")))
 
 
-_MD = "WITH m AS (SELECT row_id, symbol, timestamp_ns AS ts, trade_side, bid_px_00, ask_px_00, row_number() OVER (PARTITION BY symbol ORDER BY timestamp_ns, row_id) AS k, (CASE WHEN NOT (cast(bid_px_00 AS VARCHAR) = 'nan') THEN bid_px_00 END + CASE WHEN NOT (cast(ask_px_00 AS VARCHAR) = 'nan') THEN ask_px_00 END) / 2 AS mid FROM market_data)\n"
+_MD = "WITH m AS (SELECT row_id, symbol, timestamp_ns AS ts, timestamp_ns // 86400000000000 AS day, trade_side, bid_px_00, ask_px_00, row_number() OVER (PARTITION BY symbol, timestamp_ns // 86400000000000 ORDER BY timestamp_ns, row_id) AS k, (CASE WHEN NOT (cast(bid_px_00 AS VARCHAR) = 'nan') THEN bid_px_00 END + CASE WHEN NOT (cast(ask_px_00 AS VARCHAR) = 'nan') THEN ask_px_00 END) / 2 AS mid FROM market_data)\n"
 
 
 def _md(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables(spark, sf_dir, "market_data").select("row_id", "symbol", F.col("timestamp_ns").alias("ts"), "trade_side", ((A.clean("bid_px_00") + A.clean("ask_px_00")) / 2).alias("mid"))
+    return tables(spark, sf_dir, "market_data").select("row_id", "symbol", F.col("timestamp_ns").alias("ts"), C.floor_div(F.col("timestamp_ns"), 86_400 * ML.NS).alias("day"), "trade_side", ((A.clean("bid_px_00") + A.clean("ask_px_00")) / 2).alias("mid"))
 
 
-@_q("sm_streaks", _MD + ", g AS (SELECT *, CASE WHEN lag(trade_side) OVER w IS DISTINCT FROM trade_side THEN 1 ELSE 0 END AS nw FROM m WINDOW w AS (PARTITION BY symbol ORDER BY k)), r AS (SELECT *, sum(nw) OVER (PARTITION BY symbol ORDER BY k) AS run FROM g) SELECT row_id, cast(row_number() OVER (PARTITION BY symbol, run ORDER BY k) AS INT) AS streak FROM r")
+@_q("sm_streaks", _MD + ", g AS (SELECT *, CASE WHEN lag(trade_side) OVER w IS DISTINCT FROM trade_side THEN 1 ELSE 0 END AS nw FROM m WINDOW w AS (PARTITION BY symbol, day ORDER BY k)), r AS (SELECT *, sum(nw) OVER (PARTITION BY symbol, day ORDER BY k) AS run FROM g) SELECT row_id, cast(row_number() OVER (PARTITION BY symbol, day, run ORDER BY k) AS INT) AS streak FROM r")
 def sm_streaks(spark, sf_dir):
-    return SM.streaks(_md(spark, sf_dir), ["symbol"], ["ts", "row_id"], F.coalesce("trade_side", F.lit(""))).select("row_id", "streak")
+    return SM.streaks(_md(spark, sf_dir), ["symbol", "day"], ["ts", "row_id"], F.coalesce("trade_side", F.lit(""))).select("row_id", "streak")
 
 
-@_q("sm_hindsight", _MD + ", v AS (SELECT row_id, symbol, k, mid FROM m WHERE mid IS NOT NULL) SELECT row_id, " + ", ".join(f"max(mid) OVER w{n} - mid AS rise_{n}, min(mid) OVER w{n} - mid AS fall_{n}" for n in (10, 20, 40)) + " FROM v WINDOW " + ", ".join(f"w{n} AS (PARTITION BY symbol ORDER BY k ROWS BETWEEN 1 FOLLOWING AND {n} FOLLOWING)" for n in (10, 20, 40)))
+@_q("sm_hindsight", _MD + ", v AS (SELECT row_id, symbol, day, k, mid FROM m WHERE mid IS NOT NULL) SELECT row_id, " + ", ".join(f"max(mid) OVER w{n} - mid AS rise_{n}, min(mid) OVER w{n} - mid AS fall_{n}" for n in (10, 20, 40)) + " FROM v WINDOW " + ", ".join(f"w{n} AS (PARTITION BY symbol, day ORDER BY k ROWS BETWEEN 1 FOLLOWING AND {n} FOLLOWING)" for n in (10, 20, 40)))
 def sm_hindsight(spark, sf_dir):
-    return SM.hindsight(_md(spark, sf_dir).where(F.col("mid").isNotNull()), ["symbol"], ["ts", "row_id"], "mid").drop("symbol", "ts", "trade_side", "mid")
+    return SM.hindsight(_md(spark, sf_dir).where(F.col("mid").isNotNull()), ["symbol", "day"], ["ts", "row_id"], "mid").drop("symbol", "day", "ts", "trade_side", "mid")
 
 
 @_q("sm_entry_sampling", _MD + "SELECT symbol, count(*) AS n, round(avg(mid), 4) AS mean_mid FROM m WHERE k % 20 = 0 GROUP BY 1")
 def sm_entry_sampling(spark, sf_dir):
-    s = SM.systematic_sample(_md(spark, sf_dir), ["symbol"], ["ts", "row_id"])
+    s = SM.systematic_sample(_md(spark, sf_dir), ["symbol", "day"], ["ts", "row_id"])
     return _round(s.groupBy("symbol").agg(F.count("*").alias("n"), F.avg("mid").alias("mean_mid")), 4)
 
 
-@_q("sm_rolling_share", _TF + "SELECT row_id, round(avg(CASE WHEN abs(imb) > 0.5 THEN 1.0 ELSE 0 END) OVER (PARTITION BY i ORDER BY ts, row_id ROWS 999 PRECEDING), 6) AS share FROM tf WHERE ts IS NOT NULL")
+@_q("sm_rolling_share", _TF + "SELECT row_id, round(avg(CASE WHEN abs(imb) > 0.5 THEN 1.0 ELSE 0 END) OVER (PARTITION BY i, trade_date ORDER BY ts, row_id ROWS 999 PRECEDING), 6) AS share FROM tf WHERE ts IS NOT NULL")
 def sm_rolling_share(spark, sf_dir):
-    return _round(SM.rolling_share(_tf(spark, sf_dir).where(F.col("ts").isNotNull()), ["i"], ["ts", "row_id"], F.abs("imb") > 0.5).select("row_id", "share"))
+    return _round(SM.rolling_share(_tf(spark, sf_dir).where(F.col("ts").isNotNull()), ["i", "trade_date"], ["ts", "row_id"], F.abs("imb") > 0.5).select("row_id", "share"))
 
 
-@_q("sm_inventory", _MD + "SELECT row_id, cast(sum(CASE trade_side WHEN 'B' THEN 1 WHEN 'A' THEN -1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY k ROWS UNBOUNDED PRECEDING) AS BIGINT) AS inventory FROM m")
+@_q("sm_inventory", _MD + "SELECT row_id, cast(sum(CASE trade_side WHEN 'B' THEN 1 WHEN 'A' THEN -1 ELSE 0 END) OVER (PARTITION BY symbol, day ORDER BY k ROWS UNBOUNDED PRECEDING) AS BIGINT) AS inventory FROM m")
 def sm_inventory(spark, sf_dir):
-    w = Window.partitionBy("symbol").orderBy("ts", "row_id").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("symbol", "day").orderBy("ts", "row_id").rowsBetween(Window.unboundedPreceding, 0)
     side = F.when(F.col("trade_side") == "B", 1).when(F.col("trade_side") == "A", -1).otherwise(0)
     return _md(spark, sf_dir).select("row_id", F.sum(side).over(w).alias("inventory"))
