@@ -91,12 +91,13 @@ t2 AS (
          row_number() OVER (PARTITION BY d, i ORDER BY ts, n) AS r FROM t1),
 t3 AS (
   SELECT *, CASE WHEN bid IS NOT NULL AND ask IS NOT NULL AND b1 + a1 > 0 THEN (ask * 0.25 * b1 + bid * 0.25 * a1) / (a1 + b1) ELSE last_mid END AS micro,
+         least(greatest(coalesce(ts - lag(ts) OVER w, 0), 0), 60000000000) AS gap, coalesce(lag(spread) OVER w, 0) * least(greatest(coalesce(ts - lag(ts) OVER w, 0), 0), 60000000000) AS held,
          CASE WHEN lag(last_mid) OVER w IS NULL THEN 0 ELSE ln(greatest(last_mid, 1e-6)) - ln(greatest(lag(last_mid) OVER w, 1e-6)) END AS lr,
          coalesce(b1 - lag(b1) OVER w, 0) AS db, coalesce(a1 - lag(a1) OVER w, 0) AS da, cast(coalesce(ts_in_delta, 0) AS DOUBLE) AS lat
   FROM t2 WINDOW w AS (PARTITION BY d, i ORDER BY r)),
 t AS (
   SELECT *, cast(sum(CASE WHEN s = 0 THEN size ELSE 0 END) OVER w AS BIGINT) AS cum_buy, cast(sum(CASE WHEN s = 1 THEN size ELSE 0 END) OVER w AS BIGINT) AS cum_sell,
-         sum(lr * lr) OVER w AS cum_sq, sum(lat) OVER w AS cum_lat, sum(lat * lat) OVER w AS cum_lat_sq, cast(sum(abs(db)) OVER w AS BIGINT) AS cum_b_churn, cast(sum(abs(da)) OVER w AS BIGINT) AS cum_a_churn
+         cast(sum(gap) OVER w AS BIGINT) AS cum_gap, cast(sum(held) OVER w AS BIGINT) AS cum_held, sum(lr * lr) OVER w AS cum_sq, sum(lat) OVER w AS cum_lat, sum(lat * lat) OVER w AS cum_lat_sq, cast(sum(abs(db)) OVER w AS BIGINT) AS cum_b_churn, cast(sum(abs(da)) OVER w AS BIGINT) AS cum_a_churn
   FROM t3 WINDOW w AS (PARTITION BY d, i ORDER BY r ROWS UNBOUNDED PRECEDING))
 """
 _ID = "strftime(d, '%Y-%m-%d') AS day, i AS instrument_id, n"
@@ -287,6 +288,10 @@ def _quotes_sql(w: int) -> dict[str, str]:
     }
 
 
+def _trade_twas_sql(w: int) -> dict[str, str]:
+    return {"trade_twas": f"round(CASE WHEN {_g('cum_gap', w)} > 0 THEN {_g('cum_held', w)} / {_g('cum_gap', w)} END, 6)"}
+
+
 def _family(family: str, skip: tuple[str, ...] = ()):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = features.windowed(_trades(spark, sf_dir), WINDOWS, [family], depletion=False)
@@ -298,7 +303,7 @@ def _family(family: str, skip: tuple[str, ...] = ()):
     return run
 
 
-for _name, _sql, _skip in (("flow", _flow_sql, ()), ("trades", _trades_sql, ()), ("fills", _fills_sql, ()), ("volatility", _volatility_sql, ("latency_std",)), ("quotes", _quotes_sql, ())):
+for _name, _sql, _skip in (("flow", _flow_sql, ()), ("trades", _trades_sql, ()), ("fills", _fills_sql, ()), ("volatility", _volatility_sql, ("latency_std",)), ("quotes", _quotes_sql, ()), ("trade_twas", _trade_twas_sql, ())):
     QUERIES[f"wn_{_name}"] = _family(_name, _skip)
     ORACLES[f"wn_{_name}"] = _win(features.FAMILIES[_name][1], _sql)
 

@@ -13,6 +13,7 @@ from tickloom.operators import analysis as A
 from tickloom.operators import ewm as W
 from tickloom.operators import models as ML
 from tickloom.operators import options as OP
+from tickloom.operators import signals as SG
 from tickloom.operators import simulator as SM
 from tickloom.operators import temporal
 
@@ -539,3 +540,61 @@ def sm_inventory(spark, sf_dir):
     w = Window.partitionBy("symbol", "day").orderBy("ts", "row_id").rowsBetween(Window.unboundedPreceding, 0)
     side = F.when(F.col("trade_side") == "B", 1).when(F.col("trade_side") == "A", -1).otherwise(0)
     return _md(spark, sf_dir).select("row_id", F.sum(side).over(w).alias("inventory"))
+
+
+# ---- signals over depth rows --------------------------------------------------------------------------------------
+
+_SG = "WITH m AS (SELECT row_id, symbol, timestamp_ns AS ts, timestamp_ns // 86400000000000 AS day, " + ", ".join(_nn(c) for c in ("bid_px_00", "ask_px_00", "bid_sz_00", "ask_sz_00", "trade_size")) + " FROM market_data), v AS (SELECT *, (bid_px_00 + ask_px_00) / 2 AS mid, coalesce(trade_size, 0) AS vol, CASE WHEN coalesce(bid_sz_00, 0) + coalesce(ask_sz_00, 0) > 0 THEN (coalesce(bid_sz_00, 0) - coalesce(ask_sz_00, 0)) / (coalesce(bid_sz_00, 0) + coalesce(ask_sz_00, 0)) ELSE 0 END AS flow, row_number() OVER (PARTITION BY symbol, day ORDER BY ts, row_id) AS k FROM m WHERE bid_px_00 IS NOT NULL AND ask_px_00 IS NOT NULL)\n"
+_W = "(PARTITION BY symbol, day ORDER BY k{})"
+
+
+def _depth_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = tables(spark, sf_dir, "market_data")
+    m = m.select("row_id", "symbol", F.col("timestamp_ns").alias("ts"), C.floor_div(F.col("timestamp_ns"), 86_400 * ML.NS).alias("day"), *[A.clean(c).alias(c) for c in ("bid_px_00", "ask_px_00", "bid_sz_00", "ask_sz_00", "trade_size")])
+    m = m.where(F.col("bid_px_00").isNotNull() & F.col("ask_px_00").isNotNull())
+    b, a = F.coalesce("bid_sz_00", F.lit(0.0)), F.coalesce("ask_sz_00", F.lit(0.0))
+    return m.withColumns({"mid": (F.col("bid_px_00") + F.col("ask_px_00")) / 2, "vol": F.coalesce("trade_size", F.lit(0.0)), "flow": F.when(b + a > 0, (b - a) / (b + a)).otherwise(0.0)})
+
+
+_KEY = (["symbol", "day"], ["ts", "row_id"])
+
+
+@_q("aj_row_lookbacks", _SG + f"SELECT row_id, lag(mid, 5) OVER {_W.format('')} AS mid_back5, lag(mid, 10) OVER {_W.format('')} AS mid_back10 FROM v")
+def aj_row_lookbacks(spark, sf_dir):
+    return SG.row_lookbacks(_depth_rows(spark, sf_dir), *_KEY, "mid").select("row_id", "mid_back5", "mid_back10")
+
+
+_PR = f""", s AS (SELECT *, coalesce((mid - lag(mid, 4) OVER w) / 0.25, 0) AS momentum, coalesce((lag(mid, 10) OVER w - lag(mid, 5) OVER w) / 0.25, 0) AS momentum_acc,
+  CASE WHEN k >= 10 THEN (sum(vol) OVER {_W.format(' ROWS 4 PRECEDING')} - sum(vol) OVER {_W.format(' ROWS BETWEEN 9 PRECEDING AND 5 PRECEDING')}) / 5 ELSE 0 END AS volume_acc,
+  CASE WHEN k >= 5 THEN avg(flow) OVER {_W.format(' ROWS 2 PRECEDING')} - avg(flow) OVER {_W.format(' ROWS BETWEEN 4 PRECEDING AND 3 PRECEDING')} ELSE 0 END AS flow_trend FROM v WINDOW w AS {_W.format('')})
+"""
+_MV = {n: f"CASE WHEN k >= 10 THEN least((CASE WHEN {s}momentum > 0.2 THEN 0.3 ELSE 0 END + CASE WHEN {s}momentum_acc > 0.1 THEN 0.3 ELSE 0 END + CASE WHEN volume_acc > 5 THEN 0.2 ELSE 0 END + CASE WHEN {s}flow_trend > 0.1 THEN 0.2 ELSE 0 END) * (greatest({s}momentum, 0) + greatest({s}momentum_acc, 0)), 5) ELSE 0 END" for n, s in (("up", ""), ("down", "-"))}
+
+
+@_q("sm_predictor", _SG + _PR + f"SELECT row_id, momentum, momentum_acc, round(volume_acc, 6) AS volume_acc, round(flow_trend, 6) AS flow_trend, round({_MV['up']}, 6) + 0.0 AS move_up, round({_MV['down']}, 6) + 0.0 AS move_down FROM s")
+def sm_predictor(spark, sf_dir):
+    p = SG.predictor(_depth_rows(spark, sf_dir), *_KEY, "mid", "vol", "flow")
+    p = _round(p.select("row_id", "momentum", "momentum_acc", "volume_acc", "flow_trend", "move_up", "move_down"))
+    return p.withColumns({c: F.col(c) + 0.0 for c in ("move_up", "move_down")})
+
+
+@_q("ew_impact_ratio", _SG + f""", d AS (SELECT *, abs(mid - lag(mid) OVER w) / 0.25 AS dm, abs(flow - lag(flow) OVER w) AS dfl FROM v WINDOW w AS {_W.format('')}),
+s AS (SELECT *, sum(CASE WHEN dfl > 0.001 THEN dm ELSE 0 END) OVER w AS up, sum(CASE WHEN dfl > 0.001 THEN dfl ELSE 0 END) OVER w AS dn FROM d WINDOW w AS {_W.format(' ROWS 3 PRECEDING')}),
+i AS (SELECT *, CASE WHEN k > 4 AND dn > 0.001 THEN least(greatest(up / dn, 0.001), 0.05) END AS impact FROM s),
+a AS (SELECT *, CASE WHEN impact IS NOT NULL THEN avg(impact) OVER (PARTITION BY symbol, day, impact IS NULL ORDER BY k ROWS 49 PRECEDING) END AS av FROM i)
+SELECT row_id, round(impact, 6) AS impact, round(coalesce(last_value(av IGNORE NULLS) OVER {_W.format(' ROWS UNBOUNDED PRECEDING')}, 0.01), 6) AS avg_impact FROM a""")
+def ew_impact_ratio(spark, sf_dir):
+    return _round(SG.impact_ratio(_depth_rows(spark, sf_dir), *_KEY, "mid", "flow").select("row_id", "impact", "avg_impact"))
+
+
+@_q("ew_stale_scaler", _SG + f""", f AS (SELECT *, CASE WHEN k % 50 = 0 OR k >= 500 THEN avg(mid) OVER {_W.format(' ROWS 499 PRECEDING')} END AS mm, CASE WHEN k % 50 = 0 OR k >= 500 THEN stddev_pop(mid) OVER {_W.format(' ROWS 499 PRECEDING')} END AS ss FROM v),
+c AS (SELECT *, coalesce(last_value(mm IGNORE NULLS) OVER w, 0) AS m0, coalesce(last_value(ss IGNORE NULLS) OVER w, 1) AS s0 FROM f WINDOW w AS {_W.format(' ROWS UNBOUNDED PRECEDING')})
+SELECT row_id, round((mid - m0) / CASE WHEN s0 < 1e-6 THEN 1 ELSE s0 END, 4) AS mid_scaled FROM c""")
+def ew_stale_scaler(spark, sf_dir):
+    return _round(SG.stale_scaler(_depth_rows(spark, sf_dir), *_KEY, "mid").select("row_id", "mid_scaled"), 4)
+
+
+@_q("bk_depth_balance", _SG + "SELECT row_id, round(CASE WHEN b + a > 0 THEN b / (b + a) ELSE 0 END, 9) AS qi_bid, round(CASE WHEN b + a > 0 THEN a / (b + a) ELSE 0 END, 9) AS qi_ask, round(CASE WHEN a > 0.001 THEN b / a ELSE 1 END, 9) AS depth_ratio FROM (SELECT row_id, coalesce(bid_sz_00, 0) AS b, coalesce(ask_sz_00, 0) AS a FROM v)")
+def bk_depth_balance(spark, sf_dir):
+    d = _depth_rows(spark, sf_dir)
+    return _round(d.select("row_id", *[v.alias(k) for k, v in SG.depth_balance(F.array("bid_sz_00"), F.array("ask_sz_00")).items()]), 9)
