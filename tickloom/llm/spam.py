@@ -127,22 +127,24 @@ def _plain(word: str) -> tuple[str, bool]:
     return word, disguised
 
 
-def pieces(text: str) -> list[str]:
-    out = []
+def pieces(text: str) -> list[tuple[str, bool]]:
+    """Units of a page, and of each whether it goes on from a piece of its sentence that a label opened."""
+    out: list[tuple[str, bool]] = []
     for sentence in _CUT.split(text):
         if not sentence.strip():
             continue
         if len(sentence) < 220:
-            out.append(sentence)
+            out.append((sentence, False))
             continue
-        start, words = 0, 0
+        start, words, label = 0, 0, _LABEL.search(sentence)
+        opened = label.start() if label else len(sentence)
         for m in re.finditer(r"\s+", sentence):
             words += 1
             if words >= PIECE_WORDS:
-                out.append(sentence[start : m.end()])
+                out.append((sentence[start : m.end()], start > opened))
                 start, words = m.end(), 0
         if start < len(sentence):
-            out.append(sentence[start:])
+            out.append((sentence[start:], start > opened))
     return out
 
 
@@ -152,7 +154,8 @@ def units(text: str) -> tuple[str, np.ndarray, np.ndarray]:
     spaced: list[str] = []
     text = _SPACED.sub(lambda m: spaced.append(m.group().replace(" ", "").lower()) or spaced[-1], text)
     hidden = set(spaced)
-    parts = pieces(text)
+    cut = pieces(text)
+    parts, goes_on = [p for p, _ in cut], [g for _, g in cut]
     if not parts:
         return "none", np.zeros(0, np.int64), np.zeros((0, len(FEATURES) + 1))
     bare, dense = [], []
@@ -183,14 +186,17 @@ def units(text: str) -> tuple[str, np.ndarray, np.ndarray]:
                         names.add(found[-1][0])
         items.append(found)
     count = Counter(x for found in items for x, _ in found)
-    most = max(5, 0.08 * sum(count.values()))
-    often = {x for x, c in count.items() if c >= (most if x in names else 3)}
+    whole = sum(count.values())
+    most = max(5, 0.08 * whole)
+    least = 2 if sum(c for c in count.values() if c >= 3) >= 0.3 * whole else 3
+    often = {x for x, c in count.items() if c >= (most if x in names else least)}
 
     rows = np.zeros((len(parts), len(FEATURES) + 1))
     for k, (part, ws) in enumerate(zip(parts, words)):
         size, n = max(len(part.strip()), 1), len(ws)
         label = _LABEL.search(part)
-        packed = max(dense[k], len(part) - label.start() if label else 0)
+        lacking = 1 - sum(w in known for w in ws) / n if n else 1.0
+        packed = max(dense[k], len(part) - label.start() if label else 0, len(part) if goes_on[k] and lacking > 0.8 else 0)
         plain = [_plain(w) for w in ws]
         disguised = sum(d or w in hidden for w, d in plain)
         trade = sum(w in TRADE_WORDS for w, _ in plain)
@@ -201,13 +207,16 @@ def units(text: str) -> tuple[str, np.ndarray, np.ndarray]:
         repeat = lack = 0.0
         if len(content) >= 4 and (trade > 1 or not _SUM.search(bare[k])):
             seen = Counter(content)
-            repeat = max(0.0, 1 - len(seen) / len(content) - USUAL_REPEAT) / (1 - USUAL_REPEAT)
-            repeat *= max(0.0, 1 - 2 * max(0.0, named - 0.15))
-            if repeat:
+            listed = max(0.0, 1 - 2 * max(0.0, named - 0.15))  # in a list of names, what comes back is their status
+            repeat = max(0.0, 1 - len(seen) / len(content) - USUAL_REPEAT) / (1 - USUAL_REPEAT) * listed
+            if repeat > 0:
                 weights = np.array(list(seen.values()), float) / len(content)
-                lack = 1 + float((weights * np.log(weights)).sum()) / np.log(len(content))
+                lack = listed * (1 + float((weights * np.log(weights)).sum()) / np.log(len(content)))
+        if named and lacking > 0.8:  # names seldom come back; keywords in capitals do
+            capital = [w for w in raw if len(w) > 3 and _named(w)]
+            back = 1 - len(set(capital)) / len(capital) if len(capital) >= 4 else 0.0
+            repeat = max(repeat, back if back >= 0.4 else 0.0)
         again = sum(length for x, length in items[k] if x in often) / size if items[k] else 0.0
-        lacking = 1 - sum(w in known for w in ws) / n if n else 1.0
         lone = 0.4 if trade == 1 and ended[k] else 1.0
         rows[k] = (min(packed / size, 1.0), lone * trade / max(n, 6), repeat, min(again, 1.0), disguised / n if n else 0.0, lack, lacking, not ended[k] and n <= PIECE_WORDS and not _SUM.search(bare[k]))
     return lang, np.array([len(p) for p in parts], np.int64), rows
@@ -281,13 +290,17 @@ def flagged(rows: np.ndarray, profile: tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def spam_share(chars: np.ndarray, rows: np.ndarray, profile: tuple) -> float:
-    """The share of a page's characters in spam units. Between two spam units, up to five loose units (no sentences, no sums) or two short ones of any kind are one with them."""
+    """The share of a page's characters in spam units. Between two spam units, up to five loose units (no sentences, no sums) or two short ones of any kind are one with them, as are loose short units next to one where the page begins or ends, and units
+    with a weak sign of spam within two units of one."""
     bad = flagged(rows, profile)
     k = np.arange(len(bad))
     last = np.maximum.accumulate(np.where(bad, k, -1))
     nxt = np.minimum.accumulate(np.where(bad, k, len(bad))[::-1])[::-1]
     joins = ((rows[:, -1] > 0) & (nxt - last <= 6)) | ((chars <= 100) & (nxt - last <= 3))
     between = joins & (last >= 0) & (nxt < len(bad))
+    edge = (rows[:, -1] > 0) & (chars <= 60) & (((last < 0) & (nxt < len(bad)) & (nxt - k <= 2)) | ((nxt >= len(bad)) & (last >= 0) & (k - last <= 2)))
+    weak = ((rows[:, 1] > 0.05) | (rows[:, 2] > 0.1)) & (((last >= 0) & (k - last <= 2)) | ((nxt < len(bad)) & (nxt - k <= 2)))
+    between |= edge | weak
     return float(chars[bad | between].sum() / max(chars.sum(), 1))
 
 
