@@ -183,6 +183,16 @@ def test_files_and_sinks(spark, tmp_path):
     assert r[1]["opt_expiry"] is None and r[1]["opt_strike"] is None
 
 
+def test_conversion(spark, tmp_path):
+    from tickloom.sources import files
+
+    def decode(path):
+        yield pd.DataFrame({"seq": [len(path)]})
+
+    files.convert(spark, ["a", "bcd"], decode, "seq bigint", str(tmp_path / "out"))
+    assert sorted(r["seq"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 3]
+
+
 def test_option_prices_invert():
     from tickloom.operators import options as O
 

@@ -50,15 +50,18 @@ PRODUCTS = {
 }
 
 
-def catalogue(t: DataFrame, restart_daily: bool = False) -> DataFrame:
-    """Adds every model input to the windowed features of trades; missing inputs count as 0.
+def catalogue(t: DataFrame, restart_daily: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Session, ``n``, ``ts_ns``, every model input and the columns to ``keep`` of each trade with windowed features; missing inputs count as 0.
+
+    Only what the inputs need goes through the two scans, so the many feature columns are pruned before their checkpoints.
 
     The weighted statistics run over an instrument's whole history, or with ``restart_daily`` start anew each session.
     """
     group = SESSION if restart_daily else ["instrument_id"]
     order = ["ts_ns", "n"] if restart_daily else ["trade_date", "ts_ns", "n"]
     plain = _plain()
-    t = t.withColumns({k: F.coalesce(e.cast("double"), F.lit(0.0)) for k, (e, _) in plain.items()} | {"dmid": temporal.change("last_mid", SESSION, "r"), "_flow": F.col("ofi_L1_500ms").cast("double")})
+    inputs = {k: F.coalesce(e.cast("double"), F.lit(0.0)) for k, (e, _) in plain.items()} | {"dmid": temporal.change("last_mid", SESSION, "r"), "_flow": F.col("ofi_L1_500ms").cast("double")}
+    t = t.select(*SESSION, "n", "ts_ns", "spread_ticks", *keep, *[e.alias(k) for k, e in inputs.items()])
     t = t.withColumn("_xy", F.col("dmid") * F.col("_flow"))
     t = ewm(t, group, order, {k: h for k, (_, h) in plain.items()} | {"_xy": FAST, "_flow": FAST}, complete=True)
     t = t.withColumn("kyle_lambda", impact("_xy", "_flow")).withColumns({k: zscore(k) for k in plain})

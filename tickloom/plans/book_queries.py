@@ -85,7 +85,7 @@ t0 AS (
          coalesce(sum(st.remaining) FILTER (WHERE st.s = 0), 0) AS bid_total, coalesce(sum(st.remaining) FILTER (WHERE st.s = 1), 0) AS ask_total
   FROM k t LEFT JOIN st ON t.d = st.d AND t.i = st.i AND st.n <= t.n AND (st.until IS NULL OR t.n < st.until) WHERE t.act = 3 GROUP BY t.d, t.i, t.n),
 t1 AS (
-  SELECT k.*, t0.* EXCLUDE (d, i, n), CASE WHEN ask > bid THEN (bid + ask) * 0.125 END AS mid, CASE WHEN ask > bid THEN ask - bid ELSE 0 END AS spread FROM k JOIN t0 USING (d, i, n)),
+  SELECT k.*, t0.* EXCLUDE (d, i, n), CASE WHEN ask > bid THEN cast(bid + ask AS DOUBLE) * 0.125 END AS mid, CASE WHEN ask > bid THEN ask - bid ELSE 0 END AS spread FROM k JOIN t0 USING (d, i, n)),
 t2 AS (
   SELECT *, coalesce(last_value(mid IGNORE NULLS) OVER (PARTITION BY d, i ORDER BY n ROWS UNBOUNDED PRECEDING), 0) AS last_mid,
          row_number() OVER (PARTITION BY d, i ORDER BY ts, n) AS r FROM t1),

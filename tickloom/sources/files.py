@@ -32,13 +32,16 @@ def messages(spark: SparkSession, folder: str, pattern: str = "*.parquet", least
     return df.where(F.col("_metadata.file_size") > least_bytes).withColumn("session", session_label(F.col("_metadata.file_path")))
 
 
-def decode_dbn(path: str):
-    """A vendor's binary message file as a pandas frame, if its decoder is installed; convert once to parquet, then read that."""
-    try:
-        import databento
-    except ImportError as e:
-        raise RuntimeError("the decoder of this format is not installed") from e
-    return databento.DBNStore.from_file(path).to_df().reset_index()
+def convert(spark: SparkSession, paths: list[str], decode, schema: str, folder: str) -> None:
+    """Binary message files to parquet, each by one task: ``decode`` turns a local path into pandas frames, so a file may be larger than memory. Convert once, then read the parquet."""
+    listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(len(paths), 1), "path")
+
+    def run(batches):
+        for b in batches:
+            for path in b["path"]:
+                yield from decode(path)
+
+    listed.mapInPandas(run, schema).write.mode("append").parquet(folder)
 
 
 DEPTH_COLUMNS = 73
