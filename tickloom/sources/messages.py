@@ -35,10 +35,10 @@ def in_order(messages: DataFrame) -> DataFrame:
     """Each message once, numbered ``n`` from 1 in the true order of its session.
 
     The sequence gives the order; of copies the first in the file counts; messages without a sequence have no place and
-    are left out. One sort a session serves both the removal of copies and the numbering.
+    are left out. One shuffle by session and one sort serve both the removal of copies and the numbering.
     """
     once = Window.partitionBy(*SESSION, "sequence").orderBy("seq")
-    rows = encode(timestamps(messages)).where(F.col("sequence").isNotNull())
+    rows = encode(timestamps(messages)).where(F.col("sequence").isNotNull()).repartition(*SESSION)
     rows = rows.withColumn("_k", F.row_number().over(once)).where(F.col("_k") == 1).drop("_k")
     return rows.withColumn("n", F.row_number().over(Window.partitionBy(*SESSION).orderBy("sequence")).cast("bigint"))
 

@@ -11,6 +11,7 @@ before its period, replays the sorted suffix from there, and replaces the output
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -167,7 +168,7 @@ STREAM_OUT = "key bigint, period_start_s bigint, n bigint, volume bigint, revisi
 
 
 def stream_periods(records: DataFrame, period_s: int = PERIOD_S, cutoff_s: int = CUTOFF_S) -> DataFrame:
-    """Structured Streaming form, for update mode: each batch gives the new state of every period it changed.
+    """Structured Streaming form, for update mode: each batch gives the new state of every period it touched, and the latest kind of arrival in it.
 
     ``records``: streaming rows ``key, event, arrival, value, weight`` (nanoseconds), already one a record. State is kept
     per key and UTC hour of event time, so a hot key is spread over hours; it holds one running total a period. A record
@@ -178,25 +179,23 @@ def stream_periods(records: DataFrame, period_s: int = PERIOD_S, cutoff_s: int =
     hour = 3600 * NS
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        import pickle
-
-        held: dict[int, list[int]] = pickle.loads(state.get[0]) if state.exists else {}
-        changed: dict[int, str] = {}
+        held: dict[int, np.ndarray] = pickle.loads(state.get[0]) if state.exists else {}  # n, volume and corrections a period
+        said: dict[int, int] = {}
         for pdf in batches:
-            for event, arrival, weight in zip(pdf["event"], pdf["arrival"], pdf["weight"]):
-                start = int(event) // (period_s * NS) * period_s
-                late = int(arrival) - (start + period_s) * NS
-                total = held.setdefault(start, [0, 0, 0])
-                if late >= cutoff_s * NS:
-                    changed[start] = "cut_off"
-                    continue
-                total[0] += 1
-                total[1] += int(weight)
-                total[2] += late >= STEP_S * NS
-                changed.setdefault(start, "corrected" if late >= STEP_S * NS else "in_time")
+            start = pdf["event"].to_numpy(np.int64) // (period_s * NS) * period_s
+            late = pdf["arrival"].to_numpy(np.int64) - (start + period_s) * NS
+            kind = np.where(late >= cutoff_s * NS, 2, np.where(late >= STEP_S * NS, 1, 0))
+            at, where = np.unique(start, return_inverse=True)
+            taken = kind < 2
+            sums = np.stack([np.bincount(where, w, len(at)) for w in (taken, taken * pdf["weight"].to_numpy(float), kind == 1)], axis=1).astype(np.int64)
+            worst = np.zeros(len(at), np.int64)
+            np.maximum.at(worst, where, kind)
+            for s, add, k in zip(at.tolist(), sums, worst.tolist()):  # the hour's periods, sixty at most
+                held[s] = held.get(s, 0) + add
+                said[s] = max(said.get(s, 0), k)
         state.update((pickle.dumps(held),))
         yield pd.DataFrame(
-            [(key[0], s, held[s][0], held[s][1], held[s][2], what) for s, what in sorted(changed.items())],
+            [(key[0], s, *held[s].tolist(), ("in_time", "corrected", "cut_off")[k]) for s, k in sorted(said.items())],
             columns=["key", "period_start_s", "n", "volume", "revision", "outcome"],
         )
 
