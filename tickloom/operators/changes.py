@@ -42,7 +42,7 @@ def apply_changes(changes: DataFrame, *, scope: list[str], key: list[str], paylo
     body = changes.select(*cols, "sequence", F.col("kind").cast("tinyint").alias("kind"), *payload, F.col(amount).cast("bigint").alias("_amount"))
     body = body.where(F.col("sequence").isNotNull() & F.col("kind").isNotNull())
     cleared = body.where(F.col("kind") == CLEAR).groupBy(*scope).agg(F.max("sequence").alias("_cleared"))
-    live = body.where(F.col("kind") != CLEAR).distinct()
+    live = body.where(F.col("kind") != CLEAR)
     if base is not None:
         first = base.select(*cols, F.lit(-(1 << 63)).cast("bigint").alias("sequence"), F.lit(SET).cast("tinyint").alias("kind"), *payload, F.col(amount).cast("bigint").alias("_amount"))
         live = live.unionByName(first)
@@ -51,6 +51,7 @@ def apply_changes(changes: DataFrame, *, scope: list[str], key: list[str], paylo
     for c in scope:
         same = same & F.col(c).eqNullSafe(F.col(f"_c_{c}"))
     live = live.join(gone, same, "left").where(F.col("_cleared").isNull() | (F.col("sequence") > F.col("_cleared")))
+    live = live.select(*cols, "sequence", "kind", *payload, "_amount").distinct()
     live = live.select(*cols, "sequence", "kind", *payload, "_amount", C.floor_div(F.col("sequence"), block).alias("_block"))
 
     ends = F.col("kind").isin(SET, DELETE)
