@@ -120,6 +120,24 @@ def test_isotonic_rises_and_interpolates(spark):
     assert np.allclose(got.p, np.interp(got.s, xs, ys))
 
 
+def test_isotonic_is_exact_above_4096_scores(spark):
+    rng = np.random.default_rng(4)
+    n = 20_000
+    s = rng.random(n)
+    s[:2000] = s[2000:4000]  # equal scores, too
+    y = (rng.random(n) < s**2).astype(int)
+    pdf = pd.DataFrame({"s": s, "y": y})
+    gone = pd.DataFrame({"s": [np.nan], "y": [1]})
+    xs, ys = ML.isotonic(spark.createDataFrame(pd.concat([pdf, gone])), "s", "y")
+    g = pdf.groupby("s").y.agg(["sum", "count"])
+    # the fit by its min-max formula: the steepest mean from a row on, over all starts up to it
+    at, cs, cn = g.index.to_numpy(), np.r_[0, g["sum"].cumsum()], np.r_[0, g["count"].cumsum()]
+    assert len(at) > 4096 and xs[0] == at[0] and xs[-1] == at[-1]
+    for i in range(0, len(at), 500):
+        means = (cs[None, i + 1 :] - cs[: i + 1, None]) / (cn[None, i + 1 :] - cn[: i + 1, None])
+        assert abs(np.interp(at[i], xs, ys) - means.min(axis=1).max()) < 1e-12
+
+
 def test_online_model_learns(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=500)

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.cluster import missing
 from tickloom.operators.ordered import numbered
 
 NS = 1_000_000_000
@@ -229,34 +230,43 @@ def online_errors(df: DataFrame, key: list[str], time: str, x: list[str], y: str
 # ---- calibration --------------------------------------------------------------------------------------------------
 
 
+def pool(blocks: Iterator[tuple[float, float, float, float]]) -> list[tuple[float, float, float, float]]:
+    """Blocks ``(sum of labels, n, lowest, highest score)`` in order of score, neighbours merged until their means rise.
+
+    Means are compared by cross products, which whole-number sums keep exact. Pooling parts of a range first and their
+    blocks afterwards gives the same blocks as pooling all at once.
+    """
+    out: list[tuple[float, float, float, float]] = []
+    for y, n, lo, hi in blocks:
+        while out and out[-1][0] * n >= y * out[-1][1]:
+            y0, n0, lo, _ = out.pop()
+            y, n = y + y0, n + n0
+        out.append((y, n, lo, hi))
+    return out
+
+
 def isotonic(df: DataFrame, score: str, label: str) -> tuple[list[float], list[float]]:
-    """Knots of a rising step-free fit of a binary label on a score: pooled by distinct score first, then by neighbours that fall.
+    """Knots of the isotonic regression of a binary label on a score: pooled by distinct score first, then by neighbours that fall.
 
-    Scores are cut into at most 4,096 equal-frequency bins beforehand, which bounds what the driver pools.
+    Each range partition of the distinct scores is pooled by its task, the driver pools the blocks that remain. Blocks of a
+    0/1 label have rising fractions as means, of which n rows hold some ``n ** (2 / 3)`` at most. Rows without score or label
+    (null or NaN) are left out.
     """
-    edges = df.where(F.col(score).isNotNull()).agg(F.percentile_approx(score, [k / 4096 for k in range(1, 4096)], 100_000).alias("e")).first()["e"]
-    if not edges:
-        return [], []
-    cuts = sorted(set(edges))
 
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, b.column("s").to_numpy(), side="left")), b.column("s"), b.column("y")], names=["bin", "s", "y"])
-
-    d = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(F.col(score).cast("double").alias("s"), F.col(label).cast("double").alias("y"))
-    bins = d.mapInArrow(run, "bin bigint, s double, y double").groupBy("bin").agg(F.count("*").alias("n"), F.avg("s").alias("s"), F.avg("y").alias("y")).orderBy("bin").collect()
-    blocks: list[list[float]] = []
-    for r in bins:
-        blocks.append([r["y"], r["n"], r["s"], r["s"]])
-        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
-            y2, n2, _, hi = blocks.pop()
-            y1, n1, lo, _ = blocks.pop()
-            blocks.append([(y1 * n1 + y2 * n2) / (n1 + n2), n1 + n2, lo, hi])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*[b.column(c).to_pylist() for c in ("y", "n", "s", "s")]))
+        names = ["y", "n", "lo", "hi"]
+        if blocks := pool(rows):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in zip(*blocks)], names=names)
+
+    d = df.select(F.col(score).cast("double").alias("s"), F.col(label).cast("double").alias("y")).where(~(missing(F.col("s")) | missing(F.col("y"))))
+    distinct = d.groupBy("s").agg(F.sum("y").alias("y"), F.count("*").cast("double").alias("n"))
+    parts = distinct.repartitionByRange("s").sortWithinPartitions("s").mapInArrow(run, "y double, n double, lo double, hi double")
     xs, ys = [], []
-    for y, _, lo, hi in blocks:
+    for y, n, lo, hi in pool(sorted((tuple(r) for r in parts.collect()), key=lambda r: r[2])):
         for s in dict.fromkeys((lo, hi)):
             xs.append(float(s))
-            ys.append(float(min(max(y, 0.0), 1.0)))
+            ys.append(float(min(max(y / n, 0.0), 1.0)))
     return xs, ys
 
 
