@@ -156,6 +156,71 @@ def test_simulator_rules(spark):
     assert SM.simulate(df.limit(0)).count() == 0
 
 
+def desk_rows(spark, rows):
+    names = ("symbol", "timestamp_ns", "bid_px_00", "ask_px_00", "bid_sz_00", "ask_sz_00", "trade_price", "trade_size")
+    pdf = pd.DataFrame([("X", *r) for r in rows], columns=names).astype({c: float for c in names[2:]})
+    return spark.createDataFrame(pdf.assign(row_id=range(len(pdf))))
+
+
+def test_simulator_slippage_first_tick_and_open(spark):
+    s = 1_000_000_000
+    mids = [100.25, 100.25, 100.25, 100.5, 100.75, 100.0, 100.25, 100.5, 100.25, 100.0, 100.25, 100.75]
+    # a trade through the bid fills at once; rows 0.5 s apart, the last one after the timeout
+    at = [s + k * s // 2 for k in range(len(mids) - 1)] + [20 * s]
+    rows = [(t, m - 0.25, m + 0.25, 9, 9, 99.75 if k == 1 else 0, 1 if k == 1 else 0) for k, (t, m) in enumerate(zip(at, mids))]
+    out = [r.asDict() for r in SM.simulate(desk_rows(spark, rows)).where("kind = 'trade' and side = 1").collect()]
+    vol = np.std(mids[-10:]) / 0.25
+    assert len(out) == 1 and abs(out[0]["exit_price"] - (100.5 - (0.2 + 0.05 * vol) * 0.25)) < 1e-12
+    # bought at 100.0: the mid is a tick above from the first row on
+    assert (out[0]["first_tick_row"], out[0]["first_tick_mae"]) == (1, 0.0)
+    short = SM.simulate(desk_rows(spark, rows[:-1]))
+    assert [(r["side"], r["price"], r["exit_price"], r["rows_held"]) for r in short.where("kind = 'open'").collect()] == [(1, 100.0, None, 10)]
+    assert [(r["side"], r["n"], r["n_open"]) for r in SM.kpis(short).collect()] == [(1, 0, 1)]
+
+
+def test_simulator_cancels_near_and_toxic(spark):
+    s, ms = 1_000_000_000, 1_000_000
+    # the bid steps up under a short quote of an empty queue, which no move of the mid may cancel
+    rows = [(s, 100.0, 101.0, 9, 0, 0, 0), (s + 10 * ms, 100.25, 101.0, 9, 0, 0, 0)]
+    out = SM.simulate(desk_rows(spark, rows)).collect()
+    assert [(r["kind"], r["side"], r["price"], r["reason"]) for r in out] == [("cancel", -1, 101.0, "near")]
+    late = [rows[0], (s + 60 * ms, *rows[1][1:])]
+    assert SM.simulate(desk_rows(spark, late)).count() == 0
+    # after twelve rows of an unmoved mid the spread jumps: the model's spread term alone makes both sides toxic
+    calm = [(k * s, 100.0, 100.5, 9, 9, 0, 0) for k in range(1, 13)]
+    wide = [*calm, (13 * s, 97.0, 103.5, 9, 9, 0, 0)]
+    got = {(r["side"], r["reason"]) for r in SM.simulate(desk_rows(spark, wide)).collect()}
+    p = 1 / (1 + np.exp(-(0.45 + 0.15 * (6.5 - 0.5) / 0.3 - 0.12 * 0.5)))
+    assert p < 0.99 and ("toxic" in {r for _, r in got}) is False
+    wider = [*calm, (13 * s, 92.0, 108.5, 9, 9, 0, 0)]
+    got = {(r["side"], r["price"], r["reason"]) for r in SM.simulate(desk_rows(spark, wider)).collect()}
+    assert got == {(1, 100.0, "toxic"), (-1, 100.5, "toxic")}
+
+
+def test_toxicity_scales_by_its_last_500_rows():
+    rng, r = np.random.default_rng(6), SM.Readings(SM.Toxicity())
+    mids = 100 + rng.integers(-4, 5, 1300).cumsum() * 0.125 % 9
+    sizes, spreads, seen = rng.integers(1, 30, (1300, 2)), rng.integers(1, 5, 1300) * 0.25, []
+    for k, (m, (b, a), w) in enumerate(zip(mids, sizes.astype(float), spreads)):
+        r.add(m - w / 2, m + w / 2, b, a)
+        if k >= 9:
+            last = mids[max(0, k - 99) : k + 1]
+            momentum = (mids[k - 4 : k + 1].mean() - mids[k - 19 : k + 1].mean()) / 0.25 if k >= 19 else 0.0
+            seen.append((w, (b - a) / (b + a), momentum, np.sqrt(np.mean((np.diff(last) / last[:-1]) ** 2))))
+        if k in (1, 40, 200, 700, 1299):
+            if k < 9:
+                assert r.toxic() == (0.5, 0.5)
+                continue
+            n = len(seen)
+            x = np.array(seen[-500:] if n >= 500 else seen[: n // 50 * 50])
+            mean, sd = (x.mean(0), x.std(0)) if n >= 50 else np.array(SM.Toxicity().scales).T
+            z = (np.array(seen[-1]) - mean) / sd
+            for got, sign in zip(r.toxic(), (-1, 1)):
+                p = 1 / (1 + np.exp(-(0.45 + z @ (np.array([0.15, 0.25 * sign, 0.2 * sign, 0.12])))))
+                p = min(1, p * 1.15) if -p * np.log(p) - (1 - p) * np.log(1 - p) > 0.65 else p
+                assert abs(got - p) < 1e-9
+
+
 def test_live_book_equals_batch(spark, sf_dir, tmp_path):
     from tickloom.operators import book
     from tickloom.sources import messages as M
