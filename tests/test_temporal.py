@@ -110,6 +110,35 @@ def test_ridge_recovers_weights_and_purges(spark):
     assert kept[1] == (1600 - 11) * 1_000_000 and kept[2] == (2399 + 6) * 1_000_000
 
 
+def test_ridge_fits_four_horizons_over_shared_folds(spark):
+    rng = np.random.default_rng(5)
+    n, hs = 3000, [50, 500, 1000, 5000]
+    pdf = pd.DataFrame(rng.normal(size=(n, 2)), columns=["a", "b"]).assign(ts=(np.arange(n) // 2) * 100_000_000, row_id=range(n))
+    for k, h in enumerate(hs):
+        pdf[f"fwd_return_{h}ms"] = (k + 1) * pdf.a - pdf.b + rng.normal(0, 0.5, n)
+        pdf.loc[rng.random(n) < 0.2, f"fwd_return_{h}ms"] = np.nan
+    got = ML.ridge_horizons(spark.createDataFrame(pdf), ["a", "b"], ["ts", "row_id"])
+    assert list(got) == list(ML.HORIZONS)
+    x, ts, size = pdf[["a", "b"]].to_numpy(), pdf.ts.to_numpy(), n // 5
+    for h, (label, (_, purge, embargo)) in zip(hs, ML.HORIZONS.items()):
+        y = pdf[f"fwd_return_{h}ms"].to_numpy()
+        has, err = ~np.isnan(y), {a: [] for a in ML.ALPHAS}
+        tested = []
+        for f in range(5):
+            lo, hi = f * size, (f + 1) * size
+            test = has & (np.arange(n) >= lo) & (np.arange(n) < hi)
+            train = has & ((np.arange(n) < lo) & (ts < ts[lo] - purge * 1_000_000) | (np.arange(n) >= hi) & (ts > ts[hi - 1] + embargo * 1_000_000))
+            mean, sd = x[train].mean(0), x[train].std(0) + 1e-8
+            z, tested = (x[train] - mean) / sd, [*tested, *y[test]]
+            for a in ML.ALPHAS:
+                w = np.linalg.solve(z.T @ z + a * np.eye(2), z.T @ (y[train] - y[train].mean()))
+                err[a] += [*(y[test] - y[train].mean() - (x[test] - mean) / sd @ w)]
+        r2 = {a: 1 - np.square(e).sum() / np.square(tested - np.mean(tested)).sum() for a, e in err.items()}
+        best = max(r2, key=r2.get)
+        assert got[label].stats["alpha"] == best and abs(got[label].stats["r2"] - r2[best]) < 1e-9
+        assert got[label].target == f"fwd_return_{h}ms" and got[label].stats["n"] == has.sum()
+
+
 def test_isotonic_rises_and_interpolates(spark):
     rng = np.random.default_rng(2)
     s = rng.random(3000)

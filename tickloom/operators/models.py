@@ -60,23 +60,34 @@ def barred_rows(df: DataFrame, bounds: DataFrame, time: str, purge_ns: int, emba
 
 def gram(df: DataFrame, x: list[str], y: str, by: str) -> dict:
     """Raw moments by group: ``{group: (n, mean-free sums)}`` as one symmetric matrix over (1, x, y); missing x count as 0, rows without y are left out."""
-    names = [*x, y]
-    p = len(names) + 1
+    return grams(df.where(F.col(y).isNotNull() & ~F.isnan(y)), x, [y], by)[y]
+
+
+def grams(df: DataFrame, x: list[str], ys: list[str], by: str) -> dict[str, dict]:
+    """``gram`` of several targets in one pass, each over the rows that have it."""
+    names, p = [*x, *ys], len(x) + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
         for b in batches:
             g = b.column("_g").to_numpy(zero_copy_only=False)
-            m = np.column_stack([np.ones(b.num_rows), *[np.nan_to_num(b.column(c).to_numpy(zero_copy_only=False).astype(float)) for c in names]])
-            for v in np.unique(g):
-                part = m[g == v]
-                sums[int(v)] = sums.get(int(v), 0) + part.T @ part
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([s.ravel() for s in sums.values()], pa.list_(pa.float64()))], names=["_g", "m"])
-
-    rows = df.where(F.col(y).isNotNull() & ~F.isnan(y)).select(F.col(by).cast("bigint").alias("_g"), *[F.col(c).cast("double").alias(c) for c in names])
-    parts = rows.mapInArrow(run, "_g bigint, m array<double>").select("_g", F.posexplode("m").alias("at", "v"))
-    whole = parts.groupBy("_g", "at").agg(F.sum("v").alias("v")).groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("m"))
-    return {r["_g"]: np.array([e["v"] for e in r["m"]]).reshape(p, p) for r in whole.collect()}  # one row a group
+            cols = {c: b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in names}
+            m = np.column_stack([np.ones(b.num_rows), *[np.nan_to_num(cols[c]) for c in x]])
+            for k, y in enumerate(ys):
+                has = ~np.isnan(cols[y])
+                for v in np.unique(g[has]):
+                    part = np.column_stack([m, cols[y]])[has & (g == v)]
+                    sums[k, int(v)] = sums.get((k, int(v)), 0) + part.T @ part
+        at, groups = zip(*sums) if sums else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(groups, pa.int64()), pa.array([s.ravel() for s in sums.values()], pa.list_(pa.float64()))], names=["_y", "_g", "m"])
+
+    rows = df.select(F.col(by).cast("bigint").alias("_g"), *[F.col(c).cast("double").alias(c) for c in names])
+    parts = rows.mapInArrow(run, "_y bigint, _g bigint, m array<double>").select("_y", "_g", F.posexplode("m").alias("at", "v"))
+    whole = parts.groupBy("_y", "_g", "at").agg(F.sum("v").alias("v")).groupBy("_y", "_g").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("m"))
+    out: dict[str, dict] = {y: {} for y in ys}
+    for r in whole.collect():  # one row a target and group
+        out[ys[r["_y"]]][r["_g"]] = np.array([e["v"] for e in r["m"]]).reshape(p, p)
+    return out
 
 
 @dataclass
@@ -135,11 +146,32 @@ def ridge_cv(df: DataFrame, x: list[str], y: str, time: str, purge_ms: int, emba
     One pass sums each fold, one the few rows that purge and embargo bar from training: a fold's training moments are all
     sums but its own, less those. They serve all penalties. A fold with fewer than 100 training or 10 test rows is passed over.
     """
-    rows = numbered(df.where(F.col(y).isNotNull() & ~F.isnan(y)), [time])
-    n = rows.count()
-    rows = folds(rows, n, k)
-    test = gram(rows, x, y, "fold")
-    barred = gram(barred_rows(rows, fold_bounds(rows, time), time, purge_ms * 1_000_000, embargo_ms * 1_000_000), x, y, "test")
+    return _ridges(df, x, {y: (y, purge_ms, embargo_ms)}, [time], k, alphas)[y]
+
+
+def ridge_horizons(df: DataFrame, x: list[str], order: list[str], prefix: str = "fwd_return_", k: int = 5, alphas: tuple[float, ...] = ALPHAS) -> dict[str, Linear]:
+    """``ridge_cv`` for the target, purge and embargo of each of ``HORIZONS``; one without any target value has no model.
+
+    Folds are cut once over all rows in ``order`` (time first), whether or not they have a target, so the horizons share
+    them and one pass sums the folds of all.
+    """
+    return _ridges(df, x, {label: (f"{prefix}{h}ms", purge, embargo) for label, (h, purge, embargo) in HORIZONS.items()}, order, k, alphas)
+
+
+def _ridges(df: DataFrame, x: list[str], targets: dict[str, tuple[str, int, int]], order: list[str], k: int, alphas: tuple[float, ...]) -> dict[str, Linear]:
+    rows, time = numbered(df, order), order[0]
+    rows = folds(rows, rows.count(), k)
+    tests, bounds = grams(rows, x, [y for y, _, _ in targets.values()], "fold"), fold_bounds(rows, time)
+    out = {}
+    for label, (y, purge_ms, embargo_ms) in targets.items():
+        if tests[y]:
+            barred = gram(barred_rows(rows, bounds, time, purge_ms * 1_000_000, embargo_ms * 1_000_000), x, y, "test")
+            out[label] = _ridge(x, y, tests[y], barred, alphas)
+    return out
+
+
+def _ridge(x: list[str], y: str, test: dict, barred: dict, alphas: tuple[float, ...]) -> Linear:
+    """The model from the moments of each fold and of the rows barred from training for it."""
     train = {f: sum((m for g, m in test.items() if g != f), np.zeros_like(test[f])) - barred.get(f, 0) for f in test}
     usable = [f for f in test if f in train and train[f][0, 0] >= 100 and test[f][0, 0] >= 10]
     best, chosen = -np.inf, alphas[0]

@@ -307,8 +307,13 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_q("ml_ridge")
 def ml_ridge(spark, sf_dir):
-    m = ML.ridge_cv(_labelled(spark, sf_dir), _X, "y", "ts", 10_000, 5000)
-    return spark.createDataFrame([("intercept", float(m.weights[0])), *[(f, float(w)) for f, w in zip(m.features, m.weights[1:])]], "feature string, weight double")
+    session = ["i", "trade_date"]
+    r = temporal.positioned(_rg(spark, sf_dir).where(F.col("ts").isNotNull()), session, "ts", "row_id")
+    for h, _, _ in ML.HORIZONS.values():
+        r = temporal.forward(r, session, "ts", "r", ["mid"], h * temporal.MS, "_f").withColumn(f"fwd_return_{h}ms", F.col("_f.mid") - F.col("mid")).drop("_f")
+    models = ML.ridge_horizons(r, _X, ["ts", "row_id"])
+    out = [(label, c, float(w)) for label, m in models.items() for c, w in zip(["intercept", *m.features], m.weights)]
+    return spark.createDataFrame(out, "horizon string, feature string, weight double")
 
 
 @_q("ml_spread_regression")
