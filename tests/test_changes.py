@@ -134,3 +134,15 @@ def test_crossed_and_gapped_books(spark):
     assert t[0]["bid_sz"] == [4, 0, 2, 0, 0] and t[0]["mid"] == 25.5 and t[0]["spread_ticks"] == 4
     assert t[1]["crossed"] and t[1]["mid"] is None and t[1]["last_mid"] == 25.5 and t[1]["spread_ticks"] == 0
     assert t[1]["microprice"] == (26.0 * 1 + 26.25 * 3) / 4
+
+
+def test_differing_copies_count_once(spark):
+    rows = [("s", 1, 10, changes.SET, "x", 5), ("s", 1, 20, changes.DECREMENT, None, 1), ("s", 1, 20, changes.DECREMENT, None, 2), ("s", 2, 30, changes.SET, "z", 9), ("s", 2, 30, changes.SET, "y", 12), ("s", 3, 30, changes.SET, "w", 1)]
+    df = spark.createDataFrame(rows, "g string, k bigint, sequence bigint, kind int, p string, size bigint")
+    apply = lambda d, **base: sorted(tuple(r) for r in changes.apply_changes(d, scope=["g"], key=["k"], payload=["p"], **base).collect())
+    assert apply(df) == [("s", 1, "x", 4), ("s", 2, "y", 12)]
+    # base rows share no identifier; a clear among copies wins
+    base = spark.createDataFrame([("s", 7, "b", 3), ("s", 8, "c", 4)], "g string, k bigint, p string, size bigint")
+    assert apply(df, base=base) == [("s", 1, "x", 4), ("s", 2, "y", 12), ("s", 7, "b", 3), ("s", 8, "c", 4)]
+    clear = spark.createDataFrame([("s", None, 30, changes.CLEAR, None, None)], df.schema)
+    assert apply(df.union(clear), base=base) == []

@@ -30,7 +30,8 @@ def apply_changes(changes: DataFrame, *, scope: list[str], key: list[str], paylo
 
     Result: scope, key, payload and the remaining amount, one row a key. Defined cases:
     - a change without a sequence has no place in the order and is left out, as is one of a null kind;
-    - changes of one scope and sequence count once; they are copies, so their contents are equal;
+    - changes of one scope and sequence count once; where such copies differ, a CLEAR counts, else the smallest by kind,
+      key, payload and amount, nulls first;
     - a SET replaces what was there; DELETE and DECREMENT of an unknown key do nothing;
     - a DECREMENT of a negative or null amount takes nothing; an amount that reaches 0 removes the key for good;
     - null scope or key values form a scope or key of their own; an empty feed gives the base, or no rows;
@@ -43,15 +44,19 @@ def apply_changes(changes: DataFrame, *, scope: list[str], key: list[str], paylo
     body = body.where(F.col("sequence").isNotNull() & F.col("kind").isNotNull())
     cleared = body.where(F.col("kind") == CLEAR).groupBy(*scope).agg(F.max("sequence").alias("_cleared"))
     live = body.where(F.col("kind") != CLEAR)
+    first = None
     if base is not None:
         first = base.select(*cols, F.lit(-(1 << 63)).cast("bigint").alias("sequence"), F.lit(SET).cast("tinyint").alias("kind"), *payload, F.col(amount).cast("bigint").alias("_amount"))
-        live = live.unionByName(first)
     gone = broadcast_checked(cleared.select(*[F.col(c).alias(f"_c_{c}") for c in scope], "_cleared"))
     same = F.lit(True)
     for c in scope:
         same = same & F.col(c).eqNullSafe(F.col(f"_c_{c}"))
-    live = live.join(gone, same, "left").where(F.col("_cleared").isNull() | (F.col("sequence") > F.col("_cleared")))
-    live = live.select(*cols, "sequence", "kind", *payload, "_amount").distinct()
+    after = lambda df: df.join(gone, same, "left").where(F.col("_cleared").isNull() | (F.col("sequence") > F.col("_cleared")))
+    # copies of a CLEAR fall away here, as their sequence is not after it
+    once = after(live).groupBy(*scope, "sequence").agg(F.min(F.struct("kind", *key, *payload, "_amount")).alias("_c"))
+    live = once.select(*scope, "sequence", "_c.*")
+    if first is not None:
+        live = live.unionByName(after(first).select(*live.columns).distinct())
     live = live.select(*cols, "sequence", "kind", *payload, "_amount", C.floor_div(F.col("sequence"), block).alias("_block"))
 
     ends = F.col("kind").isin(SET, DELETE)
