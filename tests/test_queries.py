@@ -57,3 +57,12 @@ def test_oracles_belong_to_queries():
 
 def test_entry(spark):
     assert entry.entry(spark).limit(1).count() == 1
+
+
+def test_production_windows_and_horizons_are_registered(spark, sf_dir):
+    from tickloom.operators import features
+
+    cols = QUERIES["wn_flow_ms"](spark, sf_dir).columns
+    assert {f"ofi_{w}ms" for w in features.WINDOWS_MS} <= set(cols)
+    assert {f"fwd_return_{h}ms" for h in features.HORIZONS_MS} <= set(QUERIES["aj_fwd_return_ms"](spark, sf_dir).columns)
+    assert all(f"{q}_ms" in QUERIES for q in list(QUERIES) if q.startswith("wn_") and not q.endswith("_ms"))

@@ -226,11 +226,11 @@ def bk_l1_change(spark, sf_dir):
     return _id(_trades(spark, sf_dir), "l1_bid_change", "l1_ask_change")
 
 
-def _win(cols: list[str], exprs: Callable[[int], dict[str, str]]) -> str:
+def _win(cols: list[str], exprs: Callable[[int], dict[str, str]], windows: tuple[int, ...] = WINDOWS) -> str:
     """Twin of a family: counter growth since the last trade before each window."""
-    base = ", ".join(f"coalesce(arg_max({c}, r) OVER w{w}, 0) AS s{w}_{c}" for w in WINDOWS for c in ["r", *cols])
-    frames = ", ".join(f"w{w} AS (PARTITION BY d, i ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND {w * 1_000_000 + 1} PRECEDING)" for w in WINDOWS)
-    picks = ", ".join(f"{v} AS {name}_{w}ms" for w in WINDOWS for name, v in exprs(w).items())
+    base = ", ".join(f"coalesce(arg_max({c}, r) OVER w{w}, 0) AS s{w}_{c}" for w in windows for c in ["r", *cols])
+    frames = ", ".join(f"w{w} AS (PARTITION BY d, i ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND {w * 1_000_000 + 1} PRECEDING)" for w in windows)
+    picks = ", ".join(f"{v} AS {name}_{w}ms" for w in windows for name, v in exprs(w).items())
     return _TRADES + f", x AS (SELECT *, {base} FROM t WINDOW {frames}) SELECT {_ID}, {picks} FROM x"
 
 
@@ -292,9 +292,9 @@ def _trade_twas_sql(w: int) -> dict[str, str]:
     return {"trade_twas": f"round(CASE WHEN {_g('cum_gap', w)} > 0 THEN {_g('cum_held', w)} / {_g('cum_gap', w)} END, 6)"}
 
 
-def _family(family: str, skip: tuple[str, ...] = ()):
+def _family(family: str, skip: tuple[str, ...] = (), windows: tuple[int, ...] = WINDOWS):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        t = features.windowed(_trades(spark, sf_dir), WINDOWS, [family], depletion=False)
+        t = features.windowed(_trades(spark, sf_dir), windows, [family], depletion=False)
         made = [c for c in t.columns if c.endswith("ms") and not c.startswith(skip or ("\0",))]
         digits = lambda c: 3 if c.startswith("mean_latency") else 6
         double = {c for c, kind in t.dtypes if kind == "double"}
@@ -306,30 +306,70 @@ def _family(family: str, skip: tuple[str, ...] = ()):
 for _name, _sql, _skip in (("flow", _flow_sql, ()), ("trades", _trades_sql, ()), ("fills", _fills_sql, ()), ("volatility", _volatility_sql, ("latency_std",)), ("quotes", _quotes_sql, ()), ("trade_twas", _trade_twas_sql, ())):
     QUERIES[f"wn_{_name}"] = _family(_name, _skip)
     ORACLES[f"wn_{_name}"] = _win(features.FAMILIES[_name][1], _sql)
+    # the operator's own windows, which the sparse test trades seldom fill
+    QUERIES[f"wn_{_name}_ms"] = _family(_name, _skip, features.WINDOWS_MS)
+    ORACLES[f"wn_{_name}_ms"] = _win(features.FAMILIES[_name][1], _sql, features.WINDOWS_MS)
 
 
-@_q("wn_depletion", _win(["b1", "a1"], lambda w: {"bid_depletion": f"cast(s{w}_b1 - b1 AS BIGINT)", "ask_depletion": f"cast(s{w}_a1 - a1 AS BIGINT)"}))
-def wn_depletion(spark, sf_dir):
-    t = features.windowed(_trades(spark, sf_dir), WINDOWS, [], depletion=True)
+def _depletion_sql(w: int) -> dict[str, str]:
+    return {"bid_depletion": f"cast(s{w}_b1 - b1 AS BIGINT)", "ask_depletion": f"cast(s{w}_a1 - a1 AS BIGINT)"}
+
+
+def _depletion(spark: SparkSession, sf_dir: str, windows: tuple[int, ...]) -> DataFrame:
+    t = features.windowed(_trades(spark, sf_dir), windows, [], depletion=True)
     return _id(t, *[c for c in t.columns if "_depletion_" in c])
 
 
-@_q("wn_latency_std", _win(["cum_lat", "cum_lat_sq"], lambda w: {"latency_std_ns": f"round(sqrt(greatest({_g('cum_lat_sq', w)} / greatest({_g('r', w)}, 1) - pow({_g('cum_lat', w)} / greatest({_g('r', w)}, 1), 2), 0)), 0)"}))
-def wn_latency_std(spark, sf_dir):
-    t = features.windowed(_trades(spark, sf_dir), WINDOWS, ["volatility"], depletion=False)
+@_q("wn_depletion", _win(["b1", "a1"], _depletion_sql))
+def wn_depletion(spark, sf_dir):
+    return _depletion(spark, sf_dir, WINDOWS)
+
+
+@_q("wn_depletion_ms", _win(["b1", "a1"], _depletion_sql, features.WINDOWS_MS))
+def wn_depletion_ms(spark, sf_dir):
+    return _depletion(spark, sf_dir, features.WINDOWS_MS)
+
+
+def _latency_std_sql(w: int) -> dict[str, str]:
+    return {"latency_std_ns": f"round(sqrt(greatest({_g('cum_lat_sq', w)} / greatest({_g('r', w)}, 1) - pow({_g('cum_lat', w)} / greatest({_g('r', w)}, 1), 2), 0)), 0)"}
+
+
+def _latency_std(spark: SparkSession, sf_dir: str, windows: tuple[int, ...]) -> DataFrame:
+    t = features.windowed(_trades(spark, sf_dir), windows, ["volatility"], depletion=False)
     return _id(t, *[F.round(c, 0).alias(c) for c in t.columns if c.startswith("latency_std")])
 
 
-_FWD = ", ".join(f"round(arg_min({v}, r) OVER h{h} - {v}, 6) AS {name}_{h}ms" for h in HORIZONS for name, v in (("fwd_return", "last_mid"), ("fwd_mp", "micro")))
-_FRAMES = ", ".join(f"h{h} AS (PARTITION BY d, i ORDER BY ts RANGE BETWEEN {h * 1_000_000} FOLLOWING AND UNBOUNDED FOLLOWING)" for h in HORIZONS)
+@_q("wn_latency_std", _win(["cum_lat", "cum_lat_sq"], _latency_std_sql))
+def wn_latency_std(spark, sf_dir):
+    return _latency_std(spark, sf_dir, WINDOWS)
 
 
-@_q("aj_fwd_return", _TRADES + f"SELECT {_ID}, {_FWD} FROM t3 WINDOW {_FRAMES}")
-def aj_fwd_return(spark, sf_dir):
-    t = features.forward_returns(_trades(spark, sf_dir), HORIZONS)
+@_q("wn_latency_std_ms", _win(["cum_lat", "cum_lat_sq"], _latency_std_sql, features.WINDOWS_MS))
+def wn_latency_std_ms(spark, sf_dir):
+    return _latency_std(spark, sf_dir, features.WINDOWS_MS)
+
+
+def _forward_sql(horizons: tuple[int, ...]) -> str:
+    picks = ", ".join(f"round(arg_min({v}, r) OVER h{h} - {v}, 6) AS {name}_{h}ms" for h in horizons for name, v in (("fwd_return", "last_mid"), ("fwd_mp", "micro")))
+    frames = ", ".join(f"h{h} AS (PARTITION BY d, i ORDER BY ts RANGE BETWEEN {h * 1_000_000} FOLLOWING AND UNBOUNDED FOLLOWING)" for h in horizons)
+    return _TRADES + f"SELECT {_ID}, {picks} FROM t3 WINDOW {frames}"
+
+
+def _forward(spark: SparkSession, sf_dir: str, horizons: tuple[int, ...]) -> DataFrame:
+    t = features.forward_returns(_trades(spark, sf_dir), horizons)
     return _id(t, *[F.round(c, 6).alias(c) for c in t.columns if c.startswith("fwd_")])
 
 
+@_q("aj_fwd_return", _forward_sql(HORIZONS))
+def aj_fwd_return(spark, sf_dir):
+    return _forward(spark, sf_dir, HORIZONS)
+
+
+@_q("aj_fwd_return_ms", _forward_sql(features.HORIZONS_MS))
+def aj_fwd_return_ms(spark, sf_dir):
+    return _forward(spark, sf_dir, features.HORIZONS_MS)
+
+
 @_q("aj_excursion_fill", _TRADES + f""", x AS (
   SELECT t.d, t.i, t.n, t.s, t.last_mid, max(u.last_mid) AS hi, min(u.last_mid) AS lo FROM t3 t LEFT JOIN t3 u ON t.d = u.d AND t.i = u.i AND u.r > t.r AND u.ts < t.ts + 60000000000 GROUP BY ALL)
 SELECT {_ID}, CASE WHEN s = 0 THEN hi - last_mid ELSE last_mid - lo END AS excursion FROM x""")
