@@ -56,24 +56,60 @@ def test_extra_columns_do_not_clash(spark):
     assert L.trade_periods(df).count() == 1
 
 
+def arrivals(rng, size=300):
+    """Random cells of one key and day in order of arrival, as a frame."""
+    cells = {}
+    for _ in range(rng.randint(1, size)):
+        c = cells.setdefault((rng.randint(0, 200), rng.choice([0, 0, 0, 1, 5, 179, 180])), [0, 0, 0.0, np.inf, -np.inf])
+        c[0] += 1
+        c[1] += rng.randint(1, 9)
+    pdf = pd.DataFrame([(p, s, (p + 1) * 12 + s, *c) for (p, s), c in cells.items()], columns=["period", "step", "tick", "n", "volume", "notional", "low", "high"])
+    return pdf.sort_values(["tick", "period"])
+
+
+def day(pdf, every=7):
+    return pd.DataFrame(L.replay_day({c: pdf[c].to_numpy() for c in pdf}, 180, every)).set_index("period")
+
+
 def test_replay_in_any_order_equals_recount():
     rng = random.Random(4)
     for _ in range(30):
-        cells = {}
-        for _ in range(rng.randint(1, 300)):
-            key = (rng.randint(0, 200), rng.choice([0, 0, 0, 1, 5, 179, 180]))
-            cells.setdefault(key, [0, 0, 0.0, np.inf, -np.inf])
-            c, v = cells[key], rng.randint(1, 9)
-            c[0] += 1
-            c[1] += v
-        pdf = pd.DataFrame([(1, p, s, *c) for (p, s), c in cells.items()], columns=["key", "period", "step", "n", "volume", "notional", "low", "high"]).sample(frac=1, random_state=1)
-        out = L.replay_day(pdf, 60, 5, 900, every=7).set_index("period_start_s")
-        kept = pdf[pdf.step < 180].groupby("period").n.sum()
-        want = kept.reindex(sorted(pdf.period.unique()), fill_value=0)
+        pdf = arrivals(rng)
+        out = day(pdf)
+        by = lambda rows: rows.groupby("period").n.sum().reindex(sorted(pdf.period.unique()), fill_value=0)
+        want = by(pdf[pdf.step < 180])
         assert out.n.tolist() == want.tolist()
         assert out.day_n.tolist() == want.cumsum().tolist()
-        first = pdf[pdf.step == 0].groupby("period").n.sum().reindex(want.index, fill_value=0)
-        assert out.first_n.tolist() == first.tolist()
+        assert out.first_n.tolist() == by(pdf[pdf.step == 0]).tolist()
+        assert out.n_late.tolist() == by(pdf[(pdf.step > 0) & (pdf.step < 180)]).tolist()
+        assert out.n_cut_off.tolist() == by(pdf[pdf.step == 180]).tolist()
+        late = pdf[(pdf.step > 0) & (pdf.step < 180)].groupby("period").step.nunique().reindex(want.index, fill_value=0)
+        assert out.revisions.tolist() == late.tolist()
+
+
+def test_days_that_cross_batches():
+    rng, frames = random.Random(5), []
+    for key, d in ((1, 0), (1, 1), (2, 0)):
+        frames.append(arrivals(rng).assign(key=key, day=d))
+    whole = pd.concat(frames, ignore_index=True)
+    import pyarrow as pa
+
+    want = [day(f) for f in frames]
+    for size in (1, 7, 50, len(whole)):
+        batches = [pa.RecordBatch.from_pandas(whole.iloc[k : k + size], preserve_index=False) for k in range(0, len(whole), size)]
+        got = pd.concat([b.to_pandas() for b in L._replayed(iter(batches), 60, 180, 7)])
+        assert got.n.tolist() == [x for w in want for x in w.n] and got.day_n.tolist() == [x for w in want for x in w.day_n]
+
+
+def test_outcomes_come_from_the_replay(spark, monkeypatch):
+    end = 60 * NS
+    df = frame(spark, [(1, 10 * NS, 11 * NS, 0, 10.0, 1, 1), (1, 11 * NS, end + 7 * NS, 0, 10.0, 1, 2), (1, 13 * NS, end + 901 * NS, 0, 10.0, 1, 4)])
+    said = lambda: sorted(r["outcome"] for r in L.outcomes(L.trade_periods(df)).collect())
+    assert said() == ["corrected", "cut_off"]
+    pdf = pd.DataFrame({"period": [0, 0, 0], "step": [0, 1, 180], "tick": [12, 13, 192], "n": [1, 1, 1], "volume": [1, 1, 1], "notional": 10.0, "low": 10.0, "high": 10.0})
+    assert (day(pdf).revisions > 0).tolist() == [True]
+    monkeypatch.setattr(L.Ledger, "_replay", lambda self, first, stop: (first, np.zeros(stop - first, bool)))
+    assert (day(pdf).revisions > 0).tolist() == [False]
 
 
 def test_stream_agrees_with_batch(spark, tmp_path):
@@ -88,9 +124,17 @@ def test_stream_agrees_with_batch(spark, tmp_path):
 
     def keep(batch, _):
         for r in batch.collect():
-            seen[(r["key"], r["period_start_s"])] = (r["n"], r["volume"])
+            seen[(r["key"], r["period_start_s"])] = (r["n"], r["volume"], r["revision"] > 0)
 
-    q = L.stream_periods(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q = L.stream_periods(stream, idle_s=None).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    batch = {(r["key"], r["period_start_s"]): (r["n"], r["volume"]) for r in L.trade_periods(df).collect()}
+    batch = {(r["key"], r["period_start_s"]): (r["n"], r["volume"], r["revisions"] > 0) for r in L.trade_periods(df).collect()}
     assert seen == batch
+    q = L.stream_periods(stream, idle_s=1).writeStream.outputMode("update").format("noop").option("checkpointLocation", str(tmp_path / "d")).start()
+    for _ in range(60):
+        q.awaitTermination(1)
+        held = [o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]]
+        if held and max(held) > 0 and held[-1] == 0:
+            break
+    q.stop()
+    assert max(held) > 0 and held[-1] == 0
