@@ -80,6 +80,21 @@ def test_equals_plain_check_in_many_partitions(spark, seed):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_the_tail_chooses_candidates(spark):
+    rng, rows = random.Random(7), []
+    for src in ("a", "b"):
+        level = 1000.0
+        for k in range(1500):
+            level += rng.choice([-1, 1]) * rng.expovariate(1) ** 2  # heavy tails
+            rows.append((src, k * 10, len(rows) + 1, level + (60 if k % 50 == 7 else 0)))
+    series = spikes.readings(frame(spark, rows), "tab", F.col("src"), F.col("t"), F.col("row_id"), ["x"])
+    got = {risk: spikes.candidates(series, FIELDS, risk).collect()[0] for risk in (0.05, spikes.RISK, 1e-12)}
+    assert got[0.05]["n_candidates"] > got[spikes.RISK]["n_candidates"] > got[1e-12]["n_candidates"]
+    assert got[0.05]["n_confirmed"] == got[spikes.RISK]["n_confirmed"] == got[spikes.RISK]["n_rule"] > got[1e-12]["n_confirmed"]
+    kept = {risk: spikes.judge(series, FIELDS, risk).where("reason = 'spike'").count() for risk in (0.05, spikes.RISK, 1e-12)}
+    assert kept[0.05] == kept[spikes.RISK] > kept[1e-12]
+
+
 def test_missing_values_are_no_readings(spark):
     base = [("s", k, k, 10.0 + 0.25 * (k % 2)) for k in range(20)]
     extra = [("s", 100, 100, None), ("s", 101, 101, float("nan")), ("s", 102, 102, 0.0), (None, 5, 103, 10.0), ("s", None, 104, 10.0), (None, 5, 105, -3.0), ("s", None, 106, -3.0)]

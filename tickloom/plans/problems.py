@@ -24,12 +24,17 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source_table", "row_id", "field")
 
 
+def p4_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spikes.candidates(*spikes.market_readings(tables(spark, sf_dir, "market_data"), tables(spark, sf_dir, "trade_features")))
+    return found.select("source_table", "field", "n_readings", "n_confirmed", "n_rule")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     alive = changes.resting_orders(tables(spark, sf_dir, "mbo_messages"))
     return alive.select(F.date_format("trade_date", "yyyy-MM-dd").alias("trade_date"), "instrument_id", "order_id", "price_ticks", "size")
 
 
-QUERIES = {"p3_found": p3_found, "p3_periods": p3_periods, "p4_found": p4_found, "p5_found": p5_found}
+QUERIES = {"p3_found": p3_found, "p3_periods": p3_periods, "p4_found": p4_found, "p4_candidates": p4_candidates, "p5_found": p5_found}
 
 _P3 = """
 WITH r AS (
@@ -60,16 +65,14 @@ u AS (
   SELECT n.*, lim, sum(fresh) OVER (PARTITION BY source_table, field, src ORDER BY t) AS run FROM n JOIN d USING (source_table, field, src)),
 c AS (SELECT *, count(*) OVER (PARTITION BY source_table, field, src, run) AS len FROM u),
 bad AS (
-  SELECT source_table, field, src, t FROM c WHERE v < 0
-  OR least(abs(v - b1), abs(v - a1)) > lim AND b1 IS NOT NULL AND a1 IS NOT NULL
-  OR b1 IS NOT NULL AND a2 IS NOT NULL AND least(abs(v - b1), abs(v - a2), abs(a1 - b1), abs(a1 - a2)) > lim
-  OR b2 IS NOT NULL AND a1 IS NOT NULL AND least(abs(b1 - b2), abs(b1 - a1), abs(v - b2), abs(v - a1)) > lim
-  OR b1 IS NOT NULL AND a3 IS NOT NULL AND least(abs(v - b1), abs(v - a3), abs(a1 - b1), abs(a1 - a3), abs(a2 - b1), abs(a2 - a3)) > lim
-  OR b2 IS NOT NULL AND a2 IS NOT NULL AND least(abs(b1 - b2), abs(b1 - a2), abs(v - b2), abs(v - a2), abs(a1 - b2), abs(a1 - a2)) > lim
-  OR b3 IS NOT NULL AND a1 IS NOT NULL AND least(abs(b2 - b3), abs(b2 - a1), abs(b1 - b3), abs(b1 - a1), abs(v - b3), abs(v - a1)) > lim
-  OR fresh = 0 AND len >= CASE WHEN source_table = 'market_data' THEN 20 ELSE 12 END)
-SELECT k.source_table, k.row_id, k.field FROM k JOIN bad USING (source_table, field, src, t)
-UNION ALL SELECT source_table, row_id, field FROM k WHERE v < 0 AND (src IS NULL OR t IS NULL)
+  SELECT source_table, field, src, t, away > lim AS spike FROM (SELECT *, greatest(
+    CASE WHEN b1 IS NOT NULL AND a1 IS NOT NULL THEN least(abs(v - b1), abs(v - a1)) ELSE 0 END,
+    CASE WHEN b1 IS NOT NULL AND a2 IS NOT NULL THEN least(abs(v - b1), abs(v - a2), abs(a1 - b1), abs(a1 - a2)) ELSE 0 END,
+    CASE WHEN b2 IS NOT NULL AND a1 IS NOT NULL THEN least(abs(b1 - b2), abs(b1 - a1), abs(v - b2), abs(v - a1)) ELSE 0 END,
+    CASE WHEN b1 IS NOT NULL AND a3 IS NOT NULL THEN least(abs(v - b1), abs(v - a3), abs(a1 - b1), abs(a1 - a3), abs(a2 - b1), abs(a2 - a3)) ELSE 0 END,
+    CASE WHEN b2 IS NOT NULL AND a2 IS NOT NULL THEN least(abs(b1 - b2), abs(b1 - a2), abs(v - b2), abs(v - a2), abs(a1 - b2), abs(a1 - a2)) ELSE 0 END,
+    CASE WHEN b3 IS NOT NULL AND a1 IS NOT NULL THEN least(abs(b2 - b3), abs(b2 - a1), abs(b1 - b3), abs(b1 - a1), abs(v - b3), abs(v - a1)) ELSE 0 END) AS away FROM c)
+  WHERE v < 0 OR away > lim OR fresh = 0 AND len >= CASE WHEN source_table = 'market_data' THEN 20 ELSE 12 END)
 """
 
 _P5 = """
@@ -106,6 +109,11 @@ ORACLES = {
 SELECT instrument_id, period_start_s, n, volume, notional, low, high,
        cast(sum(n) OVER w AS BIGINT) AS day_n, cast(sum(volume) OVER w AS BIGINT) AS day_volume, first_n, n_late, n_cut_off
 FROM a WINDOW w AS (PARTITION BY instrument_id, period_start_s // 86400 ORDER BY period_start_s)""",
-    "p4_found": _P4,
+    "p4_found": _P4
+    + """SELECT k.source_table, k.row_id, k.field FROM k JOIN bad USING (source_table, field, src, t)
+UNION ALL SELECT source_table, row_id, field FROM k WHERE v < 0 AND (src IS NULL OR t IS NULL)""",
+    "p4_candidates": _P4
+    + """SELECT source_table, field, count(*) AS n_readings, count(spike) FILTER (WHERE spike) AS n_confirmed, count(spike) FILTER (WHERE spike) AS n_rule
+FROM g LEFT JOIN bad USING (source_table, field, src, t) GROUP BY ALL""",
     "p5_found": _P5,
 }
