@@ -86,24 +86,25 @@ def test_function_words_are_learned(spark):
     rows = [(k, good[n], n[:2]) for k, n in enumerate(n for n in good if n[2:].isdigit())]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     table = S.function_words(S.page_tokens(df, df.doc_id, df.text, df.lang))
-    number = lambda w: S.Tokens()[w] >> 28
+    number = lambda w: S.token_code(w) >> 28
     assert len(table) == 3 and all(table[k, number(w)] for k, w in ((0, "der"), (1, "the"), (2, "la")))
     assert not table[:, number("kettle")].any()
 
 
 def features(text, table=None):
-    known = S.Tokens()
-    codes = np.array([known[t] for t in S._TOKEN.findall(S.tidy(text))], np.int64)
+    codes = S.Tokens().of(text)
     return S.unit_features(codes, np.array([len(codes)]), np.zeros((0, 1 << S.BITS), bool) if table is None else table)
 
 
 def test_tokens_are_told_apart():
-    kind = lambda t: S.Tokens()[t] & 7
+    kind = lambda t: S.token_code(t) & 7
     cases = {"https://a.b/c": S.LINK, "//x.y": S.LINK, "shop.co.uk/a?b=1": S.LINK, "laden.de": S.LINK, "#tag_1": S.TAG, "7": S.NUMBER, "word": S.WORD, "Wick-sur-Orle": S.WORD, "\n": S.LINE, "!": S.STOP, ",": S.MARK}
     for text, want in cases.items():
         assert S._TOKEN.findall(text) == [text] and kind(text) == want, text
+    known = S.Tokens()
+    assert known.of("a  b\r\nc\u200bd\xa0ﬁn").tolist() == [S.token_code(t) for t in ("a", "b", "\n", "cd", "fin")]
     assert S._TOKEN.findall("the end.Next") == ["the", "end", ".", "Next"]
-    assert S.Tokens()["v4cuum"] >> 28 == S.Tokens()["VACUUM"] >> 28 and S.Tokens()["v4cuum"] & S.DISGUISED
+    assert S.token_code("v4cuum") >> 28 == S.token_code("VACUUM") >> 28 and S.token_code("v4cuum") & S.DISGUISED
 
 
 def test_repetition_of_words_pairs_and_items():
@@ -129,7 +130,7 @@ def test_pages_in_blocks_equal_pages_alone():
     rng = random.Random(3)
     texts = [speech(rng, "en", rng.randint(1, 6)) + rng.choice(["", "\nTags: oak, oak, oak", "\n" + "red kettle, " * 30]) for _ in range(40)]
     known = S.Tokens()
-    codes = [np.array([known[t] for t in S._TOKEN.findall(t)], np.int64) for t in texts]
+    codes = [known.of(t) for t in texts]
     whole = S.unit_features(np.concatenate(codes), np.array([len(c) for c in codes]), np.zeros((0, 1 << S.BITS), bool))
     alone = [features(t) for t in texts]
     for f in ("chars", "features", "n_words", "words"):

@@ -20,9 +20,11 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,8 +57,7 @@ REACH = 2
 
 BITS = 20
 WORD, NUMBER, LINK, TAG, LINE, STOP, MARK = range(7)
-DISGUISED, NAMED, LETTER, AMOUNT, SEPARATOR, UPPER = (1 << k for k in range(3, 9))
-COLON, OPEN, CLOSE = (1 << k for k in range(9, 12))
+DISGUISED, LETTER, AMOUNT, SEPARATOR, UPPER, COLON, OPEN, CLOSE = (1 << k for k in range(3, 11))
 #: Tokens to a block of pages that is handled at once; a longer page is a block of its own.
 BLOCK = 1_000_000
 
@@ -65,20 +66,20 @@ _TOKEN = re.compile(
     r"|#\w[\w-]+|[^\W_]+(?:['’-][^\W_]+)*|\n|[^\w\s]"
 )
 _INNER_DIGIT = re.compile(r"[^\W\d_]\d+[^\W\d_]|^\d+[^\W\d_]{2,}\d|^\d[^\W\d_]{2,}")
-_DAMAGED = re.compile("[ÃÅÄÎ]|â€")
-_HIDDEN = re.compile("[­​-‏⁠﻿]")
+_HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
+_DAMAGE = ("Ã", "Å", "Ä", "Î", "â€")
 
 
 def tidy(text: str) -> str:
-    """Compatibility forms and line ends made plain, UTF-8 that was read as Latin-1 mended, zero-width characters gone."""
-    if _DAMAGED.search(text):
+    """Line ends made plain, and UTF-8 that was read as Latin-1 mended."""
+    if any(d in text for d in _DAMAGE):
         for code in ("cp1252", "latin-1"):
             try:
                 text = text.encode(code).decode("utf-8")
                 break
             except (UnicodeDecodeError, UnicodeEncodeError):
                 continue
-    return _HIDDEN.sub("", unicodedata.normalize("NFKC", text).replace("\r\n", "\n").replace("\r", "\n"))
+    return text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text
 
 
 def _plain(word: str) -> tuple[str, bool]:
@@ -91,32 +92,44 @@ def _plain(word: str) -> tuple[str, bool]:
     return word, disguised
 
 
+def token_code(t: str) -> int:
+    """Flags in the low 12 bits, then 16 bits of length and 20 of the word's number."""
+    first, size, word = t[0], len(t), 0
+    if t == "\n":
+        code = LINE
+    elif first == "#" and size > 1:
+        code = TAG
+    elif size == 1 and not first.isalnum():
+        code = (STOP if t in ".!?…" else MARK) | (SEPARATOR if t in ",;|/•·»›>–—-:()[]" else 0)
+        code |= (COLON if t == ":" else 0) | (OPEN if t in "([" else 0) | (CLOSE if t in ")]" else 0)
+    elif "/" in t or "." in t:
+        code = LINK
+    elif t.isdigit():
+        code, word = NUMBER, zlib.crc32(t.encode()) & ((1 << BITS) - 1)
+    else:
+        plain, disguised = _plain(t)
+        word = zlib.crc32(plain.encode()) & ((1 << BITS) - 1)
+        code = WORD | (DISGUISED if disguised else 0) | (LETTER if size == 1 else 0)
+    code |= (AMOUNT if t.lower() in AMOUNTS else 0) | (UPPER if first.isupper() else 0)
+    return code | min(size, 65_535) << 12 | word << 28
+
+
 class Tokens(dict):
-    """From a token to its code: flags in the low 12 bits, then 16 bits of length and 20 of the word's number. Only a memory: it may be emptied at any time."""
-
-    def __missing__(self, t: str) -> int:
-        first, size, word = t[0], len(t), 0
-        if t == "\n":
-            code = LINE
-        elif first == "#" and size > 1:
-            code = TAG
-        elif size == 1 and not first.isalnum():
-            code = (STOP if t in ".!?…" else MARK) | (SEPARATOR if t in ",;|/•·»›>–—-:()[]" else 0)
-            code |= (COLON if t == ":" else 0) | (OPEN if t in "([" else 0) | (CLOSE if t in ")]" else 0)
-        elif "/" in t or "." in t:
-            code = LINK
-        elif t.isdigit():
-            code, word = NUMBER, zlib.crc32(t.encode()) & ((1 << BITS) - 1)
-        else:
-            plain, disguised = _plain(t)
-            word = zlib.crc32(plain.encode()) & ((1 << BITS) - 1)
-            code = WORD | (DISGUISED if disguised else 0) | (LETTER if size == 1 else 0) | (NAMED if first.isupper() and size > 1 and not t[1].isupper() else 0)
-        code |= (AMOUNT if t.lower() in AMOUNTS else 0) | (UPPER if first.isupper() else 0)
+    """From what stands between two blanks to the codes of its tokens, in compatibility form and without zero-width characters.
+
+    Only a memory, as most words come again: it may be emptied at any time.
+    """
+
+    def __missing__(self, chunk: str) -> tuple[int, ...]:
+        codes = tuple(map(token_code, _TOKEN.findall(_HIDDEN.sub("", unicodedata.normalize("NFKC", chunk)))))
         if len(self) > 400_000:
             self.clear()
-        code |= min(size, 65_535) << 12 | word << 28
-        self[t] = code
-        return code
+        if len(chunk) < 100:
+            self[chunk] = codes
+        return codes
+
+    def of(self, text: str) -> np.ndarray:
+        return np.fromiter(chain.from_iterable(map(self.__getitem__, tidy(text).replace("\n", " \n ").split(" "))), np.int64)
 
 
 # ---- pages as tokens, and the words that most pages of a language hold ----------------------------------------------
@@ -138,25 +151,26 @@ def page_tokens(docs: DataFrame, ident: Column, text: Column, label: Column) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Tokens()
-        for b in _groups(batches, lambda b: np.array([len(t) // 4 for t in b.column("text").to_pylist()])):
-            found = [_TOKEN.findall(tidy(t)) for t in b.column("text").to_pylist()]
+        for b in _groups(batches, lambda b: pc.binary_length(b.column("text")).to_numpy() // 5):
+            found = [known.of(t) for t in b.column("text").to_pylist()]
             n = np.array([len(x) for x in found])
-            flat = np.fromiter((c for x in found for c in map(known.__getitem__, x)), np.int64, n.sum())
-            ends = np.cumsum(n)
-            codes = [pa.compress(flat[e - k : e].tobytes(), "zstd", asbytes=True) for k, e in zip(n, ends)]
+            flat = np.concatenate(found)
+            codes = [pa.compress(x.tobytes(), "zstd", asbytes=True) for x in found]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(n, pa.int32()), pa.array(codes, pa.binary()), pa.nulls(len(n), pa.string()), pa.nulls(len(n), pa.list_(pa.int32())), pa.nulls(len(n), pa.list_(pa.int64()))],
                 names=["doc_id", "n", "codes", "label", "word", "pages"],
             )
             word = (flat & 7) == WORD
             held = _distinct(np.repeat(np.arange(len(n)), n)[word] << BITS | flat[word] >> 28)
-            labels = np.array(b.column("label").to_pylist(), object)
-            rows = []
-            for name in sorted({x for x in labels if x}):
-                own = labels == name
-                times = np.bincount(held[own[held >> BITS]] & ((1 << BITS) - 1), minlength=1 << BITS)
-                words = np.flatnonzero(times)
-                rows.append((name, np.append(words, -1).astype(np.int32), np.append(times[words], own.sum())))
+            labels = b.column("label").dictionary_encode()
+            label_no = labels.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            names = labels.dictionary.to_pylist()
+            keys, times = np.unique(label_no[held >> BITS] << BITS | held & ((1 << BITS) - 1), return_counts=True)
+            cut = np.searchsorted(keys, np.arange(len(names) + 1) << BITS)
+            rows = [
+                (name, np.append(keys[lo:hi] & ((1 << BITS) - 1), -1).astype(np.int32), np.append(times[lo:hi], (label_no == k).sum()))
+                for k, (name, lo, hi) in enumerate(zip(names, cut, cut[1:])) if name
+            ]
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary()), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()))))],
