@@ -45,6 +45,7 @@ def pages():
         for k in range(30):
             some = rng.sample(words, 6)
             bad[f"{lang}_links{k}"] = " | ".join(f"[{a} {b}](https://m.{a}{k}.example/x)" for a, b in zip(some, some[1:]))
+            bad[f"{lang}_tags{k}"] = "Tags: " + ", ".join(rng.sample(words, 8)) + " / Keywords: " + ", ".join(rng.sample(words, 8))
             bad[f"{lang}_again{k}"] = " ".join(rng.choices(rng.sample(words, 7), k=60))
     return good, bad
 
