@@ -22,7 +22,7 @@ def pages():
     rng = random.Random(1)
     good = {}
     for lang in SPEECH:
-        for k in range(60):
+        for k in range(200):
             good[f"{lang}{k}"] = speech(rng, lang, rng.randint(4, 14))
     names = [f"{a}{b}" for a in ("Ash", "Bor", "Cal", "Dun", "Eld", "Fen", "Gor") for b in ("ford", "wick", "ley", "ton", "by")]
     good["roll"] = "AYES (35)\n" + "  ".join(names)
@@ -42,7 +42,7 @@ def pages():
     # what makes words known: link lists and repetitions of the same trade elsewhere in the corpus
     trade = {"en": "kettle shelf lamp drill boots tent carpet oak red used cars vintage waterproof cheap buy best wholesale online price sale near discount sku order looking get".split(), "de": "Lampe bestellen vergleichen sparen günstig kaufen billig online Angebot Rabatt jetzt".split()}
     for lang, words in trade.items():
-        for k in range(30):
+        for k in range(10):
             some = rng.sample(words, 6)
             bad[f"{lang}_links{k}"] = " | ".join(f"[{a} {b}](https://m.{a}{k}.example/x)" for a, b in zip(some, some[1:]))
             bad[f"{lang}_tags{k}"] = "Tags: " + ", ".join(rng.sample(words, 8)) + " / Keywords: " + ", ".join(rng.sample(words, 8))

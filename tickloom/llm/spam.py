@@ -43,8 +43,8 @@ FEATURES = ("density", "affinity", "repeat_in_unit", "repeat_in_page", "entropy_
 DIRECTION = np.array([1.0, 1.0, 0.8, 1.0, 0.4, 0.25, 1.0, -1.5])
 #: Least deviation of each feature, for those that nearly all units lack.
 LEAST = np.array([0.05, 0.08, 0.08, 0.08, 0.08, 0.08, 0.05, 0.08])
-#: Distance past which a unit is an outlier, the least share of it along the direction, and the share of a page's characters.
-DISTANCE, ALIGNED, SHARE = 6.0, 0.1, 0.5
+#: Distance past which a unit is an outlier, the least cosine of its angle to the direction, and the share of a page's characters.
+DISTANCE, ALIGNED, SHARE = 6.25, 0.25, 0.5
 PIECE_WORDS, ITEM_WORDS = 24, 6
 #: The share of a language's pages that hold a function word, and the share of all pages that a label of a language has.
 FUNCTION_PAGES, LANGUAGE_PAGES = 0.25, 0.001
@@ -498,15 +498,15 @@ def _correlation(s: np.ndarray) -> np.ndarray:
 
 
 def flagged(features: np.ndarray, lang: np.ndarray, standard: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Which units are outliers in a spam-directed direction; the angle to it is that of the distance's own metric."""
+    """Which units are outliers in a spam-directed direction: far off, at a small enough angle to it."""
     bad = np.zeros(len(features), bool)
     for g in np.unique(lang):
         mid, scale, inverse = standard[g]
         own = lang == g
         z = np.clip((features[own] - mid) / scale, -12, 12)
         far = np.sqrt(np.maximum(np.einsum("ni,ij,nj->n", z, inverse, z), 0))
-        along = z @ inverse @ DIRECTION / np.sqrt(DIRECTION @ inverse @ DIRECTION)
-        bad[own] = (far > DISTANCE) & (along > ALIGNED * far)
+        along = z @ DIRECTION / (np.linalg.norm(DIRECTION) * np.maximum(np.linalg.norm(z, axis=1), 1e-9))
+        bad[own] = (far > DISTANCE) & (along > ALIGNED)
     return bad
 
 
