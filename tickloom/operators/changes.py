@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.cluster import broadcast_checked
+from tickloom.cluster import broadcast_checked, checkpoint
 from tickloom.functions import codes as C
 
 #: Kinds of a change: the key gets the row's payload; the key is removed; the key's amount shrinks; all keys go.
@@ -47,7 +47,8 @@ def apply_changes(changes: DataFrame, *, scope: list[str], key: list[str], paylo
     first = None
     if base is not None:
         first = base.select(*cols, F.lit(-(1 << 63)).cast("bigint").alias("sequence"), F.lit(SET).cast("tinyint").alias("kind"), *payload, F.col(amount).cast("bigint").alias("_amount"))
-    gone = broadcast_checked(cleared.select(*[F.col(c).alias(f"_c_{c}") for c in scope], "_cleared"))
+    # a checkpoint, so that counting the clears and joining them read the feed's few columns once
+    gone = broadcast_checked(checkpoint(cleared.select(*[F.col(c).alias(f"_c_{c}") for c in scope], "_cleared")))
     same = F.lit(True)
     for c in scope:
         same = same & F.col(c).eqNullSafe(F.col(f"_c_{c}"))
