@@ -3,7 +3,7 @@
 Lifetimes are windows over one order's own messages. The best prices at every message need the whole book, so a session
 is cut into blocks of messages: the orders alive where a block starts come from the lifetimes, and each block is
 replayed on its own, streaming. A session that holds a third of all messages is thus as many tasks as its blocks, and a
-task holds the live orders of one block's book and one Arrow batch.
+task holds the live orders of one block's book and one Arrow batch. Running counters go block by block, too.
 """
 
 from __future__ import annotations
@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from tickloom.cluster import checkpoint
 from tickloom.functions import codes as C
+from tickloom.operators.ordered import carried, with_group
 from tickloom.sources.messages import SESSION
 
 BLOCK = 100_000
@@ -35,16 +37,27 @@ def effects(ordered: DataFrame) -> DataFrame:
     return ordered.withColumn("kind", kind.cast("tinyint"))
 
 
-def order_states(ordered: DataFrame) -> DataFrame:
+def is_long(ordered: DataFrame, block: int) -> bool:
+    """Whether any session has more messages than a block; without one, blocks take over nothing. Only the plan depends on it."""
+    return bool(ordered.where(F.col("n") == block + 1).take(1))
+
+
+def order_states(ordered: DataFrame, block: int = BLOCK) -> DataFrame:
     """Each order's states: ``trade_date, instrument_id, order_id, n, until, px, side_code, remaining``.
 
     A state begins with message ``n`` and holds up to, not including, message ``until`` (null: the end of the session). Orders are
-    independent given the number of times the book was emptied before, so this is windows over (session, epoch, order).
+    independent given the number of times the book was emptied before, so this is windows over (session, epoch, order). Times
+    are counted in blocks of a session, each with what the blocks before it had.
     """
-    e = effects(ordered).where(F.col("kind").isNotNull())
-    run = Window.partitionBy(*SESSION).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    e = e.withColumn("epoch", F.sum((F.col("kind") == 4).cast("int")).over(run))
-    clears = e.where(F.col("kind") == 4).select(*SESSION, (F.col("epoch") - 1).alias("epoch"), F.col("n").alias("cleared"))
+    e = effects(ordered).where(F.col("kind").isNotNull()).withColumn("_b", C.floor_div(F.col("n") - 1, block))
+    clear = (F.col("kind") == 4).cast("int")
+    epoch = F.sum(clear).over(Window.partitionBy(*SESSION, "_b").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    if is_long(ordered, block):
+        e = with_group(e.withColumn("epoch", epoch), carried(e, SESSION, "_b", {"_ep": F.sum(clear)}, {"_ep": F.sum}), [*SESSION, "_b"])
+        e = e.withColumn("epoch", F.col("epoch") + F.coalesce("_ep", F.lit(0)))
+    else:
+        e = e.withColumn("epoch", epoch)
+    clears = checkpoint(e.where(F.col("kind") == 4).select(*SESSION, (F.col("epoch") - 1).alias("epoch"), F.col("n").alias("cleared")))
     own = Window.partitionBy(*SESSION, "epoch", "order_id").orderBy("n")
     o = e.where(F.col("kind") < 4).withColumn("gen", F.sum((F.col("kind") < 3).cast("int")).over(own.rowsBetween(Window.unboundedPreceding, 0)))
     o = o.withColumn("next", F.lead("n").over(own))
@@ -53,7 +66,7 @@ def order_states(ordered: DataFrame) -> DataFrame:
     born = F.first(F.when(F.col("kind") < 3, F.struct("kind", "px", "side_code", "size"))).over(life)
     o = o.withColumns({"born": born, "filled": filled}).where((F.col("born.kind") == 1) & (F.col("born.size") > F.col("filled")))
     o = o.select(*SESSION, "epoch", "order_id", "n", "next", F.col("born.px").alias("px"), F.col("born.side_code").alias("side_code"), (F.col("born.size") - F.col("filled")).alias("remaining"))
-    o = o.join(clears, [*SESSION, "epoch"], "left")
+    o = with_group(o, clears, [*SESSION, "epoch"])
     return o.select(*SESSION, "order_id", "n", F.least("next", "cleared").alias("until"), "px", "side_code", "remaining")
 
 
@@ -159,11 +172,10 @@ def replay(ordered: DataFrame, block: int = BLOCK) -> DataFrame:
     e = effects(ordered).withColumn("block", C.floor_div(F.col("n") - 1, block))
     cols = [*SESSION, "block", "n", "kind", "order_id", "px", "size", "side_code", "act", *KEEP]
     rows = e.select(*[F.coalesce("kind", F.lit(9)).cast("tinyint").alias("kind") if c == "kind" else F.col(c) for c in cols])
-    long_sessions = ordered.where(F.col("n") == block + 1).select(*SESSION).limit(1).count()
-    if long_sessions:
+    if is_long(ordered, block):
         ends = ordered.groupBy(*SESSION).agg(C.floor_div(F.max("n") - 1, block).alias("last"))
-        alive = order_states(ordered).withColumn("b0", C.floor_div(F.col("n") - 1, block))
-        alive = alive.join(ends, SESSION).withColumn("b1", F.coalesce(C.floor_div(F.col("until") - 1, block), F.col("last")))
+        alive = order_states(ordered, block).withColumn("b0", C.floor_div(F.col("n") - 1, block))
+        alive = with_group(alive, ends, SESSION).withColumn("b1", F.coalesce(C.floor_div(F.col("until") - 1, block), F.col("last")))
         alive = alive.where(F.col("b1") > F.col("b0")).withColumn("block", F.explode(F.sequence(F.col("b0") + 1, F.col("b1"))))
         start = alive.select(*SESSION, "block", F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("tinyint").alias("kind"), "order_id", "px", F.col("remaining").alias("size"), "side_code")
         rows = rows.unionByName(start, allowMissingColumns=True)
@@ -208,48 +220,76 @@ def snapshots(replayed: DataFrame) -> DataFrame:
     )
 
 
-def counters(replayed: DataFrame) -> DataFrame:
+def counted(ordered: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``counters`` of the replayed messages; where a session is longer than a block, block by block."""
+    replayed = replay(ordered, block)
+    return counters(checkpoint(replayed), block) if is_long(ordered, block) else counters(replayed)
+
+
+def counters(replayed: DataFrame, block: int | None = None) -> DataFrame:
     """Every message with running counters of its session.
 
     Sizes and counts of adds, cancels and fills by side, the same by distance from the best price before the message (at
     or inside it, one tick behind, deeper), moves of the best prices, spread changes, and spread-weighted time. A modify
     counts in both the add and the cancel of its level, and in no aggregate size; only fills, not trades, count as fills.
+
+    With ``block`` no task sees more of a session than so many messages: each block has its own running sums, and takes
+    over the sums of the blocks before it, the time of the last message and the last turns of the best prices. ``replayed``
+    is then read three times and should lie in a checkpoint.
     """
-    w = Window.partitionBy(*SESSION).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    at = Window.partitionBy(*SESSION).orderBy("n")
+    rows = replayed if block is None else replayed.withColumn("_b", C.floor_div(F.col("n") - 1, block))
+    part = SESSION if block is None else [*SESSION, "_b"]
+    at = Window.partitionBy(*part).orderBy("n")
     act, side, size = F.col("act"), F.col("side_code"), F.col("size")
+
+    turns = {}
+    for name in ("bid", "ask"):
+        was, now = F.col(f"{name}0"), F.col(name)
+        turns[f"_{name}_turn"] = F.when((was > 0) & (now > 0) & (was != now), F.struct(F.signum(now - was).cast("int").alias("dir"), F.col("ts_ns").alias("ts")))
+    rows = rows.withColumns(turns)
+    since, last = F.lag("ts_ns").over(at), {c: F.last(c, ignorenulls=True).over(at.rowsBetween(Window.unboundedPreceding, -1)) for c in turns}
+    if block is not None:
+        latest = {"_ts": F.max_by(F.struct("ts_ns"), "n")} | {f"_in{c}": F.max_by(c, F.when(F.col(c).isNotNull(), F.col("n"))) for c in turns}
+        rows = with_group(rows, carried(rows, SESSION, "_b", latest, dict.fromkeys(latest, lambda c: F.last(c, ignorenulls=True))), part)
+        since = F.when(F.row_number().over(at) == 1, F.col("_ts.ts_ns")).otherwise(since)
+        last = {c: F.coalesce(v, F.col(f"_in{c}")) for c, v in last.items()}
+    flick = F.lit(0)
+    rows = rows.withColumns({"_dt": F.col("ts_ns") - since} | {f"_last{c}": v for c, v in last.items()})
+    for c in turns:
+        back = (F.col(f"_last{c}.dir") == -F.col(f"{c}.dir")) & (F.col("ts_ns") - F.col(f"_last{c}.ts") <= FLICKER_NS)
+        flick = flick + F.coalesce(back.cast("int"), F.lit(0))
+
     out = {}
-    add = lambda cond, value=None: F.sum(F.when(cond, F.lit(1) if value is None else value).otherwise(0)).over(w)
+    count = lambda cond, value=None: F.when(cond, F.lit(1) if value is None else value).otherwise(0)
     for s, name in enumerate(("bid", "ask")):
         on = side == s
         out |= {
-            f"cum_add_{name}": add(on & (act == C.ADD), size), f"cum_canc_{name}": add(on & (act == C.CANCEL), size), f"cum_fill_{name}": add(on & (act == C.FILL), size),
-            f"cum_n_canc_{name}": add(on & (act == C.CANCEL)), f"cum_n_mod_{name}": add(on & (act == C.MODIFY)), f"cum_n_fill_{name}": add(on & (act == C.FILL)),
+            f"cum_add_{name}": count(on & (act == C.ADD), size), f"cum_canc_{name}": count(on & (act == C.CANCEL), size), f"cum_fill_{name}": count(on & (act == C.FILL), size),
+            f"cum_n_canc_{name}": count(on & (act == C.CANCEL)), f"cum_n_mod_{name}": count(on & (act == C.MODIFY)), f"cum_n_fill_{name}": count(on & (act == C.FILL)),
         }
         best = F.col(f"{name}0")
         off = F.when(F.col("px") <= 0, 99).when(best.isNull(), 0).otherwise((best - F.col("px")) if s == 0 else (F.col("px") - best))
         for level, here in (("L1", off <= 0), ("L2", off == 1), ("deep", off > 1)):
             out |= {
-                f"cum_add_{name}_{level}": add(on & here & act.isin(C.ADD, C.MODIFY), size), f"cum_canc_{name}_{level}": add(on & here & act.isin(C.CANCEL, C.MODIFY), size),
-                f"cum_fill_{name}_{level}": add(on & here & (act == C.FILL), size),
+                f"cum_add_{name}_{level}": count(on & here & act.isin(C.ADD, C.MODIFY), size), f"cum_canc_{name}_{level}": count(on & here & act.isin(C.CANCEL, C.MODIFY), size),
+                f"cum_fill_{name}_{level}": count(on & here & (act == C.FILL), size),
             }
         now, was = F.col(name), F.col(f"{name}0")
-        out |= {f"cum_{name}_up": add((was > 0) & (now > 0) & (now > was)), f"cum_{name}_dn": add((was > 0) & (now > 0) & (now < was))}
+        out |= {f"cum_{name}_up": count((was > 0) & (now > 0) & (now > was)), f"cum_{name}_dn": count((was > 0) & (now > 0) & (now < was))}
     now, was = F.col("ask") - F.col("bid"), F.col("ask0") - F.col("bid0")
-    out |= {"cum_widen": add((was > 0) & (now > 0) & (now > was)), "cum_narrow": add((was > 0) & (now > 0) & (now < was))}
-    dt = F.col("ts_ns") - F.lag("ts_ns").over(at)
-    timed = replayed.withColumn("dt", dt).withColumn("held", F.when((dt > 0) & (was > 0), was * dt).otherwise(0))
-    out |= {"cum_spread_time": F.sum("held").over(w), "cum_wall_time": F.sum(F.when(F.col("dt") > 0, F.col("dt")).otherwise(0)).over(w), "cum_flicker": F.sum("_flick").over(w)}
-    turned = F.lit(0)
-    for name in ("bid", "ask"):
-        was, now = F.col(f"{name}0"), F.col(name)
-        turn = F.when((was > 0) & (now > 0) & (was != now), F.struct(F.signum(now - was).cast("int").alias("dir"), F.col("ts_ns").alias("ts")))
-        before = F.last(turn, ignorenulls=True).over(at.rowsBetween(Window.unboundedPreceding, -1))
-        timed = timed.withColumns({f"_{name}_turn": turn, f"_{name}_last": before})
-        back = (F.col(f"_{name}_last.dir") == -F.col(f"_{name}_turn.dir")) & (F.col("ts_ns") - F.col(f"_{name}_last.ts") <= FLICKER_NS)
-        turned = turned + F.coalesce(back.cast("int"), F.lit(0))
-    timed = timed.withColumn("_flick", turned)
-    return timed.withColumns(out).drop("dt", "held", "_flick", "_bid_turn", "_bid_last", "_ask_turn", "_ask_last")
+    dt = F.col("_dt")
+    out |= {
+        "cum_widen": count((was > 0) & (now > 0) & (now > was)), "cum_narrow": count((was > 0) & (now > 0) & (now < was)),
+        "cum_spread_time": count((dt > 0) & (was > 0), was * dt), "cum_wall_time": count(dt > 0, dt), "cum_flicker": flick,
+    }
+    helpers = ["_dt", *turns, *[f"_last{c}" for c in turns]]
+    upto = at.rowsBetween(Window.unboundedPreceding, 0)
+    if block is None:
+        return rows.withColumns({c: F.sum(v).over(upto) for c, v in out.items()}).drop(*helpers)
+    before = carried(rows, SESSION, "_b", {f"_s{c}": F.sum(v) for c, v in out.items()}, dict.fromkeys([f"_s{c}" for c in out], F.sum))
+    rows = with_group(rows.withColumns({c: F.sum(v).over(upto) for c, v in out.items()}), before, part)
+    whole = {c: F.col(c) + F.coalesce(f"_s{c}", F.lit(0)) for c in out}
+    return rows.withColumns(whole).drop(*helpers, "_b", "_ts", *[f"_in{c}" for c in turns], *before.columns[len(part) :])
 
 
 def flickers(replayed: DataFrame, within_ns: int = FLICKER_NS) -> DataFrame:

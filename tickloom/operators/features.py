@@ -24,9 +24,7 @@ def ratio(a: Column, b: Column) -> Column:
 
 def trades(ordered: DataFrame, block: int = book.BLOCK) -> DataFrame:
     """One row a trade with the book around it and every running counter, in order of (time, message)."""
-    replayed = book.replay(ordered, block)
-    rows = book.counters(replayed)
-    t = temporal.positioned(book.snapshots(rows), SESSION, "ts_ns", "n")
+    t = temporal.positioned(book.snapshots(book.counted(ordered, block)), SESSION, "ts_ns", "n")
     at = Window.partitionBy(*SESSION).orderBy("r")
     upto = at.rowsBetween(Window.unboundedPreceding, 0)
     log_mid = F.log(F.greatest("last_mid", F.lit(1e-6)))

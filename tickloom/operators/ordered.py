@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.cluster import broadcast_checked, checkpoint
@@ -39,19 +39,37 @@ def numbered(df: DataFrame, order: list[str], name: str = "rn", group: list[str]
     """
     group = group or []
     by = [*group, *order]
-    kept = checkpoint(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_pid", F.spark_partition_id()))
+    return number_ranges(df.repartitionByRange(*by).sortWithinPartitions(*by), name, group)
+
+
+def number_ranges(ranged: DataFrame, name: str = "rn", group: list[str] | None = None, start: int = 0) -> DataFrame:
+    """Rows that already lie in range partitions in their order, numbered from ``start`` in that order, or in each ``group``."""
+    kept = checkpoint(ranged.withColumn("_pid", F.spark_partition_id()))
     first, sofar = {}, 0
     for r in sorted(kept.groupBy("_pid").count().collect()):
         first[r["_pid"]], sofar = sofar, sofar + r["count"]
     begin = F.element_at(F.map_from_arrays(F.array(*[F.lit(k) for k in first]), F.array(*[F.lit(v).cast("bigint") for v in first.values()])), F.col("_pid")) if first else F.lit(0)
-    rows = kept.withColumn(name, begin + F.monotonically_increasing_id() - F.spark_partition_id().cast("bigint") * F.lit(1 << 33)).drop("_pid")
+    rows = kept.withColumn(name, begin + F.lit(start) + F.monotonically_increasing_id() - F.spark_partition_id().cast("bigint") * F.lit(1 << 33)).drop("_pid")
     if not group:
         return rows
+    starts = rows.groupBy(*group).agg((F.min(name) - F.lit(start)).alias("_at"))
+    return with_group(rows, starts, group).withColumn(name, F.col(name) - F.col("_at")).drop("_at")
+
+
+def with_group(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` left-joined to one row a key of ``few``, null keys equal; ``few`` is broadcast if its size allows it."""
     same = F.lit(True)
-    for k, c in enumerate(group):
+    for k, c in enumerate(keys):
         same = same & F.col(c).eqNullSafe(F.col(f"_g{k}"))
-    starts = rows.groupBy(*group).agg(F.min(name).alias("_at")).withColumnsRenamed({c: f"_g{k}" for k, c in enumerate(group)})
-    return rows.join(broadcast_checked(starts), same).withColumn(name, F.col(name) - F.col("_at")).drop("_at", *[f"_g{k}" for k in range(len(group))])
+    few = few.withColumnsRenamed({c: f"_g{k}" for k, c in enumerate(keys)})
+    return rows.join(broadcast_checked(few), same, "left").drop(*[f"_g{k}" for k in range(len(keys))])
+
+
+def carried(df: DataFrame, group: list[str], block: str, totals: dict[str, Column], fold: dict[str, Callable[[str], Column]]) -> DataFrame:
+    """What each block of a group takes over from the blocks before it, each total folded over these: one row a block, so a group's blocks fit in a task."""
+    before = Window.partitionBy(*group).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    parts = df.groupBy(*group, block).agg(*[c.alias(name) for name, c in totals.items()])
+    return checkpoint(parts.select(*group, block, *[fold[name](name).over(before).alias(name) for name in totals]))
 
 
 def _partition(batches: Iterator[pa.RecordBatch]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:

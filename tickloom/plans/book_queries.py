@@ -196,7 +196,26 @@ _PLAIN = list(_CUM)
 
 @_q("lob_counters", _COUNTED + f"SELECT {_ID}, " + ", ".join(_PLAIN) + " FROM k")
 def lob_counters(spark, sf_dir):
-    return _id(book.counters(book.replay(_ordered(spark, sf_dir))), *_PLAIN)
+    return _id(book.counted(_ordered(spark, sf_dir)), *_PLAIN)
+
+
+# the same by blocks far shorter than the test sessions, so that every session crosses some
+SHORT_BLOCK = 40
+
+
+@_q("lob_bbo_blocks", ORACLES["lob_bbo"])
+def lob_bbo_blocks(spark, sf_dir):
+    return _id(book.replay(_ordered(spark, sf_dir), SHORT_BLOCK), "bid", "ask", "bid0", "ask0")
+
+
+@_q("lob_counters_blocks", ORACLES["lob_counters"])
+def lob_counters_blocks(spark, sf_dir):
+    return _id(book.counted(_ordered(spark, sf_dir), SHORT_BLOCK), *_PLAIN)
+
+
+@_q("lob_order_states_blocks", ORACLES["lob_order_states"])
+def lob_order_states_blocks(spark, sf_dir):
+    return _id(book.order_states(_ordered(spark, sf_dir), SHORT_BLOCK), "order_id", "until", "px", F.col("side_code").cast("int").alias("side"), "remaining")
 
 
 @_q("lob_flicker", _BOOK + f"SELECT {_ID}, which, dir, flicker FROM f")

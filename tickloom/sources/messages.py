@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import codes as C
+from tickloom.operators.ordered import number_ranges
 
 SESSION = ["trade_date", "instrument_id"]
 
@@ -35,12 +36,13 @@ def in_order(messages: DataFrame) -> DataFrame:
     """Each message once, numbered ``n`` from 1 in the true order of its session.
 
     The sequence gives the order; of copies the first in the file counts; messages without a sequence have no place and
-    are left out. One shuffle by session and one sort serve both the removal of copies and the numbering.
+    are left out. Messages are range-partitioned by session and sequence, so a long session is many tasks, and the result
+    lies in a checkpoint, which its uses read again instead of ordering anew.
     """
     once = Window.partitionBy(*SESSION, "sequence").orderBy("seq")
-    rows = encode(timestamps(messages)).where(F.col("sequence").isNotNull()).repartition(*SESSION)
-    rows = rows.withColumn("_k", F.row_number().over(once)).where(F.col("_k") == 1).drop("_k")
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy(*SESSION).orderBy("sequence")).cast("bigint"))
+    ranged = encode(timestamps(messages)).where(F.col("sequence").isNotNull()).repartitionByRange(*SESSION, "sequence")
+    ranged = ranged.withColumn("_k", F.row_number().over(once)).where(F.col("_k") == 1).drop("_k")
+    return number_ranges(ranged, "n", SESSION, start=1)
 
 
 def dominant_instrument(df: DataFrame) -> DataFrame:
