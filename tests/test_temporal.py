@@ -100,7 +100,7 @@ def test_ridge_recovers_weights_and_purges(spark):
     x = rng.normal(size=(n, 3))
     pdf = pd.DataFrame(x, columns=["a", "b", "c"]).assign(ts=np.arange(n) * 1_000_000, y=2 + x @ [1.0, -0.5, 0.0] + rng.normal(0, 0.1, n))
     pdf.loc[5, "a"] = np.nan
-    m = ML.ridge_cv(spark.createDataFrame(pdf), ["a", "b", "c"], "y", "ts", 10, 5)
+    m = ML.ridge_cv(spark.createDataFrame(pdf), ["a", "b", "c"], "y", ["ts"], 10, 5)
     assert np.allclose(m.weights / [1, pdf.a.std(), pdf.b.std(), pdf.c.std()], [2 + 0, 1, -0.5, 0], atol=0.05)
     assert m.stats["r2"] > 0.98 and len(m.stats["folds"]) == 5
     scored = spark.createDataFrame(pdf).select((m.score(spark.createDataFrame(pdf)) - F.col("y")).alias("e")).agg(F.stddev("e")).first()[0]
@@ -171,7 +171,7 @@ def test_online_model_learns(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=500)
     df = spark.createDataFrame(pd.DataFrame({"k": 1, "t": range(500), "x": x, "y": 3 * x + 1}))
-    err = ML.online_errors(df, ["k"], "t", ["x"], "y").orderBy("t").toPandas().err.abs()
+    err = ML.online_errors(df, ["k"], ["t"], ["x"], "y").orderBy("t").toPandas().err.abs()
     assert err[:3].max() > 0.1 and err[400:].max() < 0.01
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.cluster import missing
-from tickloom.operators.ordered import numbered
+from tickloom.operators.ordered import exact_percentiles, numbered
 
 NS = 1_000_000_000
 ALPHAS = (1e0, 1e1, 1e2, 1e3, 1e4, 1e5, 1e6)
@@ -140,13 +140,13 @@ def loss(m: np.ndarray, w: np.ndarray, mean: np.ndarray, var: np.ndarray) -> tup
     return m[0, 0], max(float(full @ m @ full), 0.0), float(m[-1, -1] - m[0, -1] ** 2 / m[0, 0])
 
 
-def ridge_cv(df: DataFrame, x: list[str], y: str, time: str, purge_ms: int, embargo_ms: int, k: int = 5, alphas: tuple[float, ...] = ALPHAS) -> Linear:
+def ridge_cv(df: DataFrame, x: list[str], y: str, order: list[str], purge_ms: int, embargo_ms: int, k: int = 5, alphas: tuple[float, ...] = ALPHAS) -> Linear:
     """Ridge with the penalty of the best out-of-fold R2 (the first of equal ones) over purged and embargoed folds.
 
     One pass sums each fold, one the few rows that purge and embargo bar from training: a fold's training moments are all
-    sums but its own, less those. They serve all penalties. A fold with fewer than 100 training or 10 test rows is passed over.
+    sums but its own, less those. They serve all penalties. ``order`` has the time first, then what tells equal times apart. A fold with fewer than 100 training or 10 test rows is passed over.
     """
-    return _ridges(df, x, {y: (y, purge_ms, embargo_ms)}, [time], k, alphas)[y]
+    return _ridges(df, x, {y: (y, purge_ms, embargo_ms)}, order, k, alphas)[y]
 
 
 def ridge_horizons(df: DataFrame, x: list[str], order: list[str], prefix: str = "fwd_return_", k: int = 5, alphas: tuple[float, ...] = ALPHAS) -> dict[str, Linear]:
@@ -196,8 +196,25 @@ def _ridge(x: list[str], y: str, test: dict, barred: dict, alphas: tuple[float,
     return Linear(x, w, mean, var, np.linalg.inv(z) * sse / rows_n, y, {"alpha": chosen, "r2": float(best), "n": int(rows_n), "folds": fold_stats})
 
 
+def spread_regression(df: DataFrame, markout: str, tox: str, vol: str, spread: str, gex: str | None = None) -> dict[str, float]:
+    """Coefficients over the columns as they are of the markout's size, cut to 0.5 to 5 ticks, on toxicity, regime, spread and toxicity times regime, and gamma if there is some.
+
+    A weak ridge, 1e-4 a row. Rows without any of the columns are left out.
+    """
+    x = {"tox": F.col(tox), "vol": F.col(vol), "spread": F.col(spread), "tox_vol": F.col(tox) * F.col(vol)} | ({"gex": F.col(gex)} if gex else {})
+    rows = df.select(*[c.cast("double").alias(n) for n, c in x.items()], F.abs(F.col(markout)).alias("m"), F.lit(0).alias("one"))
+    for c in (*x, "m"):
+        rows = rows.where(~missing(F.col(c)))
+    m = gram(rows.withColumn("y", F.least(F.greatest("m", F.lit(0.5)), F.lit(5.0))), list(x), "y", "one").get(0)
+    if m is None:
+        return {}
+    w, mean, var = solve(m, 1e-4 * m[0, 0])
+    beta = w[1:] / (var**0.5 + 1e-8)
+    return {"intercept": float(w[0] - beta @ mean)} | {c: float(b) for c, b in zip(x, beta)}
+
+
 class RecursiveLeastSquares:
-    """One observation at a time: predict, gain, update, with forgetting; columns standardised by running moments."""
+    """One observation at a time: predict, gain, update, with forgetting."""
 
     def __init__(self, weights: np.ndarray, covariance: np.ndarray, forget: float = 0.9999):
         self.w, self.p, self.forget = weights.astype(float).copy(), covariance.astype(float).copy(), forget
@@ -237,9 +254,9 @@ class RunningMoments:
         return self.m2 / self.n if self.decay >= 1 and self.n else self.m2
 
 
-def online_errors(df: DataFrame, key: list[str], time: str, x: list[str], y: str, forget: float = 0.9999) -> DataFrame:
-    """``key, time, err``: one-step prediction errors of an online model for each key, in time order, streamed batch by batch."""
-    schema = ", ".join([*[f"{k} {dict(df.dtypes)[k]}" for k in key], f"{time} bigint", "err double"])
+def online_errors(df: DataFrame, key: list[str], order: list[str], x: list[str], y: str, forget: float = 0.9999) -> DataFrame:
+    """``key, order, err``: one-step prediction errors of an online model for each key, in order, streamed batch by batch."""
+    schema = ", ".join([*[f"{c} {dict(df.dtypes)[c]}" for c in (*key, *order)], "err double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, model = None, None
@@ -253,9 +270,9 @@ def online_errors(df: DataFrame, key: list[str], time: str, x: list[str], y: str
                     here, model = k, RecursiveLeastSquares(np.zeros(len(x) + 1), np.eye(len(x) + 1) * 100.0, forget)
                 if target[i] == target[i]:
                     err[i] = model.update(m[i], target[i])
-            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in key], b.column(time), pa.array(err, mask=np.isnan(err))], names=[*key, time, "err"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in (*key, *order)], pa.array(err, mask=np.isnan(err))], names=[*key, *order, "err"])
 
-    rows = df.select(*key, time, *x, y).repartition(*key).sortWithinPartitions(*key, time)
+    rows = df.select(*key, *order, *x, y).repartition(*key).sortWithinPartitions(*key, *order)
     return rows.mapInArrow(run, schema)
 
 
@@ -312,8 +329,17 @@ def interpolate(value: Column, xs: list[float], ys: list[float]) -> Column:
     return F.when(value.isNull(), None).when(value <= xs[0], F.lit(ys[0])).when(value >= xs[-1], F.lit(ys[-1])).otherwise(line)
 
 
-def adverse_label(signed: Column, tick: float = 0.25) -> Column:
-    return (F.abs(signed) > F.lit(0.5 * tick)).cast("int")
+def adverse_threshold(df: DataFrame, moved: str, tick: float = 0.25) -> float:
+    """Half a tick, or the median size of the moves where half a tick marks fewer than 5 % or more than 95 % of them as adverse."""
+    size = df.select(F.abs(F.col(moved)).alias("v"), F.lit(1).alias("one")).where(~missing(F.col("v")))
+    rate = size.agg(F.avg((F.col("v") > 0.5 * tick).cast("double"))).first()[0]
+    if rate is None or 0.05 <= rate <= 0.95:
+        return 0.5 * tick
+    return exact_percentiles(size, ["one"], "v", [0.5]).first()["q"][0] or 0.5 * tick
+
+
+def adverse_label(moved: Column, threshold: float = 0.125) -> Column:
+    return (F.abs(moved) > F.lit(threshold)).cast("int")
 
 
 # ---- scorers and quotes -------------------------------------------------------------------------------------------

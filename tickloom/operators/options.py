@@ -23,11 +23,23 @@ NS = 1_000_000_000
 BASIS, YEAR_S, LEAST_QUOTES, LEAST_VALID, LEAST_MID = 24.0, 252 * 23_400, 10, 5, 0.05
 LOW_VOL, HIGH_VOL = 0.01, 5.0
 
-_erfc = np.frompyfunc(math.erfc, 1, 1)
+#: Hart's rational approximation of the normal distribution, to double precision below the bound.
+HART_UP = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+HART_DOWN = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+HART_BOUND = 7.07106781186547
 
 
 def normal_cdf(x: np.ndarray) -> np.ndarray:
-    return 0.5 * _erfc(-np.asarray(x, float) / math.sqrt(2)).astype(float)
+    x = np.asarray(x, float)
+    size = np.minimum(np.abs(x), 37.0)
+    tail = np.polyval(HART_UP, size) / np.polyval(HART_DOWN, size)
+    far = size >= HART_BOUND
+    if far.any():  # a continued fraction beyond the bound
+        a = size[far] if size.ndim else size
+        tail = np.where(far, 0.0, tail)
+        tail[far] = 1 / (a + 1 / (a + 2 / (a + 3 / (a + 4 / (a + 0.65))))) / math.sqrt(2 * math.pi)
+    tail = np.exp(-0.5 * size * size) * tail
+    return np.where(x > 0, 1 - tail, tail)
 
 
 def normal_pdf(x: np.ndarray) -> np.ndarray:
@@ -100,11 +112,24 @@ def snapshots(quotes: DataFrame, every_s: int = 60) -> DataFrame:
     return q.withColumn("snap_ns", snap).where(F.col("snap_ns") < hi)
 
 
+def snapshot_times(quotes: DataFrame, every_s: int = 60) -> DataFrame:
+    """``snap_ns`` of every snapshot between the first and the last quote, whether or not it has quotes."""
+    q = quotes.where(F.col("opt_strike").isNotNull() & F.col("opt_expiry").isNotNull() & (F.col("opt_mid") > LEAST_MID) & F.col("ts_ns").isNotNull())
+    ends = q.agg(F.min("ts_ns").alias("lo"), F.max("ts_ns").alias("hi")).first()
+    lo, hi, step = ends["lo"] or 0, ends["hi"] or 0, every_s * NS
+    return quotes.sparkSession.range(lo + step, hi, step).select(F.col("id").alias("snap_ns"))
+
+
+def with_empty(measures: DataFrame, times: DataFrame) -> DataFrame:
+    """The measures of every snapshot; one with too few quotes or without a spot has none, so that no older one stands in for it."""
+    return times.join(measures, "snap_ns", "left")
+
+
 def priced(snapped: DataFrame, spot: DataFrame, r: float = 0.05) -> DataFrame:
     """Snapshot quotes with ``spot`` (the future's last price less the basis), years ``t``, ``iv`` and ``rank`` of their expiry.
 
     ``spot`` has ``ts_ns, pos, mid``. Snapshots with fewer than ten quotes, without a spot, or with fewer than five quotes
-    that live on are left out.
+    that live on have no quotes here; ``with_empty`` brings them back as snapshots without measures.
     """
     w = Window.partitionBy("snap_ns")
     s = snapped.withColumn("_n", F.count("*").over(w)).where(F.col("_n") >= LEAST_QUOTES).drop("_n")
@@ -126,10 +151,10 @@ def _mean_iv(keep: Column) -> Column:
     return F.avg(F.when(keep & (F.col("iv") > _GOOD[0]) & (F.col("iv") < _GOOD[1]), F.col("iv")))
 
 
-def surface(p: DataFrame, r: float = 0.05) -> DataFrame:
-    """``snap_ns, atm_iv, term_slope, put_call_skew, net_gex, vanna_pressure, zero_dte_frac`` of each priced snapshot."""
+def surface(p: DataFrame, r: float = 0.05, position: str = "ts_ns") -> DataFrame:
+    """``snap_ns, atm_iv, term_slope, put_call_skew, net_gex, vanna_pressure, zero_dte_frac`` of each priced snapshot; of equally near strikes the lowest counts first, of its quotes the first by ``position``."""
     call = F.col("opt_type") == "C"
-    away = Window.partitionBy("snap_ns", "rank", "opt_type").orderBy(F.abs(F.col("opt_strike") - F.col("spot")), "opt_strike", "ts_ns")
+    away = Window.partitionBy("snap_ns", "rank", "opt_type").orderBy(F.abs(F.col("opt_strike") - F.col("spot")), "opt_strike", position)
     p = p.where(F.col("rank") <= 2).withColumn("_near", F.row_number().over(away))
     atm = p.groupBy("snap_ns").agg(_mean_iv(call & (F.col("_near") <= 3) & (F.col("rank") == 1)).alias("atm_iv"), _mean_iv(call & (F.col("_near") <= 3) & (F.col("rank") == 2)).alias("far_iv"))
     near = p.where(F.col("rank") == 1).join(atm, "snap_ns")
@@ -138,7 +163,7 @@ def surface(p: DataFrame, r: float = 0.05) -> DataFrame:
     side = Window.partitionBy("snap_ns", "opt_type")
     usable = (F.col("atm_iv") > _GOOD[0]) & (F.col("_off") <= 0.20)
     near = near.withColumn("_k", F.min_by(F.when(usable, F.col("opt_strike")), F.when(usable, F.struct("_off", "opt_strike"))).over(side))
-    near = near.withColumn("_by", F.row_number().over(side.orderBy(F.abs(F.col("opt_strike") - F.col("_k")), "opt_strike", "ts_ns")))
+    near = near.withColumn("_by", F.row_number().over(side.orderBy(F.abs(F.col("opt_strike") - F.col("_k")), "opt_strike", position)))
     own = greeks("spot", "opt_strike", "t", F.lit(r), "iv", call)
     near = near.withColumns({"_gamma": own["gamma"], "_vanna": own["vanna"], "_w": F.greatest(F.coalesce(F.col("bid_sz_00").cast("double"), F.lit(1.0)), F.lit(1.0)) * F.when(call, -1.0).otherwise(1.0)})
     valid = F.col("iv") > _GOOD[0]

@@ -89,6 +89,6 @@ def excursion(df: DataFrame, group: list[str], time: str, position: str, value:
     return df.withColumns({"fwd_max": F.greatest(F.max(value).over(later), F.max(value).over(peers)), "fwd_min": F.least(F.min(value).over(later), F.min(value).over(peers))})
 
 
-def change(value: str, group: list[str], position: str) -> Column:
+def change(value: str, group: list[str], *position: str) -> Column:
     """Difference to the row before; 0 at the first row."""
-    return F.coalesce(F.col(value) - F.lag(value).over(Window.partitionBy(*group).orderBy(position)), F.lit(0))
+    return F.coalesce(F.col(value) - F.lag(value).over(Window.partitionBy(*group).orderBy(*position)), F.lit(0))

@@ -158,7 +158,7 @@ def ag_corr_top(spark, sf_dir):
 
 @_q("ag_vif")
 def ag_vif(spark, sf_dir):
-    return spark.createDataFrame(ML.vif(_rg(spark, sf_dir), _X))
+    return _round(spark.createDataFrame(ML.vif(_rg(spark, sf_dir), _X)))
 
 
 _ST = _TF + f", {_THR}, x AS (SELECT tf.*, q1, q2, (mid - lag(mid) OVER (PARTITION BY i ORDER BY ts, row_id)) / 0.25 AS dm FROM tf, thr), s AS (SELECT CASE WHEN lsd >= q2 THEN 2 WHEN lsd >= q1 THEN 1 ELSE 0 END AS regime, least(greatest(cast(trunc(spread) AS INT) - 1, 0), 2) * 3 + CASE WHEN imb >= 0.33 THEN 2 WHEN imb >= -0.33 THEN 1 ELSE 0 END AS state, CASE WHEN dm IS NULL THEN 0 ELSE least(greatest(cast(trunc(greatest(least(dm, 1e6), -1e6)) AS INT), -5), 5) END + 5 AS outcome FROM x WHERE spread IS NOT NULL AND imb IS NOT NULL AND lsd IS NOT NULL), g AS (SELECT r.range AS regime, s.range AS state, o.range AS outcome FROM range(3) r, range(9) s, range(11) o), n AS (SELECT regime, state, outcome, count(*) AS n FROM s GROUP BY ALL), c AS (SELECT cast(g.regime AS INT) AS regime, cast(g.state AS INT) AS state, cast(g.outcome AS INT) AS outcome, coalesce(n.n, 0) AS n FROM g LEFT JOIN n USING (regime, state, outcome)), p AS (SELECT *, (n + 0.1 / 11) / (sum(n) OVER (PARTITION BY regime, state) + 0.1) AS prob FROM c)\n"
@@ -236,8 +236,8 @@ def ew_zscore(spark, sf_dir):
 
 @_q("ew_kyle_lambda")
 def ew_kyle_lambda(spark, sf_dir):
-    r = _rg(spark, sf_dir).where(F.col("ts").isNotNull()).withColumn("dmid", temporal.change("mid", ["i", "trade_date"], "ts"))
-    return W.kyle_lambda(r, ["i"], ["ts", "row_id"], "dmid", "z_ofi_l1_500ms", 500.0, 5000.0).select("row_id", "kyle_lambda", "z_kyle_lambda")
+    r = _rg(spark, sf_dir).where(F.col("ts").isNotNull()).withColumn("dmid", temporal.change("mid", ["i", "trade_date"], "ts", "row_id"))
+    return W.kyle_lambda(r, ["i"], ["ts", "row_id"], "dmid", "z_ofi_l1_500ms", 500.0, 5000.0).select("row_id", F.round("kyle_lambda", 6).alias("kyle_lambda"), F.round("z_kyle_lambda", 4).alias("z_kyle_lambda"))
 
 
 _RL = _RG + """, o AS (SELECT *, mid AS v, row_number() OVER (PARTITION BY i, trade_date ORDER BY ts, row_id) AS k FROM r WHERE ts IS NOT NULL AND mid IS NOT NULL),
@@ -312,27 +312,24 @@ def ml_ridge(spark, sf_dir):
     for h, _, _ in ML.HORIZONS.values():
         r = temporal.forward(r, session, "ts", "r", ["mid"], h * temporal.MS, "_f").withColumn(f"fwd_return_{h}ms", F.col("_f.mid") - F.col("mid")).drop("_f")
     models = ML.ridge_horizons(r, _X, ["ts", "row_id"])
-    out = [(label, c, float(w)) for label, m in models.items() for c, w in zip(["intercept", *m.features], m.weights)]
+    out = [(label, c, round(float(w), 6)) for label, m in models.items() for c, w in zip(["intercept", *m.features], m.weights)]
     return spark.createDataFrame(out, "horizon string, feature string, weight double")
 
 
 @_q("ml_spread_regression")
 def ml_spread_regression(spark, sf_dir):
-    t = _tf(spark, sf_dir).where(F.col("lsd").isNotNull() & F.col("imb").isNotNull() & F.col("spread").isNotNull())
-    cuts = A.thresholds(t, "lsd")
-    t = t.withColumns({"y": F.least(F.greatest(F.abs("signed"), F.lit(0.5)), F.lit(5.0)), "tox": F.abs("imb"), "vol": A.level(F.col("lsd"), cuts).cast("double"), "one": F.lit(0)}).withColumn("tox_vol", F.col("tox") * F.col("vol"))
-    x = ["tox", "vol", "spread", "tox_vol"]
-    m = ML.gram(t, x, "y", "one").get(0)
-    w, mean, var = ML.solve(m, 1e-4 * m[0, 0])
-    beta = w[1:] / (var**0.5 + 1e-8)
-    return spark.createDataFrame([("intercept", float(w[0] - beta @ mean)), *[(c, float(b)) for c, b in zip(x, beta)]], "term string, coefficient double")
+    t = _tf(spark, sf_dir)
+    t = t.select("signed", F.abs("imb").alias("tox"), A.level(F.col("lsd"), A.thresholds(t, "lsd")).cast("double").alias("vol"), "spread")
+    terms = ML.spread_regression(t, "signed", "tox", "vol", "spread")
+    return _round(spark.createDataFrame(list(terms.items()), "term string, coefficient double"))
 
 
 @_q("ml_isotonic")
 def ml_isotonic(spark, sf_dir):
-    t = _tf(spark, sf_dir).withColumns({"score": F.abs("imb"), "label": ML.adverse_label(F.col("fwd"))})
+    t = _tf(spark, sf_dir)
+    t = t.withColumns({"score": F.abs("imb"), "label": ML.adverse_label(F.col("fwd"), ML.adverse_threshold(t, "fwd"))})
     xs, ys = ML.isotonic(t, "score", "label")
-    return spark.createDataFrame(list(zip(xs, ys)), "x double, y double")
+    return _round(spark.createDataFrame(list(zip(xs, ys)), "x double, y double"), 9)
 
 
 _WTS = {"z_ofi_l1_500ms": 0.4, "z_imb_l1": -0.2, "z_kyle_lambda": 0.1, "z_realized_vol": 0.05, "z_latency": 0.01}
@@ -380,8 +377,7 @@ def ml_regime_hysteresis(spark, sf_dir):
 
 @_q("ml_rls")
 def ml_rls(spark, sf_dir):
-    r = _labelled(spark, sf_dir).withColumn("ts", F.col("ts"))
-    return ML.online_errors(r, ["i", "trade_date"], "ts", _X, "y")
+    return _round(ML.online_errors(_labelled(spark, sf_dir), ["i", "trade_date"], ["ts", "row_id"], _X, "y").select("row_id", "err"))
 
 
 # ---- quotes -------------------------------------------------------------------------------------------------------
@@ -463,18 +459,20 @@ def _op_priced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_q("op_iv")
 def op_iv(spark, sf_dir):
-    return _op_priced(spark, sf_dir).select("snap_ns", "row_id", "rank", "iv")
+    return _op_priced(spark, sf_dir).select("snap_ns", "row_id", "rank", F.round("iv", 4).alias("iv"))
 
 
 @_q("op_greeks")
 def op_greeks(spark, sf_dir):
     g = OP.greeks("spot", "opt_strike", "t", F.lit(0.05), "iv", F.col("opt_type") == "C")
-    return _op_priced(spark, sf_dir).where(F.col("iv").isNotNull()).select("snap_ns", "row_id", g.alias("g")).select("snap_ns", "row_id", "g.*")
+    return _op_priced(spark, sf_dir).where(F.col("iv").isNotNull()).select("snap_ns", "row_id", g.alias("g")).select("snap_ns", "row_id", *[F.round(f"g.{c}", n).alias(c) for c, n in (("delta", 5), ("gamma", 7), ("vega", 3), ("vanna", 4), ("price", 3))])
 
 
 @_q("op_surface")
 def op_surface(spark, sf_dir):
-    return OP.surface(_op_priced(spark, sf_dir))
+    quotes = _option_quotes(spark, sf_dir)
+    measures = OP.surface(_op_priced(spark, sf_dir), position="row_id")
+    return _round(OP.with_empty(measures, OP.snapshot_times(quotes, 3600)), 4, net_gex=0, vanna_pressure=2, zero_dte_frac=6)
 
 
 @_q("aj_back_snapshot", f"WITH s AS (SELECT instrument_id, ts_ns, snap_id, {_nn('atm_iv')}, {_nn('net_gex')} FROM options_features WHERE ts_ns IS NOT NULL QUALIFY row_number() OVER (PARTITION BY instrument_id, ts_ns ORDER BY snap_id DESC) = 1) SELECT r.row_id, s.atm_iv, s.net_gex FROM regressors r ASOF LEFT JOIN s ON r.instrument_id = s.instrument_id AND r.ts_ns >= s.ts_ns WHERE r.ts_ns IS NOT NULL")
