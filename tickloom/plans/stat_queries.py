@@ -256,8 +256,7 @@ def ew_rolling(spark, sf_dir):
     return _round(out.select("row_id", "mom_5_20", "mom_5_prev15", "mom_1", "mom_3_10", "vol_sd10", "run_mean", "run_sd", "vol_rms50", "vol_sd_abs20", "rank_50"), 6, vol_sd10=5, run_mean=5, run_sd=4, vol_rms50=8, vol_sd_abs20=5)
 
 
-@_q("rg_catalogue")
-def rg_catalogue(spark, sf_dir):
+def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickloom.operators import features, regressors
     from tickloom.sources import messages
 
@@ -265,6 +264,17 @@ def rg_catalogue(spark, sf_dir):
     return regressors.catalogue(features.shape(t)).select("trade_date", "instrument_id", "n", *regressors.NAMES)
 
 
+@_q("rg_catalogue")
+def rg_catalogue(spark, sf_dir):
+    return _catalogue(spark, sf_dir)
+
+
+@_q("rg_core")
+def rg_core(spark, sf_dir):
+    cols = {"z_ofi_L1_500ms": 4, "z_realized_vol": 4, "z_imb_L1": 4, "z_spread": 4, "z_microprice_delta": 4, "ofi_L1_x_vol": 3, "z_kyle_lambda": 3}
+    return _catalogue(spark, sf_dir).select(F.date_format("trade_date", "yyyy-MM-dd").alias("day"), "instrument_id", "n", *[F.round(c, d).alias(c) for c, d in cols.items()])
+
+
 # ---- models -------------------------------------------------------------------------------------------------------
 
 _FO = "WITH o AS (SELECT row_id, ts_ns AS ts, trade_side AS y, row_number() OVER (ORDER BY ts_ns, row_id) - 1 AS rn, count(*) OVER () AS n FROM regressors WHERE ts_ns IS NOT NULL), f AS (SELECT *, cast(least(rn // (n // 5), 4) AS INT) AS fold FROM o), b AS (SELECT fold, min(ts) AS s, max(ts) AS e FROM f GROUP BY 1)\n"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tickloom.operators import models as ML
 from tickloom.operators import options as OP
+from tickloom.plans.book_queries import _SH, _TRADES, _g, _gs
 from tickloom.plans.stat_queries import _OQ, _RG, _TF, _THR, _X, _nn
 
 QUERIES: dict = {}
@@ -193,3 +194,35 @@ su AS (SELECT snap_ns, round(max(atm_iv), 4) AS atm_iv, round(max(far_iv) - max(
   round(sum(gamma * wt * spot * 100), 0) AS net_gex, round(sum(vanna * wt), 2) AS vanna_pressure, round(CASE WHEN max(t) < 1.0 / 252 THEN count(*) / max(n_quotes) ELSE 0 END, 6) AS zero_dte_frac FROM n4 GROUP BY 1),
 gr AS (SELECT lo + g * {_HOUR} AS snap_ns FROM en, generate_series(1, 100000) x(g) WHERE lo + g * {_HOUR} < hi)
 SELECT gr.snap_ns, su.* EXCLUDE (snap_ns) FROM gr LEFT JOIN su USING (snap_ns)"""
+
+# ---- model inputs --------------------------------------------------------------------------------------------------------
+
+_INPUTS = {
+    "z_ofi_L1_500ms": ("coalesce(" + _gs("+cum_add_bid_L1 -cum_canc_bid_L1 -cum_fill_bid_L1 -cum_add_ask_L1 +cum_canc_ask_L1 +cum_fill_ask_L1", 500) + ", 0)", 500.0),
+    "z_realized_vol": (f"sqrt(greatest({_g('cum_sq', 500)}, 0) / greatest({_g('r', 500)}, 1))", 500.0),
+    "z_imb_L1": (_SH["imb_l1"], 500.0), "z_spread": ("cast(spread AS DOUBLE)", 5000.0),
+    "z_microprice_delta": ("coalesce(micro - lag(micro) OVER (PARTITION BY d, i ORDER BY r), 0)", 500.0),
+}
+_READ = ["r", "cum_sq", *[f"cum_{k}_{s}_L1" for k in ("add", "canc", "fill") for s in ("bid", "ask")]]
+_BASE = ", ".join(f"coalesce(arg_max({c}, r) OVER w500, 0) AS s500_{c}" for c in _READ)
+
+
+def _scored(source: str, value: str, half: float) -> str:
+    return f"(SELECT i, k, coalesce(({value} - m) / sqrt(greatest(v, 1e-12)), ({value} - m) / 1e-6) AS {value} FROM {_weighted(source, value, half)})"
+
+
+ORACLES["rg_core"] = (
+    _TRADES + f", xw AS (SELECT *, {_BASE} FROM t WINDOW w500 AS (PARTITION BY d, i ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND 500000001 PRECEDING)),\n"
+    + "fi AS (SELECT d, i, n, row_number() OVER (PARTITION BY i ORDER BY d, ts, n) AS k, coalesce(last_mid - lag(last_mid) OVER (PARTITION BY d, i ORDER BY r), 0) AS dm, "
+    + ", ".join(f"{e} AS {c}" for c, (e, _) in _INPUTS.items()) + " FROM xw),\n" + "fx AS (SELECT *, dm * z_ofi_L1_500ms AS xy FROM fi),\n"
+    + ",\n".join(f"e_{c} AS (SELECT * FROM {_scored('fx', c, h)})" for c, (_, h) in _INPUTS.items())
+    + f""",
+pr AS (SELECT i, k, e_z_ofi_L1_500ms.z_ofi_L1_500ms * e_z_realized_vol.z_realized_vol AS ofi_L1_x_vol FROM e_z_ofi_L1_500ms JOIN e_z_realized_vol USING (i, k)),
+ep AS (SELECT * FROM {_scored('pr', 'ofi_L1_x_vol', 500.0)}),
+ka AS (SELECT * FROM {_weighted('fx', 'xy', 500.0)}), kb AS (SELECT * FROM {_weighted('fx', 'z_ofi_L1_500ms', 500.0)}),
+kl AS (SELECT i, k, coalesce(CASE WHEN abs(kb.v) > 1e-10 THEN ka.m / kb.v END, 0) AS z_kyle_lambda FROM ka JOIN kb USING (i, k)),
+ek AS (SELECT * FROM {_scored('kl', 'z_kyle_lambda', 5000.0)})
+SELECT strftime(d, '%Y-%m-%d') AS day, fx.i AS instrument_id, n, """
+    + ", ".join(f"round(e_{c}.{c}, 4) AS {c}" for c in _INPUTS) + ", round(ep.ofi_L1_x_vol, 3) AS ofi_L1_x_vol, round(ek.z_kyle_lambda, 3) AS z_kyle_lambda FROM fx "
+    + " ".join(f"JOIN {t} ON fx.i = {t}.i AND fx.k = {t}.k" for t in [*[f"e_{c}" for c in _INPUTS], "ep", "ek"])
+)
