@@ -58,3 +58,13 @@ def test_estimates_too_many_to_broadcast(spark, monkeypatch):
     want = sorted(tuple(r) for r in D.percentiles(df).select("grp", "over_days", "p", "n", "below", "upto").collect())
     monkeypatch.setattr(D, "broadcast_checked", lambda x: x)
     assert sorted(tuple(r) for r in D.percentiles(df).select("grp", "over_days", "p", "n", "below", "upto").collect()) == want
+
+
+def test_memory_does_not_grow_with_groups(spark):
+    rng = np.random.default_rng(4)
+    rows = [("m", g, DAY if g % 3 else None, float(v)) for g in range(200) for v in rng.normal(g, 1, 30)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([("m", int(g), d, float(v)) for _, g, d, v in rows], "metric string, grp bigint, day date, value double")
+    read = lambda d: sorted((r["grp"], r["n"], list(r["means"]), list(r["weights"])) for r in d.collect())
+    assert read(D.digests(df, most=100)) == read(D.digests(df))
+    assert read(D.digests(D.digests(df), most=100)) == read(D.digests(df))

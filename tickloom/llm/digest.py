@@ -83,8 +83,12 @@ DIGEST = "metric string, grp bigint, day date, n bigint, means array<double>, we
 _ARROW = pa.schema([("metric", pa.string()), ("grp", pa.int64()), ("day", pa.date32()), ("n", pa.int64()), ("means", pa.list_(pa.float64())), ("weights", pa.list_(pa.int64()))])
 
 
-def _gather(size: int):
-    """A pass that turns rows (``value``) or digests (``means, weights``) into one digest a group of its partition."""
+def _gather(size: int, most: int = 4_000_000, ordered: bool = False):
+    """A pass that turns rows (``value``) or digests (``means, weights``) into one digest a group of its partition.
+
+    Past ``most`` clusters all digests are let go, to be merged by a later pass; with ``ordered`` the rows come by group,
+    and all but the open group's are whole by then. So a task's memory doesn't grow with the groups.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: dict[tuple, int] = {}
@@ -96,6 +100,17 @@ def _gather(size: int):
             nonlocal held, parts, waiting
             held, parts, waiting = cluster(*(np.concatenate(x) for x in zip(held, *parts)), size), [], 0
 
+        def give() -> pa.RecordBatch:
+            code, mean, weight = held
+            starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+            which = {v: k for k, v in names.items()}
+            keys = [which[int(code[s])] for s in starts]
+            offsets = pa.array([*starts, len(code)], pa.int32())
+            return pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([k[2] for k in keys], pa.date32()), pa.array(np.add.reduceat(weight, starts)), pa.ListArray.from_arrays(offsets, pa.array(mean)), pa.ListArray.from_arrays(offsets, pa.array(weight))],
+                schema=_ARROW,
+            )
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -114,25 +129,24 @@ def _gather(size: int):
                 lists = batch.column("means")
                 parts.append((np.repeat(code, np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy(), batch.column("weights").flatten().to_numpy()))
             waiting += len(parts[-1][0])
-            if waiting >= GATHER:
+            if waiting >= min(GATHER, most):
                 settle()
+                if len(held[0]) >= most:
+                    last = names[tuple(keys.slice(batch.num_rows - 1).to_pylist()[0].values())]
+                    keep = held[0] == last if ordered else np.zeros(len(held[0]), bool)
+                    open_group, held = tuple(x[keep] for x in held), tuple(x[~keep] for x in held)
+                    if len(held[0]):
+                        yield give()
+                    names = {k: 0 for k, v in names.items() if ordered and v == last}
+                    held = (np.zeros(len(open_group[0]), np.int64), *open_group[1:])
         settle()
-        code, mean, weight = held
-        if not len(code):
-            return
-        starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-        which = {v: k for k, v in names.items()}
-        keys = [which[int(code[s])] for s in starts]
-        offsets = pa.array([*starts, len(code)], pa.int32())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([k[2] for k in keys], pa.date32()), pa.array(np.add.reduceat(weight, starts)), pa.ListArray.from_arrays(offsets, pa.array(mean)), pa.ListArray.from_arrays(offsets, pa.array(weight))],
-            schema=_ARROW,
-        )
+        if len(held[0]):
+            yield give()
 
     return run
 
 
-def digests(rows: DataFrame, size: int = SIZE) -> DataFrame:
+def digests(rows: DataFrame, size: int = SIZE, most: int = 4_000_000) -> DataFrame:
     """One digest a (``metric, grp, day``) of rows with a ``value``, or of digests to merge.
 
     Values that are null or NaN don't count; groups without values have no digest; a null group or day is a group. Digests of a group are
@@ -140,9 +154,9 @@ def digests(rows: DataFrame, size: int = SIZE) -> DataFrame:
     """
     if "value" in rows.columns:
         rows = rows.where(F.col("value").isNotNull() & ~F.isnan("value")).select(*KEYS, "value")
-        rows = rows.mapInArrow(_gather(size), DIGEST).withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(16)))
-        rows = rows.repartition(*KEYS, "_part").drop("_part").mapInArrow(_gather(size), DIGEST)
-    return rows.repartition(*KEYS).mapInArrow(_gather(size), DIGEST)
+        rows = rows.mapInArrow(_gather(size, most), DIGEST).withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(16)))
+        rows = rows.repartition(*KEYS, "_part").drop("_part").mapInArrow(_gather(size, most), DIGEST)
+    return rows.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(_gather(size, most, ordered=True), DIGEST)
 
 
 def estimates(digest: DataFrame, qs: tuple[float, ...] = QUANTILES, size: int = SIZE) -> DataFrame:
