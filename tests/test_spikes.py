@@ -95,6 +95,22 @@ def test_the_tail_chooses_candidates(spark):
     assert kept[0.05] == kept[spikes.RISK] > kept[1e-12]
 
 
+@pytest.mark.parametrize("chunk", [1, 50, 300])
+def test_chunks_of_a_key(spark, monkeypatch, chunk):
+    rng, rows = random.Random(chunk), []
+    for src in ("a", "b"):
+        for k, v in enumerate(walk(rng, 300)):
+            rows += [(src, k * 10, len(rows) + j, v) for j in range(rng.choice([1, 1, 4]))]
+    placed = spikes.readings(frame(spark, rows), "tab", F.col("src"), F.col("t"), F.col("row_id"), ["x"])
+
+    def per(times, values, key):
+        return {"away": spikes.departure(values), "is_stuck": spikes.stuck(values, 5)}
+
+    spread = ordered.spread(placed)
+    want, got = (sorted(tuple(r) for r in ordered.look(spread, 7, per, "away double, is_stuck boolean", size).collect()) for size in (ordered.CHUNK, chunk))
+    assert got == want and len(got) == len(rows)
+
+
 def test_missing_values_are_no_readings(spark):
     base = [("s", k, k, 10.0 + 0.25 * (k % 2)) for k in range(20)]
     extra = [("s", 100, 100, None), ("s", 101, 101, float("nan")), ("s", 102, 102, 0.0), (None, 5, 103, 10.0), ("s", None, 104, 10.0), (None, 5, 105, -3.0), ("s", None, 106, -3.0)]

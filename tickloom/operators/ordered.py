@@ -72,33 +72,48 @@ def carried(df: DataFrame, group: list[str], block: str, totals: dict[str, Colum
     return checkpoint(parts.select(*group, block, *[fold[name](name).over(before).alias(name) for name in totals]))
 
 
-def _partition(batches: Iterator[pa.RecordBatch]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-    """Distinct keys in order, their first positions, and the columns of a partition; None if it is empty."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return None
-    table = pa.Table.from_batches(got)
-    code = table.column("key").combine_chunks().dictionary_encode()
-    index = code.indices.to_numpy(zero_copy_only=False)
-    starts = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
-    names = code.dictionary.take(pa.array(index[starts])).to_pylist()
-    return names, starts, *(table.column(c).to_numpy() for c in ("t", "row_id", "value"))
+#: Rows of a key that a task holds at once.
+CHUNK = 1_000_000
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """Stretches of one key in an ordered partition, a batch at a time: key, times, row ids and values."""
+    for b in batches:
+        if b.num_rows:
+            code = b.column("key").dictionary_encode()
+            index = code.indices.to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
+            names = code.dictionary.take(pa.array(index[starts])).to_pylist()
+            t, row, v = (b.column(c).to_numpy(zero_copy_only=False) for c in ("t", "row_id", "value"))
+            for name, lo, hi in zip(names, starts, [*starts[1:], b.num_rows]):
+                yield name, t[lo:hi], row[lo:hi], v[lo:hi]
+
+
+def _readings(t: np.ndarray) -> np.ndarray:
+    """Which rows are the first of their reading."""
+    return np.concatenate([[True], t[1:] != t[:-1]]) if len(t) else np.zeros(0, bool)
 
 
 def edges(spreaded: DataFrame, reach: int) -> list:
     """At most ``2 * reach`` readings of each partition: the first ones of its first key, the last ones of its last."""
 
     def run(batches):
-        part = _partition(batches)
-        if part is None:
+        head: list = []
+        name, tail_t, tail_v, first_key = None, np.zeros(0, np.int64), np.zeros(0), None
+        for key, t, _, v in _runs(batches):
+            first_key = key if first_key is None else first_key
+            if key != name:
+                name, tail_t, tail_v = key, t[:0], v[:0]
+            joined_t, joined_v = np.concatenate([tail_t, t]), np.concatenate([tail_v, v])
+            new = np.flatnonzero(_readings(joined_t))
+            if key == first_key and len(head) < reach:
+                known = len(tail_t)
+                head += [(int(joined_t[i]), float(joined_v[i])) for i in new if i >= known][: reach - len(head)]
+            tail_t, tail_v = joined_t[new[-reach:]], joined_v[new[-reach:]]
+        if first_key is None:
             return
-        names, starts, t, _, v = part
-        pid, out = TaskContext.get().partitionId(), []
-        for tail, name, lo, hi in ((False, names[0], 0, [*starts[1:], len(t)][0]), (True, names[-1], starts[-1], len(t))):
-            own, vals = t[lo:hi], v[lo:hi]
-            new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            new = new[-reach:] if tail else new[:reach]
-            out += [(pid, tail, k, name, int(own[i]), float(vals[i])) for k, i in enumerate(new)]
+        pid = TaskContext.get().partitionId()
+        out = [(pid, False, k, first_key, t, v) for k, (t, v) in enumerate(head)] + [(pid, True, k, name, int(t), float(v)) for k, (t, v) in enumerate(zip(tail_t, tail_v))]
         yield pa.RecordBatch.from_pylist([dict(zip(("pid", "tail", "k", "key", "t", "value"), x)) for x in out], schema=pa.schema([("pid", pa.int32()), ("tail", pa.bool_()), ("k", pa.int32()), ("key", pa.string()), ("t", pa.int64()), ("value", pa.float64())]))
 
     return spreaded.mapInArrow(run, EDGES).collect()
@@ -135,34 +150,57 @@ def halos(rows: list, reach: int) -> dict[int, tuple[list, list]]:
     return out
 
 
-def look(spreaded: DataFrame, reach: int, fn: Look, schema: str) -> DataFrame:
+def look(spreaded: DataFrame, reach: int, fn: Look, schema: str, chunk: int = CHUNK) -> DataFrame:
     """Apply ``fn`` to all readings and give its results to their rows: ``key, t, row_id, value, is_first`` and what ``schema`` names.
 
-    A reading is all rows of one key and time; its value is that of its smallest row id, and ``is_first`` marks that row.
+    A reading is all rows of one key and time; its value is that of its smallest row id, and ``is_first`` marks that row. A
+    task holds some ``chunk`` rows of a key at once, and the ``reach`` readings on both sides; ``fn`` must need no more.
     """
     around = halos(edges(spreaded, reach), reach)
     extra = [c.split()[0] for c in schema.split(", ")]
 
+    def judged(name, lead, held, trail, stop):
+        """The rows of ``held`` before ``stop``, judged among all its readings and those before and after it."""
+        t, row, v = held
+        ts, vs = np.concatenate([lead[0], t, trail[0]]), np.concatenate([lead[1], v, trail[1]])
+        new = _readings(ts)
+        reading = np.cumsum(new) - 1
+        found = fn(ts[new], vs[new], name)
+        own = slice(len(lead[0]), len(lead[0]) + stop)
+        cols = [pa.array([name] * stop), pa.array(t[:stop]), pa.array(row[:stop]), pa.array(vs[new][reading[own]]), pa.array(new[own])]
+        for c in extra:
+            x = found[c][reading[own]]
+            cols.append(pa.array(x, mask=np.isnan(x)) if x.dtype.kind == "f" else pa.array(x))
+        return pa.RecordBatch.from_arrays(cols, names=["key", "t", "row_id", "value", "is_first", *extra])
+
+    def pair(readings):
+        return np.array([x[0] for x in readings], np.int64), np.array([x[1] for x in readings], float)
+
     def run(batches):
-        part = _partition(batches)
-        if part is None:
-            return
-        names, starts, t, row, v = part
-        before, after = around[TaskContext.get().partitionId()]
-        stops = [*starts[1:], len(t)]
-        for k, (name, lo, hi) in enumerate(zip(names, starts, stops)):
-            lead, trail = (before if k == 0 else []), (after if k == len(names) - 1 else [])
-            ts = np.concatenate([np.array([x[0] for x in lead], np.int64), t[lo:hi], np.array([x[0] for x in trail], np.int64)])
-            vs = np.concatenate([np.array([x[1] for x in lead], float), v[lo:hi], np.array([x[1] for x in trail], float)])
-            new = np.concatenate([[True], ts[1:] != ts[:-1]])
-            reading = np.cumsum(new) - 1
-            found = fn(ts[new], vs[new], name)
-            own = slice(len(lead), len(lead) + hi - lo)
-            cols = [pa.array([name] * (hi - lo)), pa.array(t[lo:hi]), pa.array(row[lo:hi]), pa.array(vs[new][reading[own]]), pa.array(new[own])]
-            for c in extra:
-                x = found[c][reading[own]]
-                cols.append(pa.array(x, mask=np.isnan(x)) if x.dtype.kind == "f" else pa.array(x))
-            yield pa.RecordBatch.from_arrays(cols, names=["key", "t", "row_id", "value", "is_first", *extra])
+        before, after = around.get(TaskContext.get().partitionId(), ([], []))
+        none = pair([])
+        name, lead, parts, size = None, pair(before), [], 0
+        for key, *cols in _runs(batches):
+            if key != name:
+                if parts:
+                    held = tuple(np.concatenate(x) for x in zip(*parts))
+                    yield judged(name, lead, held, none, len(held[0]))
+                    lead = none
+                name, parts, size = key, [], 0
+            parts.append(cols)
+            size += len(cols[0])
+            if size >= chunk:
+                held = tuple(np.concatenate(x) for x in zip(*parts))
+                new = np.flatnonzero(_readings(held[0]))
+                if len(new) > reach + 1:  # the last readings wait for what follows them
+                    stop = int(new[-reach - 1])
+                    yield judged(name, lead, held, none, stop)
+                    seen_t, seen_v = np.concatenate([lead[0], held[0][new[: -reach - 1]]]), np.concatenate([lead[1], held[2][new[: -reach - 1]]])
+                    lead, held = (seen_t[-reach:], seen_v[-reach:]), tuple(x[stop:] for x in held)
+                parts, size = [held], 0
+        if parts:
+            held = tuple(np.concatenate(x) for x in zip(*parts))
+            yield judged(name, lead, held, pair(after), len(held[0]))
 
     return spreaded.mapInArrow(run, f"key string, t bigint, row_id bigint, value double, is_first boolean, {schema}")
 
