@@ -89,9 +89,9 @@ def nearest_in_time(left: DataFrame, right: DataFrame, *, entity: tuple[Column,
     ask = left.select(entity[0].cast("string").alias("e"), time[0].cast("bigint").alias("t"), ident[0].cast("bigint").alias("i"))
     placed = ask.where(F.col("e").isNotNull() & F.col("t").isNotNull())
 
-    most = put.groupBy("e", _shard(F.col("t"), shard_ns)).count().agg(F.max("count")).first()[0] or 0
-    while most > INDEX_ROWS and shard_ns > 8 * tolerance_ns:  # crowded times get narrower shards, so that an index stays small
-        shard_ns, most = shard_ns // 2, most // 2
+    # crowded times get narrower shards, counted each time, down to the tolerance, where a right row lies in three of them
+    while shard_ns >= 2 * max(tolerance_ns, 1) and (put.groupBy("e", _shard(F.col("t"), shard_ns)).count().agg(F.max("count")).first()[0] or 0) > INDEX_ROWS:
+        shard_ns //= 2
     placed = placed.withColumn("b", _shard(F.col("t"), shard_ns))
     least = max(HOT_ROWS, placed.count() // HOT_SHARDS)
     hot_rows = placed.groupBy("e", "b").count().where(F.col("count") > least).select("e", "b", F.ceil(F.col("count") / F.lit(least)).cast("int")).collect()  # under HOT_SHARDS rows
