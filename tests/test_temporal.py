@@ -256,7 +256,7 @@ def test_live_book_equals_batch(spark, sf_dir, tmp_path):
     from tickloom.streaming.live_book import live_book
 
     m = spark.read.parquet(f"{sf_dir}/mbo_messages.parquet").where("sequence is not null")
-    for part in ("sequence <= 3000", "sequence > 3000"):
+    for part in ("seq % 3 > 0", "seq % 3 = 0"):  # a third of the messages come after all their successors
         m.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     files = sorted((tmp_path / "in").glob("*.parquet"), key=lambda p: p.stat().st_mtime_ns)
     for k, f in enumerate(files):
@@ -264,13 +264,33 @@ def test_live_book_equals_batch(spark, sf_dir, tmp_path):
 
         os.utime(f, (1_600_000_000 + k, 1_600_000_000 + k))
     stream = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = live_book(stream).writeStream.format("memory").queryName("live").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q = live_book(stream, keep=100_000, idle_s=None).writeStream.format("memory").queryName("live").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(180)
-    got = sorted(tuple(r) for r in spark.sql("select trade_date, instrument_id, sequence, coalesce(bid, 0), coalesce(ask, 0), bid_size, ask_size from live").collect())
+    last = "row_number() over (partition by trade_date, instrument_id, sequence order by revision desc)"
+    got = spark.sql(f"select trade_date, instrument_id, sequence, coalesce(bid, 0), coalesce(ask, 0), bid_size, ask_size, {last} as k from live").where("k = 1").drop("k")
+    got = sorted(tuple(r) for r in got.collect())
+    assert spark.sql("select max(revision) from live").first()[0] > 0
     t = book.replay(M.in_order(m)).where("act = 3").selectExpr("trade_date", "instrument_id", "sequence", "coalesce(bid, 0)", "coalesce(ask, 0)", "bid_sz[0]", "ask_sz[0]")
     assert got == sorted(tuple(r) for r in t.collect())
 
 
+def test_messages_in_any_order_give_one_book():
+    from tickloom.streaming.live_book import Replay
+
+    rng = np.random.default_rng(3)
+    feed = [(k, int(rng.choice([1, 1, 1, 2, 3, 9])), int(rng.integers(0, 12)), int(rng.integers(90, 110)), int(rng.integers(1, 9)), int(rng.integers(0, 2)), 3 if rng.random() < 0.4 else 0) for k in range(300)]
+    straight, mixed, end = Replay(), Replay(), {}
+    want = {r[0]: r[1:-1] for r in straight.take(feed)}
+    order = np.argsort(np.arange(300) + rng.integers(0, 30, 300))
+    for part in np.array_split(order, 25):
+        for r in mixed.take([feed[k] for k in part] + [feed[part[0]]]):
+            end[r[0]] = r[1:-1]
+        if len(mixed.order) > 120:
+            mixed.settle(60)
+    assert end == want
+    assert mixed.take([feed[0]]) == []
+
+
 def test_files_and_sinks(spark, tmp_path):
     from tickloom.sources import files
 
