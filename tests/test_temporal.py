@@ -335,3 +335,62 @@ def test_option_prices_invert():
     assert np.isnan(O.implied_volatility([1.0, 5.0, -1.0], [100.0] * 3, [90.0, 100, 100], [0.5, 0.0, 1.0], 0.0, [True] * 3)).all()
     parity = O.price(100.0, k, t, 0.03, v, True) - O.price(100.0, k, t, 0.03, v, False)
     assert np.allclose(parity, 100 - k * np.exp(-0.03 * t))
+
+
+def test_models_go_out_and_come_back(spark, tmp_path):
+    from tickloom.sources import models as S
+
+    folder = str(tmp_path / "models")
+    m = ML.Linear(["a", "b"], np.array([0.5, 1.0, -2.0]), np.array([1.0, 2.0]), np.array([4.0, 9.0]), None, "fwd_return_50ms", {"r2": 0.2})
+    probs = np.full((3, 9, 11), 1 / 11)
+    made = S.save(spark, folder, S.Models({"fast": m}, {"fast": ([0.0, 1.0], [0.1, 0.9])}, probs, [float(k) for k in range(-5, 6)], (0.1, 0.2), {"0_1_0": 1.5}, {"0_1_0": -0.5}, {"intercept": 1.0}))
+    assert made == ["calibration_fast", "markov_model", "spread_optimizer", "toxicity_fast"]
+    S.write_json(spark, f"{folder}/{S.OLD_MODEL}", m.to_json("old"))
+    S.write_json(spark, f"{folder}/{S.OLD_CALIBRATION}", {"X_thresholds": [0.0, 2.0], "y_thresholds": [0.0, 1.0]})
+    got = S.load(spark, folder)
+    assert set(got.linear) == set(S.LABELS) and got.calibration["slow"] == ([0.0, 2.0], [0.0, 1.0]) and got.calibration["fast"] == ([0.0, 1.0], [0.1, 0.9])
+    assert got.vol_thresholds == (0.1, 0.2) and got.linear["fast"].summary()["r2"] == 0.2
+    df = spark.createDataFrame([(3.0, 5.0, 0, 1, 0), (None, float("nan"), 1, 1, 0)], "a double, b double, v int, t int, g int")
+    r = got.scored(df).withColumns(got.quoted(F.col("v"), F.col("t"), F.col("g")) | got.expected(F.col("v"), F.col("t"))).collect()
+    assert abs(r[0]["toxicity_fast"] - m.predict({"a": 3.0, "b": 5.0})) < 1e-9 and abs(r[0]["toxicity_fast"] + 0.5) < 1e-6 and r[1]["toxicity_fast"] == 0.5 == m.predict({})
+    assert abs(r[0]["p_toxic_fast"] - 0.5) < 1e-6 and (r[0]["table_half_spread"], r[0]["table_skew"], r[1]["table_half_spread"]) == (1.5, -0.5, 1.0)
+    assert abs(r[0]["markov_expected"]) < 1e-12 and abs(r[0]["markov_uncertainty"] - 10**0.5) < 1e-9
+    assert not S.load(spark, str(tmp_path / "none")).linear
+
+
+def test_online_model_over_running_moments(spark):
+    rng = np.random.default_rng(8)
+    x, k = rng.normal(5, 3, (80, 2)), list(range(80))
+    y = x @ [1.0, -0.5] + rng.normal(size=80) * 0.1
+    df = spark.createDataFrame([("a", i, float(p), float(q), float(t)) for i, (p, q), t in zip(k, x, y)], "k string, t bigint, p double, q double, y double")
+    got = ML.online_errors(df, ["k"], ["t"], ["p", "q"], "y", standardise=1.0).orderBy("t").toPandas().err
+    model, want = ML.RecursiveLeastSquares(np.zeros(3), np.eye(3) * 100.0), []
+    for i in k:
+        seen = x[: i + 1]
+        want.append(model.update((x[i] - seen.mean(0)) / np.sqrt(seen.var(0) + 1e-8), y[i]))
+    assert np.allclose(got, want)
+    m = ML.RunningMoments(0.9)
+    for v in (1.0, 3.0, 2.0):
+        m.update(v)
+    assert abs(m.mean - (1.2 * 0.9 + 0.2)) < 1e-12
+    r = ML.online_rmse(spark.createDataFrame([("a", 3.0), ("a", None), ("a", 4.0), ("b", None)], "k string, err double"), ["k"]).orderBy("k").collect()
+    assert (r[0]["n_updates"], round(r[0]["rmse"] ** 2, 6), r[1]["rmse"]) == (2, 12.5, 0.0)
+
+
+def test_sinks_write_what_they_say(spark, tmp_path):
+    import json
+
+    from tickloom.sources import files
+
+    df = spark.createDataFrame([(k, float(k)) for k in range(30)], "t bigint, x double")
+    files.parquet_sample(df, str(tmp_path / "s"), "t", 7)
+    assert [r["t"] for r in spark.read.parquet(str(tmp_path / "s")).orderBy("t").collect()] == list(range(7))
+    cell = spark.createDataFrame([(0, 1, 0, 1.5, -0.5)], "vol int, tox int, gex int, half_spread double, skew double")
+    assert json.loads(files.spread_json(cell)) == {"table": {"0_1_0": 1.5}, "skew_table": {"0_1_0": -0.5}}
+    counts = spark.createDataFrame([(0, 0, 0, 2), (0, 0, 1, 3)], "regime int, state int, outcome int, n bigint")
+    j = json.loads(files.transition_json(counts, counts.selectExpr("*", "n / 5 as prob").drop("n"), (0.1, 0.2)))
+    assert j == {"counts": [[[2, 3]]], "probs": [[[0.4, 0.6]]], "vol_thresholds": [0.1, 0.2]}
+    done = spark.createDataFrame([("trade", 1), ("cancel", 2)], "kind string, a int")
+    files.execution_csv(done, str(tmp_path / "e"))
+    assert [r["a"] for r in spark.read.csv(str(tmp_path / "e" / "closed_trades"), header=True).collect()] == ["1"]
+    assert [r["a"] for r in spark.read.csv(str(tmp_path / "e" / "cancelled_orders"), header=True).collect()] == ["2"]

@@ -70,6 +70,35 @@ def distribution(df: DataFrame, columns: list[str], ps: tuple[float, ...] = (0.5
     return long.groupBy("metric").agg(F.avg("v").alias("mean")).join(q, "metric").select("metric", "n", "mean", *[F.col("q")[k].alias(f"p{round(p * 100)}") for k, p in enumerate(ps)])
 
 
+def asymmetry(df: DataFrame, columns: list[str], cut: float = 0.3) -> DataFrame:
+    """``metric, n, mean, std, above, below``: mean, population deviation and the shares beyond ``cut`` to either side."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), clean(c).alias("v")) for c in columns])).alias("x")).select("x.*").where(F.col("v").isNotNull())
+    share = lambda c: F.avg(c.cast("double"))
+    return long.groupBy("metric").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), share(F.col("v") > cut).alias("above"), share(F.col("v") < -cut).alias("below"))
+
+
+def depletion_before_moves(df: DataFrame, ticks: Column, bid: str, ask: str, large: float = 2.0, calm: float = 0.5, least: int = 10) -> DataFrame:
+    """``move, n, bid_depletion, ask_depletion``: mean depletion before large moves up and down and before none, each of more than ``least`` rows."""
+    move = F.when(ticks > large, "up").when(ticks < -large, "down").when(F.abs(ticks) <= calm, "neutral")
+    d = df.select(move.alias("move"), bid, ask).where(F.col("move").isNotNull())
+    return d.groupBy("move").agg(F.count("*").alias("n"), F.avg(bid).alias("bid_depletion"), F.avg(ask).alias("ask_depletion")).where(F.col("n") > least)
+
+
+def univariate(df: DataFrame, features: list[str], target: str, least: int = 100) -> DataFrame:
+    """``feature, n, corr, beta, r2, mean, std`` of each feature against the target, over the rows that have both, from ``least`` rows on."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), clean(c).alias("x")) for c in features])).alias("l"), clean(target).alias("y")).select("l.*", "y").where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    g = long.groupBy("feature").agg(F.count("*").alias("n"), F.corr("x", "y").alias("corr"), (F.covar_samp("x", "y") / F.var_samp("x")).alias("beta"), F.pow(F.corr("x", "y"), 2).alias("r2"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
+    return g.where(F.col("n") >= least)
+
+
+def latency(df: DataFrame, delta: str, markout: str) -> DataFrame:
+    """One row: ``n, mean, p50, p95, p99, max`` of the latencies above 0 and their correlation with the markout's size."""
+    t = df.where(F.col(delta) > 0).select(F.col(delta).alias("v"), F.abs(F.col(markout)).alias("m"), F.lit(1).alias("one"))
+    q = exact_percentiles(t, ["one"], "v", [0.5, 0.95, 0.99])
+    g = t.groupBy("one").agg(F.avg("v").alias("mean"), F.max("v").alias("max"), F.corr(F.when(F.col("m").isNotNull(), F.col("v")), F.col("m")).alias("corr_markout"))
+    return g.join(q, "one").select("n", "mean", *[F.col("q")[k].alias(p) for k, p in enumerate(("p50", "p95", "p99"))], "max", "corr_markout")
+
+
 def quantile_edges(df: DataFrame, value: str, bins: int = 10) -> list[float]:
     """Distinct edges of equal-frequency bins; at most ``bins + 1`` numbers."""
     r = exact_percentiles(df.withColumn("_all", F.lit(1)), ["_all"], value, [k / bins for k in range(bins + 1)]).first()

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -111,7 +111,17 @@ class Linear:
                 out = out + F.coalesce(F.nanvl(z, F.lit(0.0)), F.lit(0.0)) * F.lit(float(w))
         return out
 
+    def predict(self, row: dict[str, float]) -> float:
+        """The score of one observation; missing and NaN values add nothing."""
+        z = ((row.get(c, np.nan) - m) / np.sqrt(v + 1e-8) for c, m, v in zip(self.features, self.mean, self.var))
+        return float(self.weights[0] + sum(w * x for w, x in zip(self.weights[1:], z) if x == x))
+
+    def summary(self) -> dict:
+        """Target, size, statistics and the ten heaviest inputs."""
+        return {"target": self.target, "n_features": len(self.features), **self.stats, "importance": self.importance()[:10]}
+
     def importance(self) -> list[tuple[str, float]]:
+        """Inputs by the size of their weight."""
         return sorted(zip(self.features, np.abs(self.weights[1:]).tolist()), key=lambda x: -x[1])
 
     def to_json(self, label: str) -> str:
@@ -231,31 +241,40 @@ class RecursiveLeastSquares:
 
 
 class RunningMoments:
-    """Running mean and variance: exponential with ``decay`` below 1, else over all values alike."""
+    """Running mean and variance of some columns at once: exponential with ``decay`` below 1, else over all rows alike."""
 
     def __init__(self, decay: float = 1.0):
         self.decay, self.n, self.mean, self.m2 = decay, 0, 0.0, 0.0
 
-    def update(self, x: float) -> None:
+    def update(self, x: np.ndarray | float) -> None:
         self.n += 1
         if self.decay >= 1:
             step = x - self.mean
-            self.mean += step / self.n
-            self.m2 += step * (x - self.mean)
+            self.mean = self.mean + step / self.n
+            self.m2 = self.m2 + step * (x - self.mean)
         elif self.n == 1:
-            self.mean = x
+            self.mean, self.m2 = x * 1.0, x * 0.0
         else:
             step = x - self.mean
-            self.mean += (1 - self.decay) * step
+            self.mean = self.mean + (1 - self.decay) * step
             self.m2 = self.decay * (self.m2 + (1 - self.decay) * step * step)
 
     @property
-    def var(self) -> float:
+    def var(self) -> np.ndarray | float:
         return self.m2 / self.n if self.decay >= 1 and self.n else self.m2
 
 
-def online_errors(df: DataFrame, key: list[str], order: list[str], x: list[str], y: str, forget: float = 0.9999) -> DataFrame:
-    """``key, order, err``: one-step prediction errors of an online model for each key, in order, streamed batch by batch."""
+def online_rmse(errors: DataFrame, key: list[str]) -> DataFrame:
+    """``key, n_updates, rmse`` of one-step errors; 0 without an update."""
+    return errors.groupBy(*key).agg(F.count("err").alias("n_updates"), F.coalesce(F.sqrt(F.avg(F.col("err") * F.col("err"))), F.lit(0.0)).alias("rmse"))
+
+
+def online_errors(df: DataFrame, key: list[str], order: list[str], x: list[str], y: str, forget: float = 0.9999, standardise: float | None = None) -> DataFrame:
+    """``key, order, err``: one-step prediction errors of an online model for each key, in order, streamed batch by batch.
+
+    With ``standardise`` (the decay of the running moments, 1 for all values alike) each column is scaled by its moments up
+    to its row, the row included.
+    """
     schema = ", ".join([*[f"{c} {dict(df.dtypes)[c]}" for c in (*key, *order)], "err double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,8 +287,11 @@ def online_errors(df: DataFrame, key: list[str], order: list[str], x: list[str],
             for i, k in enumerate(keys):
                 if k != here:
                     here, model = k, RecursiveLeastSquares(np.zeros(len(x) + 1), np.eye(len(x) + 1) * 100.0, forget)
+                    moments = RunningMoments(standardise or 1.0)
                 if target[i] == target[i]:
-                    err[i] = model.update(m[i], target[i])
+                    if standardise is not None:
+                        moments.update(m[i])
+                    err[i] = model.update(m[i] if standardise is None else (m[i] - moments.mean) / np.sqrt(moments.var + 1e-8), target[i])
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in (*key, *order)], pa.array(err, mask=np.isnan(err))], names=[*key, *order, "err"])
 
     rows = df.select(*key, *order, *x, y).repartition(*key).sortWithinPartitions(*key, *order)
@@ -395,27 +417,6 @@ def blended_half_spread(table_hs: Column, model_hs: Column, uncertainty: Column,
     return {"half_spread": blend, "bid_off": _clip(blend + skew, 0.5, 8.0), "ask_off": _clip(blend - skew, 0.5, 8.0)}
 
 
-def export_models(folder: str, **models: dict) -> list[str]:
-    """Writes each model as one JSON file; arrays as lists."""
-    import os
-
-    os.makedirs(folder, exist_ok=True)
-    made = []
-    for name, m in models.items():
-        path = os.path.join(folder, f"{name}.json")
-        with open(path, "w", encoding="utf-8") as f:
-            json.dump(m if isinstance(m, dict) else asdict(m), f, default=lambda v: v.tolist() if hasattr(v, "tolist") else str(v))
-        made.append(path)
-    return made
-
-
-def load_linear(path: str) -> Linear:
-    """A linear model from its JSON file."""
-    with open(path, encoding="utf-8") as f:
-        m = json.load(f)
-    return Linear(m["features"], np.array(m["weights"]), np.array(m["mean"]), np.array(m["var"]), None, m.get("target", ""), m.get("oof_stats", {}))
-
-
 def vif(df: DataFrame, x: list[str]) -> pd.DataFrame:
     """``feature, vif``: diagonal of the inverse covariance (plus 1e-6) times the variance, from one Gram matrix."""
     m = gram(df.withColumns({"_one": F.lit(0), "_y": F.lit(0.0)}), x, "_y", "_one")[0]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.cluster import tables
 from tickloom.functions import codes as C
-from tickloom.operators import book, features, temporal
+from tickloom.operators import analysis, book, features, temporal
 from tickloom.sources import messages as M
 
 WINDOWS = (1000, 60_000, 600_000)
@@ -395,3 +395,36 @@ SELECT {_ID}, CASE WHEN s = 0 THEN hi - last_mid ELSE last_mid - lo END AS excur
 def aj_excursion_fill(spark, sf_dir):
     t = temporal.excursion(_trades(spark, sf_dir), M.SESSION, "ts_ns", "r", "last_mid", 60_000 * features.MS)
     return _id(t, F.when(F.col("side_code") == C.BID, F.col("fwd_max") - F.col("last_mid")).otherwise(F.col("last_mid") - F.col("fwd_min")).alias("excursion"))
+
+
+# ---- cost analysis over the features of the book -----------------------------------------------------------------------
+
+_RATIOS = [f"{k}_trade_ratio_{w}ms" for k in ("cancel", "modify") for w in (50, 500, 5000)]
+_ASYMMETRIES = [f"fill_asymmetry_{w}ms" for w in (500, 5000)]
+
+
+def _long(twin: str, columns: list[str], picks: str) -> str:
+    names, values = ", ".join(f"'{c}'" for c in columns), ", ".join(columns)
+    return f"SELECT metric, {picks} FROM (SELECT unnest([{names}]) AS metric, unnest([{values}]) AS v FROM ({twin})) WHERE v IS NOT NULL GROUP BY 1"
+
+
+def _rounded(df: DataFrame, digits: int) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+@_q("ag_tca_ratios", _long(ORACLES["wn_trades_ms"], _RATIOS, "count(*) AS n, round(avg(v), 4) AS mean, round(quantile_cont(v, 0.5), 4) AS p50, round(quantile_cont(v, 0.95), 4) AS p95, round(quantile_cont(v, 0.99), 4) AS p99"))
+def ag_tca_ratios(spark, sf_dir):
+    t = features.windowed(_trades(spark, sf_dir), (50, 500, 5000), ["trades"], depletion=False)
+    return _rounded(analysis.distribution(t, _RATIOS), 4)
+
+
+@_q("ag_tca_fills", _long(ORACLES["wn_fills_ms"], _ASYMMETRIES, "count(*) AS n, round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS std, round(avg(CASE WHEN v > 0.3 THEN 1.0 ELSE 0 END), 4) AS above, round(avg(CASE WHEN v < -0.3 THEN 1.0 ELSE 0 END), 4) AS below"))
+def ag_tca_fills(spark, sf_dir):
+    return _rounded(analysis.asymmetry(features.windowed(_trades(spark, sf_dir), (500, 5000), ["fills"], depletion=False), _ASYMMETRIES), 4)
+
+
+@_q("ag_tca_depletion", f"""SELECT CASE WHEN t > 2 THEN 'up' WHEN t < -2 THEN 'down' ELSE 'neutral' END AS move, count(*) AS n, round(avg(bid_depletion_500ms), 6) AS bid_depletion, round(avg(ask_depletion_500ms), 6) AS ask_depletion
+FROM (SELECT fwd_return_1000ms / 0.25 AS t, bid_depletion_500ms, ask_depletion_500ms FROM ({ORACLES["wn_depletion_ms"]}) JOIN ({ORACLES["aj_fwd_return_ms"]}) USING (day, instrument_id, n)) WHERE abs(t) > 2 OR abs(t) <= 0.5 GROUP BY 1 HAVING count(*) > 10""")
+def ag_tca_depletion(spark, sf_dir):
+    t = features.forward_returns(features.windowed(_trades(spark, sf_dir), (500,), [], depletion=True), (1000,))
+    return _rounded(analysis.depletion_before_moves(t, F.col("fwd_return_1000ms") / C.TICK, "bid_depletion_500ms", "ask_depletion_500ms"), 6)

@@ -103,8 +103,7 @@ def ag_distribution(spark, sf_dir):
 
 @_q("ag_asymmetry", _TF + "SELECT count(*) AS n, round(avg(imb), 6) AS mean, round(stddev_pop(imb), 6) AS std, round(avg(CASE WHEN imb > 0.3 THEN 1.0 ELSE 0 END), 6) AS above, round(avg(CASE WHEN imb < -0.3 THEN 1.0 ELSE 0 END), 6) AS below FROM tf WHERE imb IS NOT NULL")
 def ag_asymmetry(spark, sf_dir):
-    t = _tf(spark, sf_dir).where(F.col("imb").isNotNull())
-    return _round(t.agg(F.count("*").alias("n"), F.avg("imb").alias("mean"), F.stddev_pop("imb").alias("std"), F.avg((F.col("imb") > 0.3).cast("double")).alias("above"), F.avg((F.col("imb") < -0.3).cast("double")).alias("below")))
+    return _round(A.asymmetry(_tf(spark, sf_dir), ["imb"]).drop("metric"))
 
 
 _MOVE = "CASE WHEN fwd / 0.25 > 2 THEN 'up' WHEN fwd / 0.25 < -2 THEN 'down' WHEN abs(fwd / 0.25) <= 0.5 THEN 'neutral' END"
@@ -113,19 +112,13 @@ _MOVE = "CASE WHEN fwd / 0.25 > 2 THEN 'up' WHEN fwd / 0.25 < -2 THEN 'down' WHE
 @_q("ag_depletion_moves", _TF + f", x AS (SELECT *, lag(b1) OVER w - b1 AS db, lag(a1) OVER w - a1 AS da, {_MOVE} AS move FROM tf WINDOW w AS (PARTITION BY i, trade_date ORDER BY ts, row_id)) SELECT move, count(*) AS n, round(avg(db), 6) AS bid_depletion, round(avg(da), 6) AS ask_depletion FROM x WHERE move IS NOT NULL GROUP BY 1 HAVING count(*) > 10")
 def ag_depletion_moves(spark, sf_dir):
     at = Window.partitionBy("i", "trade_date").orderBy("ts", "row_id")
-    ticks = F.col("fwd") / C.TICK
-    move = F.when(ticks > 2, "up").when(ticks < -2, "down").when(F.abs(ticks) <= 0.5, "neutral")
-    t = _tf(spark, sf_dir).withColumns({"db": F.lag("b1").over(at) - F.col("b1"), "da": F.lag("a1").over(at) - F.col("a1"), "move": move}).where(F.col("move").isNotNull())
-    return _round(t.groupBy("move").agg(F.count("*").alias("n"), F.avg("db").alias("bid_depletion"), F.avg("da").alias("ask_depletion")).where(F.col("n") > 10))
+    t = _tf(spark, sf_dir).withColumns({"db": F.lag("b1").over(at) - F.col("b1"), "da": F.lag("a1").over(at) - F.col("a1")})
+    return _round(A.depletion_before_moves(t, F.col("fwd") / C.TICK, "db", "da"))
 
 
 @_q("ag_latency", _TF + ", l AS (SELECT delta AS v, abs(signed) AS m FROM tf WHERE delta > 0) SELECT count(*) AS n, round(avg(v), 2) AS mean, round(quantile_cont(v, 0.5), 2) AS p50, round(quantile_cont(v, 0.95), 2) AS p95, round(quantile_cont(v, 0.99), 2) AS p99, max(v) AS max, round(corr(v, m), 6) AS corr_markout FROM l")
 def ag_latency(spark, sf_dir):
-    t = _tf(spark, sf_dir).where(F.col("delta") > 0).withColumns({"v": F.col("delta"), "m": F.abs("signed"), "one": F.lit(1)})
-    q = A.exact_percentiles(t, ["one"], "v", [0.5, 0.95, 0.99])
-    both = F.col("m").isNotNull()
-    g = t.groupBy("one").agg(F.avg("v").alias("mean"), F.max("v").alias("max"), F.corr(F.when(both, F.col("v")), F.col("m")).alias("corr_markout"))
-    return _round(g.join(q, "one").select("n", "mean", *[F.col("q")[k].alias(p) for k, p in enumerate(("p50", "p95", "p99"))], "max", "corr_markout"), 2, corr_markout=6)
+    return _round(A.latency(_tf(spark, sf_dir), "delta", "signed"), 2, corr_markout=6)
 
 
 @_q("ag_deciles", _TF + ", s AS (SELECT abs(imb) AS score, signed AS s FROM tf WHERE imb IS NOT NULL AND signed IS NOT NULL), q AS (SELECT list_sort(list_distinct(quantile_cont(score, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1]))) AS e FROM s), b AS (SELECT cast(greatest(len(list_filter(e, lambda x: score > x)) - 1, 0) AS INT) AS bin, score, s FROM s, q) SELECT bin, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(s), 6) AS mean_signed, round(avg(CASE WHEN s < 0 THEN 1.0 ELSE 0 END), 6) AS pct_adverse, round(median(s), 6) + 0.0 AS median_signed FROM b GROUP BY 1")
@@ -143,9 +136,7 @@ def _rg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_q("ag_univariate", _RG + ", l AS (SELECT unnest([" + ", ".join(f"'{c}'" for c in _X) + "]) AS feature, unnest([" + ", ".join(_X) + "]) AS x, spread_ticks AS y FROM r) SELECT feature, count(*) AS n, round(corr(x, y), 6) AS corr, round(covar_samp(x, y) / var_samp(x), 6) AS beta, round(pow(corr(x, y), 2), 6) AS r2, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM l WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1 HAVING count(*) >= 100")
 def ag_univariate(spark, sf_dir):
-    long = _rg(spark, sf_dir).select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in _X])).alias("l"), F.col("spread_ticks").alias("y")).select("l.*", "y").where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    g = long.groupBy("feature").agg(F.count("*").alias("n"), F.corr("x", "y").alias("corr"), (F.covar_samp("x", "y") / F.var_samp("x")).alias("beta"), F.pow(F.corr("x", "y"), 2).alias("r2"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
-    return _round(g.where(F.col("n") >= 100))
+    return _round(A.univariate(_rg(spark, sf_dir), _X, "spread_ticks"))
 
 
 _PAIRS = [(a, b) for k, a in enumerate(_X) for b in _X[k + 1 :]]
@@ -390,6 +381,12 @@ def ml_rls(spark, sf_dir):
     return _round(ML.online_errors(_labelled(spark, sf_dir), ["i", "trade_date"], ["ts", "row_id"], _X, "y").select("row_id", "err"))
 
 
+@_q("ml_online_rmse")
+def ml_online_rmse(spark, sf_dir):
+    errors = ML.online_errors(_labelled(spark, sf_dir), ["i", "trade_date"], ["ts", "row_id"], _X, "y")
+    return _round(ML.online_rmse(errors, ["i", "trade_date"]).select(F.col("i").alias("instrument_id"), F.date_format("trade_date", "yyyy-MM-dd").alias("day"), "n_updates", "rmse"), 5)
+
+
 # ---- quotes -------------------------------------------------------------------------------------------------------
 
 _CLIP = "least(greatest({}, {}), {})"

@@ -94,6 +94,8 @@ g0 AS (SELECT row_id, {_RLS} AS m FROM e),
 f AS (SELECT row_id, y - ({" + ".join(f"{v} * m[{k}][{_Q + 1}]" for k, v in enumerate(_RV, 1))}) AS err FROM gj JOIN e USING (row_id) WHERE gj.k = {_Q + 1})
 SELECT o.row_id, round(err, 6) AS err FROM o LEFT JOIN f USING (row_id)"""
 
+ORACLES["ml_online_rmse"] = ORACLES["ml_rls"].replace("SELECT o.row_id, round(err, 6) AS err FROM o LEFT JOIN f USING (row_id)", "SELECT i AS instrument_id, strftime(trade_date, '%Y-%m-%d') AS day, count(err) AS n_updates, round(coalesce(sqrt(avg(err * err)), 0), 5) AS rmse FROM o LEFT JOIN f USING (row_id) GROUP BY 1, 2")
+
 # ---- isotonic regression: the greatest over starts of the least over ends of the mean between --------------------------
 
 ORACLES["ml_isotonic"] = _TF + """, c AS (SELECT avg(CASE WHEN abs(fwd) > 0.125 THEN 1.0 ELSE 0 END) AS rate, coalesce(nullif(median(abs(fwd)), 0), 0.125) AS md FROM tf WHERE fwd IS NOT NULL),
