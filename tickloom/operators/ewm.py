@@ -90,7 +90,7 @@ def impact(product: str, flow: str) -> Column:
 
 
 def rolling(df: DataFrame, group: list[str], order: list[str], value: str) -> DataFrame:
-    """Adds running row statistics of ``value``: momentum in four forms, volatility in three, percentile ranks and a running mean and deviation."""
+    """Adds running row statistics of ``value``: momentum in four forms, volatility in three, percentile ranks (the share strictly below) among the last 50 and 200, and a running mean and deviation."""
     at = Window.partitionBy(*group).orderBy(*order)
     last = lambda n, skip=0: at.rowsBetween(-(n - 1) - skip, -skip)
     v = F.col(value)
@@ -109,6 +109,6 @@ def rolling(df: DataFrame, group: list[str], order: list[str], value: str) -> Da
             "_adiff": F.abs(diff),
             "run_mean": F.avg(v).over(upto),
             "run_sd": F.stddev_pop(v).over(upto),
-            "rank_50": rank(50),
+            "rank_50": rank(50), "rank_200": rank(200),
         }
     ).withColumns({"vol_rms50": F.sqrt(F.avg(F.col("_ret") * F.col("_ret")).over(last(50))), "vol_sd_abs20": F.stddev_samp("_adiff").over(last(20))}).drop("_ret", "_adiff")

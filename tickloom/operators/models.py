@@ -376,6 +376,21 @@ def logistic(terms: dict[str, float], bias: float = 0.0, platt: tuple[float, flo
     return F.least(F.when(h > above, p * boost).otherwise(p), F.lit(1.0))
 
 
+def entry_probability(score: Column, low: float = -2.0, high: float = 2.0) -> Column:
+    """A predicted gain in ticks as a share of the range from ``low`` to ``high``, 0 to 1."""
+    return _clip((score - low) / (high - low), 0.0, 1.0)
+
+
+def sigmoid(score: Column) -> Column:
+    """The probability of a linear score without scale or boost."""
+    return 1 / (1 + F.exp(-score))
+
+
+def snapshot_probability(score: Column, calibrated: Column, long: Column) -> Column:
+    """A calibrated probability, a tenth more for a long quote under buying pressure; 0 to 1."""
+    return _clip(F.when(long & (score > 0), F.least(calibrated * 1.1, F.lit(1.0))).otherwise(calibrated), 0.0, 1.0)
+
+
 def nearest_regime(vol: Column, spread: Column, centroids: list[tuple[float, float]]) -> Column:
     """Index of the nearest (volatility, spread) centroid, of equal ones the first."""
     far = [(vol - v) * (vol - v) + (spread - s) * (spread - s) for v, s in centroids]

@@ -76,3 +76,56 @@ def stale_scaler(df: DataFrame, group: list[str], order: list[str], value: str,
     keep = at.rowsBetween(Window.unboundedPreceding, 0)
     m, s = F.coalesce(F.last("_m", ignorenulls=True).over(keep), F.lit(0.0)), F.coalesce(F.last("_s", ignorenulls=True).over(keep), F.lit(1.0))
     return df.withColumn(f"{value}_scaled", (F.col(value) - m) / F.when(s < 1e-6, 1.0).otherwise(s)).drop("_m", "_s")
+
+
+def level_imbalance(bids: Column, asks: Column, k: int) -> Column:
+    b, a = F.coalesce(F.get(bids, F.lit(k)).cast("double"), F.lit(0.0)), F.coalesce(F.get(asks, F.lit(k)).cast("double"), F.lit(0.0))
+    return F.when(b + a > 0, (b - a) / (b + a)).otherwise(0.0)
+
+
+def snapshot_inputs(names: list[str], bids: Column, asks: Column, spread_ticks: Column, micro_less_mid: Column, volatility: Column, streak: Column) -> dict[str, Column]:
+    """Stand-ins for the inputs of a model where only a depth snapshot is at hand; an input that a snapshot says nothing about is 0.
+
+    ``bids`` and ``asks`` are sizes of five levels, ``volatility`` the root mean square return of the last rows, ``streak``
+    the length of the run of buys less that of sells. The values are raw, while a model's weights belong to scores.
+    """
+    imb = [level_imbalance(bids, asks, k) for k in range(3)]
+
+    def sizes(side: Column) -> list[Column]:
+        return [F.coalesce(F.get(side, F.lit(k)).cast("double"), F.lit(0.0)) for k in range(5)]
+
+    def slope(side: Column) -> Column:
+        log = [F.log(F.greatest(x, F.lit(1.0))) for x in sizes(side)]
+        return sum(((k - 2) * log[k] for k in range(1, 5)), -2 * log[0]) / 10
+
+    def concentration(side: Column) -> Column:
+        x = sizes(side)
+        whole = sum(x[1:], x[0])
+        return F.when(whole < 1, 1.0).otherwise(sum((v * v for v in x[1:]), x[0] * x[0]) / (whole * whole))
+
+    sign = lambda c: F.when(c < 0, -1.0).otherwise(1.0)
+    known = {
+        "z_imb_L1": imb[0], "z_imb_L2": imb[1], "z_imb_L3": imb[2], "z_L1_L2_disagree": -sign(imb[0]) * sign(imb[1]), "z_microprice_delta": micro_less_mid,
+        "spread_ticks": spread_ticks, "z_spread": spread_ticks, "z_slope_bid": slope(bids), "z_slope_ask": slope(asks), "z_hhi_bid": concentration(bids), "z_hhi_ask": concentration(asks),
+        "z_realized_vol": volatility, "ofi_L1_x_vol": imb[0] * volatility, "ofi_L1_x_spread": imb[0] * spread_ticks, "imb_L2_x_vol": imb[1] * volatility,
+    }
+    like = {"z_ofi_L1": imb[0], "z_signed_vol": streak, "z_twas": spread_ticks}
+    part = lambda n: next((c for stem, c in like.items() if n.startswith(stem)), F.lit(0.0))
+    return {n: (known[n] if n in known else part(n)).cast("double") for n in names}
+
+
+def percentile_regime(df: DataFrame, group: list[str], order: list[str], vol: str, spread: str, rows: int = 100, least: int = 50, share: float = 0.7, name: str = "regime") -> DataFrame:
+    """Adds a regime from where volatility and spread stand among the last rows: 0 balanced, 1 volatile, 2 wide, 3 both; balanced before ``least`` rows."""
+    last = Window.partitionBy(*group).orderBy(*order).rowsBetween(-(rows - 1), 0)
+    high = lambda c: F.col(c) > F.get(F.array_sort(F.collect_list(c).over(last)), F.floor(F.count(c).over(last) * F.lit(share)).cast("int"))
+    regime = high(vol).cast("int") + 2 * high(spread).cast("int")
+    return df.withColumn(name, F.when(F.count(F.lit(1)).over(last) < least, 0).otherwise(regime))
+
+
+def inventory_control(inventory: Column, bid: Column, size: Column, aversion: float = 0.15, per_tick: int = 10, most_ticks: int = 3, heavy: int = 50) -> dict[str, Column]:
+    """Penalty on a signal's strength, the bid moved down a tick for every ten contracts held (three at most), and the size, halved above fifty."""
+    down = F.when(inventory > 0, F.least(F.floor(inventory / per_tick), F.lit(most_ticks))).otherwise(0)
+    return {
+        "penalty": aversion * F.abs(inventory), "skewed_bid": bid - down * TICK,
+        "size": F.when(F.abs(inventory) > heavy, F.greatest(F.floor(size / 2), F.lit(1))).otherwise(size).cast("int"),
+    }

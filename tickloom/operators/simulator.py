@@ -284,14 +284,30 @@ def hindsight(df: DataFrame, group: list[str], order: list[str], value: str, aft
     return df.withColumns({f"{k}_{n}": fn(value).over(at.rowsBetween(1, n)) - F.col(value) for n in after for k, fn in (("rise", F.max), ("fall", F.min))})
 
 
+def cancel_hindsight(result: DataFrame, marked: DataFrame, symbol: str, time: str, columns: list[str]) -> DataFrame:
+    """Cancelled orders of ``simulate`` with what the mid did after: ``columns`` of the row of the cancel (see ``hindsight``)."""
+    m = marked.select(F.col(symbol).alias("_symbol"), F.col(time).alias("_t"), *columns)
+    c = result.where(F.col("kind") == "cancel").select("symbol", "day", "side", "opened_ns", F.col("closed_ns").alias("cancelled_ns"), "price", "reason")
+    return c.join(m, (F.col("symbol") == F.col("_symbol")) & (F.col("cancelled_ns") == F.col("_t"))).drop("_symbol", "_t")
+
+
+def entry_means(df: DataFrame, group: list[str], order: list[str], side: str, columns: list[str], every: int = 20) -> DataFrame:
+    """``side, n`` and the mean of each column over every so many entries of a side in each group."""
+    s = systematic_sample(df.where(F.col(side).isNotNull()), [*group, side], order, every)
+    return s.groupBy(side).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in columns])
+
+
 def systematic_sample(df: DataFrame, group: list[str], order: list[str], every: int = 20) -> DataFrame:
     """Every so many rows of each group."""
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("_k") % every == 0).drop("_k")
 
 
 def rolling_share(df: DataFrame, group: list[str], order: list[str], cond: Column, rows: int = 1000, name: str = "share") -> DataFrame:
-    """Adds the share of the last so many rows for which the condition holds."""
-    return df.withColumn(name, F.avg(F.coalesce(cond, F.lit(False)).cast("double")).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(-(rows - 1), 0)))
+    """Adds the share of the last so many rows for which the condition holds, from the running count now and as many rows ago."""
+    at = Window.partitionBy(*group).orderBy(*order)
+    upto = F.count_if(F.coalesce(cond, F.lit(False))).over(at.rowsBetween(Window.unboundedPreceding, 0))
+    df = df.withColumns({"_upto": upto, "_rn": F.row_number().over(at)})
+    return df.withColumn(name, (F.col("_upto") - F.coalesce(F.lag("_upto", rows).over(at), F.lit(0))) / F.least("_rn", F.lit(rows))).drop("_upto", "_rn")
 
 
 def rebuilt_quotes(mid: Column, spread_ticks: Column, levels: int = 10) -> dict[str, Column]:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.cluster import tables
 from tickloom.functions import codes as C
-from tickloom.operators import analysis, book, features, temporal
+from tickloom.operators import analysis, book, features, models, signals, temporal
 from tickloom.sources import messages as M
 
 WINDOWS = (1000, 60_000, 600_000)
@@ -428,3 +429,30 @@ FROM (SELECT fwd_return_1000ms / 0.25 AS t, bid_depletion_500ms, ask_depletion_5
 def ag_tca_depletion(spark, sf_dir):
     t = features.forward_returns(features.windowed(_trades(spark, sf_dir), (500,), [], depletion=True), (1000,))
     return _rounded(analysis.depletion_before_moves(t, F.col("fwd_return_1000ms") / C.TICK, "bid_depletion_500ms", "ask_depletion_500ms"), 6)
+
+
+_SNAP = {"z_ofi_L1_500ms": 0.4, "z_imb_L2": -0.2, "z_slope_bid": 0.1, "z_hhi_ask": 0.3, "z_spread": 0.05, "z_microprice_delta": 0.2, "z_cancel_ratio_500ms": 0.7}
+_LOGS = [f"ln(greatest(b{k}, 1.0))" for k in range(1, 6)]
+_ASKS = "(" + " + ".join(f"a{k}" for k in range(1, 6)) + ")"
+_PROXY = {
+    "z_ofi_L1_500ms": "CASE WHEN b1 + a1 > 0 THEN (b1 - a1) / (b1 + a1) ELSE 0 END", "z_imb_L2": "CASE WHEN b2 + a2 > 0 THEN (b2 - a2) / (b2 + a2) ELSE 0 END", "z_slope_bid": f"(-2 * {_LOGS[0]} - {_LOGS[1]} + {_LOGS[3]} + 2 * {_LOGS[4]}) / 10",
+    "z_hhi_ask": f"CASE WHEN {_ASKS} < 1 THEN 1.0 ELSE ({' + '.join(f'a{k} * a{k}' for k in range(1, 6))}) / ({_ASKS} * {_ASKS}) END", "z_spread": "spread", "z_microprice_delta": "micro - last_mid", "z_cancel_ratio_500ms": "0.0",
+}
+_RAW = "0.05 + " + " + ".join(f"{w} * coalesce(({_PROXY[c]} - 0.1) / sqrt(1.21 + 1e-8), 0)" for c, w in _SNAP.items())
+
+
+@_q("ml_snapshot_score", _TRADES + f", sz AS (SELECT d, i, n, s, {_RAW} AS raw FROM t), sc AS (SELECT *, CASE WHEN abs(raw) <= 0.1 THEN 0.05 WHEN abs(raw) >= 1.5 THEN 0.9 ELSE 0.05 + (abs(raw) - 0.1) / 1.4 * 0.85 END AS p FROM sz) SELECT {_ID}, round(raw, 6) AS raw, round(CASE WHEN s = 0 AND raw > 0 THEN least(p * 1.1, 1) ELSE p END, 6) AS p FROM sc")
+def ml_snapshot_score(spark, sf_dir):
+    t = book.snapshots(book.replay(_ordered(spark, sf_dir)))
+    inputs = signals.snapshot_inputs(list(_SNAP), F.col("bid_sz"), F.col("ask_sz"), F.col("spread_ticks"), F.col("microprice") - F.col("last_mid"), F.lit(0.0), F.lit(0))
+    t = t.withColumns(inputs)
+    raw = models.Linear(list(_SNAP), np.array([0.05, *_SNAP.values()]), np.full(len(_SNAP), 0.1), np.full(len(_SNAP), 1.21)).score(t)
+    t = t.withColumn("raw", raw)
+    p = models.snapshot_probability(F.col("raw"), models.interpolate(F.abs("raw"), [0.1, 1.5], [0.05, 0.9]), F.col("side_code") == C.BID)
+    return _id(t, F.round("raw", 6).alias("raw"), F.round(p, 6).alias("p"))
+
+
+@_q("bk_depth_levels", _TRADES + f"SELECT {_ID}, round(CASE WHEN b + a > 0 THEN b / (b + a) ELSE 0 END, 9) AS qi_bid, round(CASE WHEN b + a > 0 THEN a / (b + a) ELSE 0 END, 9) AS qi_ask, round(CASE WHEN na > 0.001 THEN nb / na ELSE 1 END, 9) AS depth_ratio FROM (SELECT *, b1 + b2 + b3 + b4 + b5 AS b, a1 + a2 + a3 + a4 + a5 AS a, b1 + b2 + b3 AS nb, a1 + a2 + a3 AS na FROM t)")
+def bk_depth_levels(spark, sf_dir):
+    t = book.replay(_ordered(spark, sf_dir)).where(F.col("act") == C.TRADE)
+    return _id(t, *[F.round(v, 9).alias(k) for k, v in signals.depth_balance(F.col("bid_sz"), F.col("ask_sz")).items()])

@@ -96,6 +96,21 @@ def ag_adverse_grouping_sets(spark, sf_dir):
     return _round(t.groupingSets([["spread_b"], ["imb_b"], []], "spread_b", "imb_b").agg(F.count("*").alias("n"), F.avg("signed").alias("mean_signed")))
 
 
+@_q("ag_adverse_cube", _TF + ", b AS (SELECT CASE WHEN spread <= 1 THEN '1' WHEN spread <= 2 THEN '2' ELSE '3+' END AS spread_b, CASE WHEN imb >= 0.33 THEN 2 WHEN imb >= -0.33 THEN 1 ELSE 0 END AS imb_b, signed FROM tf WHERE spread IS NOT NULL AND imb IS NOT NULL AND signed IS NOT NULL) SELECT spread_b, imb_b, count(*) AS n, round(avg(signed), 6) AS mean_signed FROM b GROUP BY CUBE (spread_b, imb_b)")
+def ag_adverse_cube(spark, sf_dir):
+    return _round(_adverse_cells(spark, sf_dir).cube("spread_b", "imb_b").agg(F.count("*").alias("n"), F.avg("signed").alias("mean_signed")))
+
+
+@_q("ag_adverse_rollup", ORACLES["ag_adverse_cube"].replace("CUBE", "ROLLUP"))
+def ag_adverse_rollup(spark, sf_dir):
+    return _round(_adverse_cells(spark, sf_dir).rollup("spread_b", "imb_b").agg(F.count("*").alias("n"), F.avg("signed").alias("mean_signed")))
+
+
+def _adverse_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tf(spark, sf_dir).where(F.col("spread").isNotNull() & F.col("imb").isNotNull() & F.col("signed").isNotNull())
+    return t.select(A.spread_bucket(F.col("spread")).alias("spread_b"), A.imbalance_bucket(F.col("imb")).alias("imb_b"), "signed")
+
+
 @_q("ag_distribution", _TF + ", l AS (SELECT unnest(['ntr', 'lat', 'spread']) AS metric, unnest([ntr, lat, spread]) AS v FROM tf) SELECT metric, count(*) AS n, round(avg(v), 3) AS mean, round(quantile_cont(v, 0.5), 3) AS p50, round(quantile_cont(v, 0.95), 3) AS p95, round(quantile_cont(v, 0.99), 3) AS p99 FROM l WHERE v IS NOT NULL GROUP BY 1")
 def ag_distribution(spark, sf_dir):
     return _round(A.distribution(_tf(spark, sf_dir), ["ntr", "lat", "spread"]), 3)
@@ -205,6 +220,31 @@ def ag_spread_table(spark, sf_dir):
     return _round(A.spread_table(cells, grid))
 
 
+_WHOLE = _SPT[: _SPT.index("c0 AS (")] + f"""gq AS (SELECT quantile_cont(net_gex, 0.33) AS ga, quantile_cont(net_gex, 0.67) AS gb FROM (SELECT {_nn('net_gex')} FROM options_features) WHERE net_gex IS NOT NULL),
+os AS (SELECT instrument_id AS i, ts_ns AS ts, {_nn('net_gex')} FROM options_features WHERE ts_ns IS NOT NULL QUALIFY row_number() OVER (PARTITION BY instrument_id, ts_ns ORDER BY snap_id DESC) = 1),
+ps AS (SELECT *, row_number() OVER (PARTITION BY i, trade_date ORDER BY ts, row_id) AS r FROM tf WHERE ts IS NOT NULL),
+rc AS (SELECT t.row_id, max(u.mid) AS hi, min(u.mid) AS lo FROM ps t JOIN ps u ON t.i = u.i AND t.trade_date = u.trade_date AND u.r > t.r AND u.ts < t.ts + 600000000000 GROUP BY 1),
+c0 AS (SELECT CASE WHEN lsd >= q2 THEN 2 WHEN lsd >= q1 THEN 1 ELSE 0 END AS vol, greatest(len(list_filter(ed, lambda x: abs(imb) > x)) - 1, 0) AS tox, CASE WHEN os.net_gex IS NULL THEN 1 WHEN os.net_gex >= gb THEN 2 WHEN os.net_gex >= ga THEN 1 ELSE 0 END AS gex, CASE WHEN side = 0 THEN hi - mid ELSE mid - lo END / 0.25 AS ex, signed AS mo
+  FROM ps ASOF LEFT JOIN os ON ps.i = os.i AND ps.ts >= os.ts LEFT JOIN rc USING (row_id), thr, e, gq WHERE lsd IS NOT NULL AND imb IS NOT NULL AND signed IS NOT NULL AND hi - mid IS NOT NULL),
+""" + _SPT[_SPT.index("z AS (SELECT vol") : _SPT.index("g AS (SELECT v.range")].replace("trades >= 50", "trades >= 20").replace("fills >= 10", "fills >= 3") + _SPT[_SPT.index("g AS (SELECT v.range") :].replace("0 AS gex FROM range(3) v, range(10) t", "x.range AS gex FROM range(3) v, range(10) t, range(3) x").replace("cast(tox AS INT) AS tox, gex,", "cast(tox AS INT) AS tox, cast(gex AS INT) AS gex,").replace("trades >= 50", "trades >= 20")
+
+
+@_q("ag_spread_table_whole", _WHOLE)
+def ag_spread_table_whole(spark, sf_dir):
+    """Cells by volatility, toxicity and gamma, with what the mid reached within ten minutes; the least sizes suit the test tables."""
+    t = _tf(spark, sf_dir).where(F.col("ts").isNotNull())
+    tox = A.in_bin(F.abs("imb"), A.quantile_edges(_tf(spark, sf_dir).withColumn("ai", F.abs("imb")), "ai"))
+    vol = A.level(F.col("lsd"), A.thresholds(_tf(spark, sf_dir), "lsd"))
+    o = tables(spark, sf_dir, "options_features").select(F.col("instrument_id").alias("i"), F.col("ts_ns").alias("ts"), "snap_id", A.clean("net_gex").alias("net_gex"))
+    gex = F.coalesce(A.level(F.col("net_gex"), A.thresholds(o, "net_gex", positive=False)), F.lit(1))
+    t = temporal.excursion(t, ["i", "trade_date"], "ts", "row_id", "mid", 600 * ML.NS)
+    t = temporal.backward(t, o.where(F.col("ts").isNotNull()), ["i"], "ts", "snap_id", ["net_gex"])
+    reach = F.when(F.col("side") == 0, F.col("fwd_max") - F.col("mid")).otherwise(F.col("mid") - F.col("fwd_min")) / C.TICK
+    cells = t.where(F.col("lsd").isNotNull() & F.col("imb").isNotNull()).select(vol.alias("vol"), tox.alias("tox"), gex.alias("gex"), reach.alias("excursion"), F.col("signed").alias("markout"))
+    grid = spark.range(90).select(F.floor(F.col("id") / 30).cast("int").alias("vol"), (F.floor(F.col("id") / 3) % 10).cast("int").alias("tox"), (F.col("id") % 3).cast("int").alias("gex"))
+    return _round(A.spread_table(cells, grid, least_trades=20, least_fills=3))
+
+
 # ---- weighted and rolling statistics ------------------------------------------------------------------------------
 
 _EW = _RG + f""", x AS (SELECT i, row_id, z_ofi_l1_500ms AS x, row_number() OVER (PARTITION BY i ORDER BY ts NULLS FIRST, row_id) AS k FROM r),
@@ -232,10 +272,10 @@ def ew_kyle_lambda(spark, sf_dir):
 
 
 _RL = _RG + """, o AS (SELECT *, mid AS v, row_number() OVER (PARTITION BY i, trade_date ORDER BY ts, row_id) AS k FROM r WHERE ts IS NOT NULL AND mid IS NOT NULL),
-d AS (SELECT *, list(v) OVER (PARTITION BY i, trade_date ORDER BY k ROWS 49 PRECEDING) AS l50, v - lag(v) OVER w AS df, CASE WHEN lag(v) OVER w <> 0 THEN (v - lag(v) OVER w) / lag(v) OVER w END AS rt FROM o WINDOW w AS (PARTITION BY i, trade_date ORDER BY k))
+d AS (SELECT *, list(v) OVER (PARTITION BY i, trade_date ORDER BY k ROWS 49 PRECEDING) AS l50, list(v) OVER (PARTITION BY i, trade_date ORDER BY k ROWS 199 PRECEDING) AS l200, v - lag(v) OVER w AS df, CASE WHEN lag(v) OVER w <> 0 THEN (v - lag(v) OVER w) / lag(v) OVER w END AS rt FROM o WINDOW w AS (PARTITION BY i, trade_date ORDER BY k))
 SELECT row_id, round(avg(v) OVER w5 - avg(v) OVER w20, 6) AS mom_5_20, round(avg(v) OVER w5 - avg(v) OVER p15, 6) AS mom_5_prev15, df AS mom_1, round(avg(v) OVER w3 - avg(v) OVER w10, 6) AS mom_3_10,
  round(stddev_pop(v) OVER w10, 5) AS vol_sd10, round(avg(v) OVER wa, 5) AS run_mean, round(stddev_pop(v) OVER wa, 4) AS run_sd, round(sqrt(avg(rt * rt) OVER w50), 8) AS vol_rms50, round(stddev_samp(abs(df)) OVER w20, 5) AS vol_sd_abs20,
- round(len(list_filter(l50, lambda x: x < v)) / len(l50), 6) AS rank_50
+ round(len(list_filter(l50, lambda x: x < v)) / len(l50), 6) AS rank_50, round(len(list_filter(l200, lambda x: x < v)) / len(l200), 6) AS rank_200
 FROM d WINDOW w3 AS (PARTITION BY i, trade_date ORDER BY k ROWS 2 PRECEDING), w5 AS (PARTITION BY i, trade_date ORDER BY k ROWS 4 PRECEDING), w10 AS (PARTITION BY i, trade_date ORDER BY k ROWS 9 PRECEDING), w20 AS (PARTITION BY i, trade_date ORDER BY k ROWS 19 PRECEDING),
  w50 AS (PARTITION BY i, trade_date ORDER BY k ROWS 49 PRECEDING), p15 AS (PARTITION BY i, trade_date ORDER BY k ROWS BETWEEN 19 PRECEDING AND 5 PRECEDING), wa AS (PARTITION BY i, trade_date ORDER BY k ROWS UNBOUNDED PRECEDING)"""
 
@@ -244,7 +284,7 @@ FROM d WINDOW w3 AS (PARTITION BY i, trade_date ORDER BY k ROWS 2 PRECEDING), w5
 def ew_rolling(spark, sf_dir):
     r = _rg(spark, sf_dir).where(F.col("ts").isNotNull() & F.col("mid").isNotNull())
     out = W.rolling(r, ["i", "trade_date"], ["ts", "row_id"], "mid")
-    return _round(out.select("row_id", "mom_5_20", "mom_5_prev15", "mom_1", "mom_3_10", "vol_sd10", "run_mean", "run_sd", "vol_rms50", "vol_sd_abs20", "rank_50"), 6, vol_sd10=5, run_mean=5, run_sd=4, vol_rms50=8, vol_sd_abs20=5)
+    return _round(out.select("row_id", "mom_5_20", "mom_5_prev15", "mom_1", "mom_3_10", "vol_sd10", "run_mean", "run_sd", "vol_rms50", "vol_sd_abs20", "rank_50", "rank_200"), 6, vol_sd10=5, run_mean=5, run_sd=4, vol_rms50=8, vol_sd_abs20=5)
 
 
 def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -376,6 +416,27 @@ def ml_regime_hysteresis(spark, sf_dir):
     return ML.hysteresis(r, ["i", "trade_date"], ["ts", "row_id"], "raw").select("row_id", "raw", "regime")
 
 
+_PR70 = "list_sort(list({c}) OVER w100)[cast(floor(count({c}) OVER w100 * 0.7) AS BIGINT) + 1]"
+
+
+@_q("ml_regime_percentile", _RG + f", o AS (SELECT *, row_number() OVER (PARTITION BY i, trade_date ORDER BY ts, row_id) AS k FROM r WHERE ts IS NOT NULL AND z_realized_vol IS NOT NULL AND spread_ticks IS NOT NULL), p AS (SELECT row_id, z_realized_vol AS v, spread_ticks AS s, count(*) OVER w100 AS n, {_PR70.format(c='z_realized_vol')} AS qv, {_PR70.format(c='spread_ticks')} AS qs FROM o WINDOW w100 AS (PARTITION BY i, trade_date ORDER BY k ROWS 99 PRECEDING)) SELECT row_id, cast(CASE WHEN n < 10 THEN 0 ELSE CASE WHEN v > qv THEN 1 ELSE 0 END + CASE WHEN s > qs THEN 2 ELSE 0 END END AS INT) AS regime FROM p")
+def ml_regime_percentile(spark, sf_dir):
+    r = _rg(spark, sf_dir).where(F.col("ts").isNotNull() & F.col("z_realized_vol").isNotNull() & F.col("spread_ticks").isNotNull())
+    return SG.percentile_regime(r, ["i", "trade_date"], ["ts", "row_id"], "z_realized_vol", "spread_ticks", least=10).select("row_id", "regime")
+
+
+@_q("ml_entry_filter", _RG + f"SELECT row_id, round(least(greatest((({_LIN}) + 2) / 4, 0), 1), 6) AS p FROM r")
+def ml_entry_filter(spark, sf_dir):
+    r = _rg(spark, sf_dir)
+    return r.select("row_id", F.round(ML.entry_probability(_model().score(r)), 6).alias("p"))
+
+
+@_q("ml_meta", _RG + f"SELECT row_id, round(1 / (1 + exp(-({_LIN}))), 6) AS p FROM r")
+def ml_meta(spark, sf_dir):
+    r = _rg(spark, sf_dir)
+    return r.select("row_id", F.round(ML.sigmoid(_model().score(r)), 6).alias("p"))
+
+
 @_q("ml_rls")
 def ml_rls(spark, sf_dir):
     return _round(ML.online_errors(_labelled(spark, sf_dir), ["i", "trade_date"], ["ts", "row_id"], _X, "y").select("row_id", "err"))
@@ -540,6 +601,32 @@ def sm_entry_sampling(spark, sf_dir):
     return _round(s.groupBy("symbol").agg(F.count("*").alias("n"), F.avg("mid").alias("mean_mid")), 4)
 
 
+_INV = "cast(sum(CASE trade_side WHEN 'B' THEN 7 WHEN 'A' THEN -7 ELSE 0 END) OVER (PARTITION BY symbol, day ORDER BY k ROWS UNBOUNDED PRECEDING) AS BIGINT)"
+
+
+@_q("sm_inventory_control", _MD + f", v AS (SELECT row_id, mid, {_INV} AS inv FROM m) SELECT row_id, round(0.15 * abs(inv), 6) AS penalty, mid - CASE WHEN inv > 0 THEN least(inv // 10, 3) ELSE 0 END * 0.25 AS skewed_bid, cast(CASE WHEN abs(inv) > 50 THEN greatest(5 // 2, 1) ELSE 5 END AS INT) AS size FROM v")
+def sm_inventory_control(spark, sf_dir):
+    w = Window.partitionBy("symbol", "day").orderBy("ts", "row_id").rowsBetween(Window.unboundedPreceding, 0)
+    side = F.when(F.col("trade_side") == "B", 7).when(F.col("trade_side") == "A", -7).otherwise(0)
+    m = _md(spark, sf_dir).withColumn("inv", F.sum(side).over(w))
+    out = m.withColumns(SG.inventory_control(F.col("inv"), F.col("mid"), F.lit(5)))
+    return out.select("row_id", F.round("penalty", 6).alias("penalty"), "skewed_bid", "size")
+
+
+@_q("sm_entry_means", "WITH v AS (SELECT trade_side, symbol, timestamp_ns // 86400000000000 AS day, timestamp_ns AS ts, row_id, " + ", ".join(_nn(c) for c in ("bid_px_00", "ask_px_00", "bid_sz_00", "ask_sz_00")) + " FROM market_data WHERE trade_side IN ('B', 'A')), s AS (SELECT *, row_number() OVER (PARTITION BY symbol, day, trade_side ORDER BY ts, row_id) AS k FROM v) SELECT trade_side, count(*) AS n, round(avg((ask_px_00 - bid_px_00) / 0.25), 5) AS mean_spread, round(avg(CASE WHEN bid_sz_00 + ask_sz_00 > 0 THEN bid_sz_00 / (bid_sz_00 + ask_sz_00) ELSE 0 END), 5) AS mean_qi_bid FROM s WHERE k % 20 = 0 GROUP BY 1")
+def sm_entry_means(spark, sf_dir):
+    m = tables(spark, sf_dir, "market_data").where(F.col("trade_side").isin("B", "A"))
+    b, a = A.clean("bid_sz_00"), A.clean("ask_sz_00")
+    m = m.select("trade_side", "symbol", C.floor_div(F.col("timestamp_ns"), 86_400 * ML.NS).alias("day"), F.col("timestamp_ns").alias("ts"), "row_id", ((A.clean("ask_px_00") - A.clean("bid_px_00")) / C.TICK).alias("spread"), F.when(b + a > 0, b / (b + a)).otherwise(0.0).alias("qi_bid"))
+    return _round(SM.entry_means(m, ["symbol", "day"], ["ts", "row_id"], "trade_side", ["spread", "qi_bid"]), 5)
+
+
+@_q("sm_cancel_hindsight")
+def sm_cancel_hindsight(spark, sf_dir):
+    marked = SM.hindsight(_md(spark, sf_dir).where(F.col("mid").isNotNull()), ["symbol", "day"], ["ts", "row_id"], "mid")
+    return SM.cancel_hindsight(SM.simulate(tables(spark, sf_dir, "market_data")), marked, "symbol", "ts", [f"{k}_{n}" for n in (10, 20, 40) for k in ("rise", "fall")])
+
+
 @_q("sm_rolling_share", _TF + "SELECT row_id, round(avg(CASE WHEN abs(imb) > 0.5 THEN 1.0 ELSE 0 END) OVER (PARTITION BY i, trade_date ORDER BY ts, row_id ROWS 999 PRECEDING), 6) AS share FROM tf WHERE ts IS NOT NULL")
 def sm_rolling_share(spark, sf_dir):
     return _round(SM.rolling_share(_tf(spark, sf_dir).where(F.col("ts").isNotNull()), ["i", "trade_date"], ["ts", "row_id"], F.abs("imb") > 0.5).select("row_id", "share"))
