@@ -394,3 +394,11 @@ def test_sinks_write_what_they_say(spark, tmp_path):
     files.execution_csv(done, str(tmp_path / "e"))
     assert [r["a"] for r in spark.read.csv(str(tmp_path / "e" / "closed_trades"), header=True).collect()] == ["1"]
     assert [r["a"] for r in spark.read.csv(str(tmp_path / "e" / "cancelled_orders"), header=True).collect()] == ["2"]
+
+
+def test_every_model_input_has_one_definition():
+    from tickloom.operators import regressors as R
+
+    made = set(R._plain()) | set(R.PRODUCTS) | {"z_kyle_lambda", "spread_ticks"}
+    assert made == set(R.NAMES) and len(R.NAMES) == len(set(R.NAMES)) == 60
+    assert R.inputs_like(["ts_ns", "z_a", "mid", "ofi_L1_x_vol"]) == ["z_a", "ofi_L1_x_vol"]

@@ -16,33 +16,57 @@ from tickloom.sources.messages import SESSION
 FAST, SLOW = 500.0, 5000.0
 WINDOWS_MS = (10, 50, 100, 200, 500, 1000, 5000)
 
+#: The inputs of an exported model, in the order of its weights.
+NAMES = (
+    "z_ofi_L1_10ms z_ofi_L1_50ms z_ofi_L1_100ms z_ofi_L1_200ms z_ofi_L1_500ms z_ofi_L1_1000ms z_ofi_L1_5000ms z_ofi_L2_500ms z_ofi_L2_5000ms z_ofi_deep_500ms z_ofi_deep_5000ms "
+    "z_imb_L1 z_imb_L2 z_imb_L3 z_L1_L2_disagree z_microprice_delta z_vol_imbalance_500ms z_vol_imbalance_5000ms z_kyle_lambda z_trade_accel z_trade_rate "
+    "z_cancel_ratio_500ms z_canc_L1_share_500ms spread_ticks z_spread z_flicker_50ms z_flicker_200ms z_flicker_1000ms z_bid_move_200ms z_ask_move_200ms z_bid_move_1000ms z_ask_move_1000ms "
+    "z_widen_rate_200ms z_widen_rate_1000ms z_twas_500ms z_twas_5000ms z_slope_bid z_slope_ask z_curv_bid z_curv_ask z_hhi_bid z_hhi_ask z_avg_ord_sz_bid z_avg_ord_sz_ask "
+    "z_net_depletion_50ms z_net_depletion_500ms z_modify_rate_500ms z_realized_vol z_signed_vol_500ms z_signed_vol_5000ms z_resilience_bid_500ms z_resilience_ask_500ms z_fill_asym_500ms z_latency "
+    "ofi_L1_x_vol ofi_L1_x_spread imb_L2_x_vol slope_x_accel flicker_x_vol widen_x_ofi"
+).split()
+#: Features behind the inputs of a window, by the input's name without it.
+WINDOWED = {
+    "z_ofi_L1": "ofi_L1", "z_ofi_L2": "ofi_L2", "z_ofi_deep": "ofi_deep", "z_vol_imbalance": "vol_imbalance", "z_cancel_ratio": "cancel_trade_ratio", "z_canc_L1_share": "canc_L1_share",
+    "z_flicker": "quote_flicker", "z_bid_move": "bid_move_rate", "z_ask_move": "ask_move_rate", "z_widen_rate": "spread_widen_rate", "z_twas": "twas", "z_modify_rate": "modify_trade_ratio",
+    "z_signed_vol": "signed_volume", "z_resilience_bid": "resilience_bid", "z_resilience_ask": "resilience_ask", "z_fill_asym": "fill_asymmetry",
+}
+LONG_MEMORY = ("z_spread", "z_latency", "z_twas")
+
+
+def _features() -> dict[str, Column]:
+    """Expressions of the inputs that aren't one windowed feature."""
+    c = F.col
+    sided = {"slope": "slope", "curv": "curv", "hhi": "hhi", "avg_ord_sz": "avg_order_size"}
+    return {f"z_{k}_{s}": c(f"{s}_{f}") for k, f in sided.items() for s in ("bid", "ask")} | {f"z_imb_L{k}": c(f"imb_l{k}") for k in (1, 2, 3)} | {
+        "z_L1_L2_disagree": -F.signum("imb_l1") * F.signum("imb_l2"), "z_microprice_delta": temporal.change("microprice", SESSION, "r"),
+        "z_trade_accel": F.log1p("trade_rate_50ms") - F.log1p("trade_rate_5000ms"), "z_trade_rate": c("trade_rate_500ms"), "z_spread": c("spread_ticks"),
+        "z_realized_vol": c("realized_vol_500ms"), "z_latency": c("mean_latency_ns_500ms"),
+    }
+
 
 def _plain() -> dict[str, tuple[Column, float]]:
     """Name, expression over the features, and halflife of every input that is one z-score."""
-    c = F.col
-    out: dict[str, tuple[Column, float]] = {f"z_ofi_L1_{w}ms": (c(f"ofi_L1_{w}ms"), FAST) for w in WINDOWS_MS}
-    out |= {f"z_ofi_{lv}_{w}ms": (c(f"ofi_{lv}_{w}ms"), FAST) for lv in ("L2", "deep") for w in (500, 5000)}
-    out |= {f"z_imb_L{k}": (c(f"imb_l{k}"), FAST) for k in (1, 2, 3)}
-    out["z_L1_L2_disagree"] = (-F.signum("imb_l1") * F.signum("imb_l2"), FAST)
-    out["z_microprice_delta"] = (temporal.change("microprice", SESSION, "r"), FAST)
-    out |= {f"z_vol_imbalance_{w}ms": (c(f"vol_imbalance_{w}ms"), FAST) for w in (500, 5000)}
-    out["z_trade_accel"] = (F.log1p("trade_rate_50ms") - F.log1p("trade_rate_5000ms"), FAST)
-    out["z_trade_rate"] = (c("trade_rate_500ms"), FAST)
-    out |= {"z_cancel_ratio_500ms": (c("cancel_trade_ratio_500ms"), FAST), "z_canc_L1_share_500ms": (c("canc_L1_share_500ms"), FAST), "z_modify_rate_500ms": (c("modify_trade_ratio_500ms"), FAST)}
-    out["z_spread"] = (c("spread_ticks"), SLOW)
-    for s in ("bid", "ask"):
-        out |= {f"z_slope_{s}": (c(f"{s}_slope"), FAST), f"z_curv_{s}": (c(f"{s}_curv"), FAST), f"z_hhi_{s}": (c(f"{s}_hhi"), FAST), f"z_avg_ord_sz_{s}": (c(f"{s}_avg_order_size"), FAST)}
-        out |= {f"z_resilience_{s}_500ms": (c(f"resilience_{s}_500ms"), FAST)} | {f"z_{s}_move_{w}ms": (c(f"{s}_move_rate_{w}ms"), FAST) for w in (200, 1000)}
-    out |= {f"z_net_depletion_{w}ms": (c(f"bid_depletion_{w}ms") - c(f"ask_depletion_{w}ms"), FAST) for w in (50, 500)}
-    out["z_realized_vol"] = (c("realized_vol_500ms"), FAST)
-    out |= {f"z_signed_vol_{w}ms": (c(f"signed_volume_{w}ms"), FAST) for w in (500, 5000)}
-    out |= {"z_fill_asym_500ms": (c("fill_asymmetry_500ms"), FAST), "z_latency": (c("mean_latency_ns_500ms"), SLOW)}
-    out |= {f"z_flicker_{w}ms": (c(f"quote_flicker_{w}ms"), FAST) for w in (50, 200, 1000)}
-    out |= {f"z_widen_rate_{w}ms": (c(f"spread_widen_rate_{w}ms"), FAST) for w in (200, 1000)}
-    out |= {f"z_twas_{w}ms": (c(f"twas_{w}ms"), SLOW) for w in (500, 5000)}
+    own, out = _features(), {}
+    for name in NAMES:
+        stem, _, window = name.rpartition("_")
+        if stem in WINDOWED:
+            e = F.col(f"{WINDOWED[stem]}_{window}")
+        elif stem == "z_net_depletion":
+            e = F.col(f"bid_depletion_{window}") - F.col(f"ask_depletion_{window}")
+        elif name in own:
+            e = own[name]
+        else:
+            continue
+        out[name] = (e, SLOW if name.startswith(LONG_MEMORY) else FAST)
     return out
 
 
+def inputs_like(columns: list[str], stems: tuple[str, ...] = ("z_",)) -> list[str]:
+    """The columns that are scores by their names, and the products of such, in the columns' order."""
+    return [c for c in columns if c.startswith(stems) or c in PRODUCTS]
+
+
 #: Products of inputs, scored again.
 PRODUCTS = {
     "ofi_L1_x_vol": ("z_ofi_L1_500ms", "z_realized_vol"), "ofi_L1_x_spread": ("z_ofi_L1_500ms", "z_spread"), "imb_L2_x_vol": ("z_imb_L2", "z_realized_vol"),
@@ -71,14 +95,3 @@ def catalogue(t: DataFrame, restart_daily: bool = False, keep: tuple[str, ...] =
     t = ewm(t, group, order, dict.fromkeys(PRODUCTS, FAST) | {"kyle_lambda": SLOW}, complete=True)
     t = t.withColumn("z_kyle_lambda", zscore("kyle_lambda")).withColumns({k: zscore(k) for k in PRODUCTS})
     return t.drop("_slope", *[f"{k}_{x}" for k in [*PRODUCTS, "kyle_lambda"] for x in ("mean", "var")])
-
-
-#: All inputs of a model.
-NAMES = [
-    *[f"z_ofi_L1_{w}ms" for w in WINDOWS_MS], *[f"z_ofi_{lv}_{w}ms" for lv in ("L2", "deep") for w in (500, 5000)], "z_imb_L1", "z_imb_L2", "z_imb_L3", "z_L1_L2_disagree",
-    "z_microprice_delta", "z_vol_imbalance_500ms", "z_vol_imbalance_5000ms", "z_trade_accel", "z_trade_rate", "z_cancel_ratio_500ms", "z_canc_L1_share_500ms", "z_modify_rate_500ms",
-    "z_spread", *[f"z_{k}_{s}" for s in ("bid", "ask") for k in ("slope", "curv", "hhi", "avg_ord_sz")], *[f"z_resilience_{s}_500ms" for s in ("bid", "ask")],
-    *[f"z_{s}_move_{w}ms" for s in ("bid", "ask") for w in (200, 1000)], "z_net_depletion_50ms", "z_net_depletion_500ms", "z_realized_vol", "z_signed_vol_500ms", "z_signed_vol_5000ms",
-    "z_fill_asym_500ms", "z_latency", "z_flicker_50ms", "z_flicker_200ms", "z_flicker_1000ms", "z_widen_rate_200ms", "z_widen_rate_1000ms", "z_twas_500ms", "z_twas_5000ms",
-    "z_kyle_lambda", "spread_ticks", *PRODUCTS,
-]
