@@ -68,8 +68,8 @@ def load(path: str = VOCABULARY) -> Tables:
     left, right = list(range(256)), list(range(256))
     for merge in model["merges"]:
         a, b = merge.split(" ") if isinstance(merge, str) else merge
-        if a + b in number:  # a second way to a token: it merges too, but the token keeps its first rank
-            continue
+        if a + b in number:  # ranks and tokens would no longer be the same numbers
+            raise ValueError(f"two merges of the vocabulary make {a + b!r}")
         number[a + b] = len(names)
         names.append(a + b)
         left.append(number[a])
