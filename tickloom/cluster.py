@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -30,6 +32,7 @@ def ship(spark: SparkSession) -> None:
                     full = os.path.join(folder, name)
                     z.write(full, os.path.relpath(full, os.path.dirname(here)))
     spark.sparkContext.addPyFile(path)
+    atexit.register(lambda: os.path.exists(path) and os.remove(path))
     _shipped[app] = path
 
 
@@ -47,6 +50,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
             if not sc.master.startswith("local[") and sc.master != "local":
                 raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="tickloom-ckpt-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 

@@ -9,6 +9,7 @@ task holds the live orders of one block's book and one Arrow batch. Running coun
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -79,18 +80,22 @@ OUT = (
 
 
 class Book:
-    """Orders and price levels of one instrument; ``best`` is kept as long as its level lasts and looked up again after."""
+    """Orders and price levels of one instrument; ``best`` is kept as long as its level lasts, then found on a heap of the side's prices."""
 
     def __init__(self):
         self.orders: dict = {}
         self.levels: tuple[dict, dict] = ({}, {})
         self.best: list[int | None] = [None, None]
         self.total = [0, 0]
+        self.heaps: tuple[list, list] = ([], [])  # prices, bids negated; those of levels that are gone are passed over
 
     def put(self, oid, px: int, size: int, side: int) -> None:
         self.take(oid)
         self.orders[oid] = [px, size, side]
-        level = self.levels[side].setdefault(px, [0, 0])
+        level = self.levels[side].get(px)
+        if level is None:
+            level = self.levels[side][px] = [0, 0]
+            heappush(self.heaps[side], px if side else -px)
         level[0] += size
         level[1] += 1
         self.total[side] += size
@@ -116,8 +121,10 @@ class Book:
         if not level[1]:
             del self.levels[side][px]
             if self.best[side] == px:
-                rest = self.levels[side]
-                self.best[side] = (max(rest) if side == 0 else min(rest)) if rest else None
+                rest, heap, sign = self.levels[side], self.heaps[side], 1 if side else -1
+                while heap and sign * heap[0] not in rest:
+                    heappop(heap)
+                self.best[side] = sign * heap[0] if heap else None
 
     def around(self, side: int, field: int, depth: int) -> list[int]:
         """Size or order count at the best price and at the ticks behind it; an empty tick is 0."""

@@ -604,7 +604,7 @@ def sm_entry_sampling(spark, sf_dir):
 _INV = "cast(sum(CASE trade_side WHEN 'B' THEN 7 WHEN 'A' THEN -7 ELSE 0 END) OVER (PARTITION BY symbol, day ORDER BY k ROWS UNBOUNDED PRECEDING) AS BIGINT)"
 
 
-@_q("sm_inventory_control", _MD + f", v AS (SELECT row_id, mid, {_INV} AS inv FROM m) SELECT row_id, round(0.15 * abs(inv), 6) AS penalty, mid - CASE WHEN inv > 0 THEN least(inv // 10, 3) ELSE 0 END * 0.25 AS skewed_bid, cast(CASE WHEN abs(inv) > 50 THEN greatest(5 // 2, 1) ELSE 5 END AS INT) AS size FROM v")
+@_q("sm_inventory_control", _MD + f", v AS (SELECT row_id, mid, {_INV} AS inv FROM m) SELECT row_id, cast(round(0.15 * abs(inv), 6) AS DOUBLE) AS penalty, mid - CASE WHEN inv > 0 THEN least(inv // 10, 3) ELSE 0 END * 0.25 AS skewed_bid, cast(CASE WHEN abs(inv) > 50 THEN greatest(5 // 2, 1) ELSE 5 END AS INT) AS size FROM v")
 def sm_inventory_control(spark, sf_dir):
     w = Window.partitionBy("symbol", "day").orderBy("ts", "row_id").rowsBetween(Window.unboundedPreceding, 0)
     side = F.when(F.col("trade_side") == "B", 7).when(F.col("trade_side") == "A", -7).otherwise(0)
