@@ -402,3 +402,17 @@ def test_every_model_input_has_one_definition():
     made = set(R._plain()) | set(R.PRODUCTS) | {"z_kyle_lambda", "spread_ticks"}
     assert made == set(R.NAMES) and len(R.NAMES) == len(set(R.NAMES)) == 60
     assert R.inputs_like(["ts_ns", "z_a", "mid", "ofi_L1_x_vol"]) == ["z_a", "ofi_L1_x_vol"]
+
+
+@pytest.mark.parametrize("block", [1, 3, 1 << 16])
+def test_previous_row_across_blocks(spark, block):
+    from tickloom.operators.ordered import previous
+
+    rng = np.random.default_rng(block)
+    rows = [(None if g == 2 else int(g), int(t) if t % 5 else None, k, None if k % 7 == 0 else float(k)) for k, (g, t) in enumerate(zip(rng.integers(0, 3, 90), rng.integers(0, 40, 90)))]
+    df = spark.createDataFrame(rows, "g int, t int, k int, v double")
+    got = {r["k"]: r["b"] for r in previous(df, ["g"], ["t", "k"], "v", "b", block).collect()}
+    want, last = {}, {}
+    for g, t, k, v in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+        want[k], last[g] = last.get(g), v
+    assert got == want

@@ -72,6 +72,16 @@ def carried(df: DataFrame, group: list[str], block: str, totals: dict[str, Colum
     return checkpoint(parts.select(*group, block, *[fold[name](name).over(before).alias(name) for name in totals]))
 
 
+def previous(df: DataFrame, group: list[str], order: list[str], value: str, name: str, block: int = 1 << 16) -> DataFrame:
+    """Adds the value of the row before in the group's order, null at its first row; a group is as many tasks as it has blocks of rows."""
+    rows = numbered(df, order, "_rn", group)
+    rows = rows.withColumn("_b", F.floor(F.col("_rn") / block).cast("bigint"))
+    at = Window.partitionBy(*group, "_b").orderBy("_rn")
+    last = carried(rows, group, "_b", {"_last": F.max_by(F.struct(F.col(value).alias("v")), "_rn")}, {"_last": F.last})
+    rows = with_group(rows.withColumns({name: F.lag(value).over(at), "_first": F.row_number().over(at) == 1}), last, [*group, "_b"])
+    return rows.withColumn(name, F.when(F.col("_first"), F.col("_last.v")).otherwise(F.col(name))).drop("_rn", "_b", "_first", "_last")
+
+
 #: Rows of a key that a task holds at once.
 CHUNK = 1_000_000
 

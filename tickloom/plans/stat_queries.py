@@ -16,6 +16,7 @@ from tickloom.operators import options as OP
 from tickloom.operators import signals as SG
 from tickloom.operators import simulator as SM
 from tickloom.operators import temporal
+from tickloom.operators.ordered import previous
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -173,8 +174,8 @@ _ST = _TF + f", {_THR}, x AS (SELECT tf.*, q1, q2, (mid - lag(mid) OVER (PARTITI
 def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _tf(spark, sf_dir)
     cuts = A.thresholds(t, "lsd")
-    dm = (F.col("mid") - F.lag("mid").over(Window.partitionBy("i").orderBy("ts", "row_id"))) / C.TICK
-    t = t.withColumn("dm", dm).where(F.col("spread").isNotNull() & F.col("imb").isNotNull() & F.col("lsd").isNotNull())
+    t = previous(t.select("i", "ts", "row_id", "mid", "spread", "imb", "lsd"), ["i"], ["ts", "row_id"], "mid", "before")
+    t = t.withColumn("dm", (F.col("mid") - F.col("before")) / C.TICK).where(F.col("spread").isNotNull() & F.col("imb").isNotNull() & F.col("lsd").isNotNull())
     return t.select(A.level(F.col("lsd"), cuts).alias("regime"), (A.spread_state(F.col("spread")) * 3 + A.imbalance_bucket(F.col("imb"))).alias("state"), A.outcome(F.col("dm")).alias("outcome"))
 
 
