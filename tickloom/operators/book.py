@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from heapq import heappop, heappush
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -28,9 +28,14 @@ LEVELS, COUNT_LEVELS = 5, 3
 FLICKER_NS = 50_000_000
 
 
+def valid() -> Column:
+    """Messages with a price above zero, and those that need none: cancels, fills and clears."""
+    return (F.col("px") > 0) | F.col("act").isin(C.CLEAR, C.CANCEL, C.FILL)
+
+
 def effects(ordered: DataFrame) -> DataFrame:
     """Ordered messages with ``kind``: 1 an order is set, 2 removed, 3 filled, 4 the book emptied, null nothing happens."""
-    act, whole, priced = F.col("act"), (F.col("side_code") != C.NO_SIDE) & (F.col("size") > 0), F.col("px") > 0
+    act, whole, priced = F.col("act"), (F.col("side_code") != C.NO_SIDE) & (F.col("size") > 0), valid()
     kind = (
         F.when(act.isin(C.ADD, C.MODIFY) & priced & whole, 1).when((act == C.MODIFY) & priced, 2).when(act == C.CANCEL, 2)
         .when(act == C.FILL, 3).when(act == C.CLEAR, 4)

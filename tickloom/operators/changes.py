@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from tickloom.cluster import broadcast_checked, checkpoint
 from tickloom.functions import codes as C
+from tickloom.operators.book import effects
+from tickloom.sources.messages import encode
 
 #: Kinds of a change: the key gets the row's payload; the key is removed; the key's amount shrinks; all keys go.
 SET, DELETE, DECREMENT, CLEAR = 1, 2, 3, 4
@@ -93,26 +95,12 @@ def order_changes(messages: DataFrame) -> DataFrame:
     does nothing; without a side or a size it removes the order, else it replaces it. CANCEL removes, FILL decrements,
     CLEAR empties the book, and neither needs a price. TRADE and unknown actions leave the book as it is.
     """
-    m = messages.select(
-        "trade_date", "instrument_id", "order_id", "sequence",
-        C.action_code(F.col("action")).alias("act"), C.side_code(F.col("side")).alias("side"),
-        C.price_ticks(F.col("price")).alias("price_ticks"), F.coalesce(F.col("size"), F.lit(0)).alias("size"),
-    )
-    act, whole = F.col("act"), (F.col("side") != C.NO_SIDE) & (F.col("size") > 0)
-    priced = F.col("price_ticks") > 0
-    kind = (
-        F.when((act == C.ADD) & priced & whole, SET)
-        .when((act == C.MODIFY) & priced & whole, SET)
-        .when((act == C.MODIFY) & priced, DELETE)
-        .when(act == C.CANCEL, DELETE)
-        .when(act == C.FILL, DECREMENT)
-        .when(act == C.CLEAR, CLEAR)
-    )
+    m = encode(messages.select("trade_date", "instrument_id", "order_id", "sequence", "action", "side", "price", "size"))
+    m = effects(m).where(F.col("kind").isNotNull())
     sets = F.col("kind") == SET
-    m = m.withColumn("kind", kind.cast("tinyint")).where(F.col("kind").isNotNull())
     return m.select(
         "trade_date", "instrument_id", "order_id", "sequence", "kind",
-        F.when(sets, F.col("price_ticks")).alias("price_ticks"), F.when(sets, F.col("side")).cast("tinyint").alias("side"),
+        F.when(sets, F.col("px")).alias("price_ticks"), F.when(sets, F.col("side_code")).cast("tinyint").alias("side"),
         F.when(sets | (F.col("kind") == DECREMENT), F.col("size")).alias("size"),
     )
 

@@ -160,7 +160,7 @@ def prj_flag_bits(spark, sf_dir):
 @_q("prj_valid_messages", "SELECT act, count(*) AS n FROM (" + _ORDER + "SELECT * FROM m WHERE NOT (px <= 0 AND act NOT IN (5, 1, 4))) GROUP BY 1")
 def prj_valid_messages(spark, sf_dir):
     m = _ordered(spark, sf_dir)
-    return m.where(~((F.col("px") <= 0) & ~F.col("act").isin(C.CLEAR, C.CANCEL, C.FILL))).groupBy(F.col("act").cast("int").alias("act")).agg(F.count("*").alias("n"))
+    return m.where(book.valid()).groupBy(F.col("act").cast("int").alias("act")).agg(F.count("*").alias("n"))
 
 
 @_q("prj_seq_gap", _ORDER + f"SELECT {_ID}, coalesce(sequence - lag(sequence) OVER (PARTITION BY d, i ORDER BY n), 0) AS gap, CASE WHEN recv > 0 THEN recv - ts END AS recv_event_delta_ns FROM m")
